@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidemill.llm import pieces, token_counts
+from tidemill.llm import packing, pieces, token_counts
 
 
 def queries() -> dict:
     return {
+        "op2_packing": packing.query,
         "op7_token_counts": token_counts.query,
         "op10_sentencepiece": pieces.query,
     }
