@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tidemill.llm import packing, pieces, quality, simhash, token_counts
+from tidemill.llm import embedding_links, packing, pieces, quality, simhash, token_counts
 
 
 def queries() -> dict:
     return {
         "op2_packing": packing.query,
         "op3_compression_bands": quality.query,
+        "op5_cap_filters": embedding_links.query,
         "op7_token_counts": token_counts.query,
         "op9_simhash_bktree": simhash.query,
         "op10_sentencepiece": pieces.query,
