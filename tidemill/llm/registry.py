@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemill.llm import embedding_links, packing, pieces, quality, simhash, token_counts
+from tidemill.llm import embedding_links, language, packing, pieces, quality, simhash, token_counts
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_compression_bands": quality.query,
         "op5_cap_filters": embedding_links.query,
         "op7_token_counts": token_counts.query,
+        "op8_language": language.query,
         "op9_simhash_bktree": simhash.query,
         "op10_sentencepiece": pieces.query,
     }
