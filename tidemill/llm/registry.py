@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemill.llm import embedding_links, language, packing, pieces, quality, simhash, token_counts
+from tidemill.llm import embedding_links, language, lines, packing, pieces, quality, simhash, token_counts
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_packing": packing.query,
         "op3_compression_bands": quality.query,
         "op5_cap_filters": embedding_links.query,
+        "op6_line_dedup": lines.query,
         "op7_token_counts": token_counts.query,
         "op8_language": language.query,
         "op9_simhash_bktree": simhash.query,
