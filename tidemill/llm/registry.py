@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidemill.llm import embedding_links, language, lines, packing, pieces, quality, simhash, token_counts
+from tidemill.llm import embedding_links, language, lines, packing, pieces, quality, simhash, substrings, token_counts
 
 
 def queries() -> dict:
     return {
+        "op1_suffix_array": substrings.query,
         "op2_packing": packing.query,
         "op3_compression_bands": quality.query,
         "op5_cap_filters": embedding_links.query,
