@@ -140,7 +140,7 @@ class WordCache(dict):
     `fill(words)` computes values for a list of words at once.
     """
 
-    def __init__(self, fill, limit: int = 250_000):
+    def __init__(self, fill, limit: int = 400_000):
         super().__init__()
         self.fill, self.limit, self.old = fill, limit, {}
 

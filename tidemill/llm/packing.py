@@ -53,15 +53,24 @@ class WordEncoder:
         out: list = [b""] * len(words)
         tokens, per = [], []
         for i, raw in enumerate(words):
+            # plain ASCII words, with or without a mark after them, need no pattern
+            if raw.isalpha():
+                tokens.append(raw.lower())
+                per.append((i, 1))
+                continue
+            if raw[:-1].isalpha() and raw[-1] in b".,;:!?":
+                tokens += (raw[:-1].lower(), raw[-1:])
+                per.append((i, 2))
+                continue
             word = raw.decode("utf-8", "replace")
             if not self.plain.fullmatch(word) or any(s in raw for s in self.special):
                 out[i] = np.array(self.library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
                 continue
             word = "".join([c.lower() for c in word]) if "Σ" in word else word.lower()
             found = [word] if word.isalpha() else self.pattern.findall(word)
-            tokens += found
+            tokens += [t.encode() for t in found]
             per.append((i, len(found)))
-        ids, n = self.vocabulary.encode([t.encode() for t in tokens])
+        ids, n = self.vocabulary.encode(tokens)
         ids, ends = ids.astype("<u4").tobytes(), np.concatenate([[0], np.cumsum(n)]).tolist()
         at = 0
         for i, k in per:
