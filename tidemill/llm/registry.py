@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from tidemill.llm import embedding_links, language, lines, packing, pieces, quality, simhash, substrings, token_counts
+import corpus_pipeline
+from tidemill.llm import embedding_links, language, lines, packing, pieces, quality, simhash, substrings, token_counts, token_ids
 
 
 def queries() -> dict:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_suffix_array": substrings.query,
         "op2_packing": packing.query,
         "op3_compression_bands": quality.query,
+        "op4_token_ids": token_ids.query,
         "op5_cap_filters": embedding_links.query,
         "op6_line_dedup": lines.query,
         "op7_token_counts": token_counts.query,

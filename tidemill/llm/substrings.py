@@ -250,13 +250,17 @@ def repeated(documents: DataFrame) -> DataFrame:
     return met.filter("not look").select("doc_id", "first", "end").union(sorted_).groupBy("doc_id").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
 
 
-def cut(data: bytes, found) -> tuple[bytes, int, int]:
-    """(what is left, bytes removed, maximal removed runs)."""
+def cut(data: bytes, found, characters: bool = False) -> tuple[bytes, int, int]:
+    """(what is left, bytes removed, maximal removed runs). characters: only whole UTF-8 characters go."""
     if not found:
         return data, 0, 0
     first, end = np.array([x["first"] for x in found]), np.array([x["end"] for x in found])
     first, end, _ = spans(np.zeros(len(first), np.int64), first, end)
     end = np.minimum(end, len(data))
+    if characters:
+        inner = np.append((np.frombuffer(data, np.uint8) & 0xC0) == 0x80, False)
+        for _ in range(3):
+            first, end = first + inner[first], end - inner[end]
     edges = np.concatenate([[0], np.stack([first, end], axis=1).ravel(), [len(data)]]).tolist()
     return b"".join([data[a:b] for a, b in zip(edges[::2], edges[1::2])]), int((end - first).sum()), len(first)
 
@@ -272,7 +276,7 @@ def digest_batches(batches):
 def text_batches(batches, found: str):
     for batch in batches:
         names = [n for n in batch.schema.names if n != found]
-        texts = [None if t is None else cut(t.encode("utf-8", "replace"), s)[0].decode("utf-8", "replace") for t, s in zip(batch.column("text").to_pylist(), batch.column(found).to_pylist())]
+        texts = [None if t is None else cut(t.encode("utf-8", "replace"), s, True)[0].decode("utf-8", "replace") for t, s in zip(batch.column("text").to_pylist(), batch.column(found).to_pylist())]
         yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names], names)
 
 
@@ -292,7 +296,7 @@ def summary(documents: DataFrame) -> DataFrame:
 def without_repeats(documents: DataFrame) -> DataFrame:
     """The rows with all their columns, their text without repeated strings.
 
-    A cut inside a character of several bytes leaves U+FFFD for each part that remains.
+    A character of several bytes goes only whole.
     """
     name = "spans"
     while name in documents.columns:
