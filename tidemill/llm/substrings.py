@@ -26,8 +26,9 @@ from tidemill.llm.common import arrow_map, small_batches, table, written
 from tidemill.llm.induced import suffix_order
 
 LENGTH, GRAM = 100, 32
-SLICE_BYTES = 4_000_000
-SHARD_BYTES = 2_000_000
+#: Bytes worked on at once; a longer text is cut into parts that overlap by a window.
+SLICE_BYTES = 1_000_000
+SHARD_BYTES = 1_000_000
 SMALL = 1_000_000
 INDEX = "anchor long, segment long, doc_id long, start long, windows int, state int"
 FIRST, SELF, GONE = 0, 1, 2
@@ -84,15 +85,22 @@ def index_batches(batches):
     for batch in batches:
         batch = batch.filter(batch.column("doc_id").is_valid())
         docs, texts = batch.column("doc_id").to_numpy(), [(t or "").encode("utf-8", "replace") for t in batch.column("text").to_pylist()]
-        at = size = 0
-        for i, t in enumerate(texts):
-            size += len(t)
-            if size >= SLICE_BYTES or i + 1 == len(texts):
-                yield from index_slice(docs[at:i + 1], texts[at:i + 1])
-                at, size = i + 1, 0
-
-
-def index_slice(docs: np.ndarray, texts: list[bytes]):
+        some, size = [], 0
+        for doc, t in zip(docs.tolist(), texts):
+            for at in range(0, max(len(t) - LENGTH + 1, 1), SLICE_BYTES):
+                part = t[at:at + SLICE_BYTES + LENGTH - 1]
+                some.append((doc, at, part))
+                size += len(part)
+                if size >= SLICE_BYTES:
+                    yield from index_slice(*zip(*some))
+                    some, size = [], 0
+        if some:
+            yield from index_slice(*zip(*some))
+
+
+def index_slice(docs, base, texts):
+    """Segments of parts of texts that begin at `base` in their documents."""
+    docs, base = np.array(docs, np.int64), np.array(base, np.int64)
     length = np.array([len(t) for t in texts])
     ends = np.cumsum(length)
     found = segments(np.frombuffer(b"".join(texts), np.uint8), ends)
@@ -100,7 +108,7 @@ def index_slice(docs: np.ndarray, texts: list[bytes]):
         return
     start, windows, anchor, segment, twice = found
     of = np.searchsorted(ends, start, side="right")
-    doc, inside = docs[of], start - (ends - length)[of]
+    doc, inside = docs[of], start - (ends - length)[of] + base[of]
     state = np.where(twice, SELF, FIRST)
     # of equal segments in this slice only the earliest goes on (map-side combine)
     order = np.lexsort((inside, doc, windows, segment, anchor))
