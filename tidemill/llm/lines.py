@@ -30,7 +30,11 @@ BUCKET_BITS = 22
 SLICE_BYTES, SLICE_LINES = 2_000_000, 60_000
 #: Documents up to which a list of ids may be broadcast.
 SMALL = 1_000_000
-INDEX = "token long, doc_id long, line int, size int, pos int, bits long, sets long"
+INDEX = "bucket int, n long, data binary"
+#: Columns of a packed run of index rows.
+PACKED = (("token", "<i8"), ("doc", "<i8"), ("line", "<i4"), ("size", "<i4"), ("pos", "<i4"), ("bits", "<u8"), ("sets", "<u4"))
+#: Index rows packed together, and buckets of tokens for each shuffle partition.
+RUN_ROWS, BUCKETS = 300_000, 4
 SPACE = np.zeros(256, bool)
 SPACE[list(b" \t\n\v\f\r")] = True
 
@@ -112,7 +116,8 @@ def token_sets(w: Words, rank: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarr
     at = chosen[w.line]
     h = w.hash[at]
     token = (rank[(h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(42)) | (h & np.uint64((1 << 42) - 1))
-    key = np.unique((name[w.line[at]].astype(np.uint64) << np.uint64(48)) | token)
+    key = np.sort((name[w.line[at]].astype(np.uint64) << np.uint64(48)) | token)
+    key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
     line = (key >> np.uint64(48)).astype(np.int64)
     return (key & np.uint64((1 << 48) - 1)).astype(np.int64), line, np.bincount(line, minlength=int(chosen.sum()))
 
@@ -124,7 +129,61 @@ def signature(tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nda
     return bits, np.add.reduceat(rolling.mix(m ^ np.uint64(rolling.BASE)), first)
 
 
-def index_batches(batches, rank: bytes):
+def pack_rows(columns: dict[str, np.ndarray], zip_) -> bytes:
+    """Columns in byte planes (tokens as differences, documents from the least), compressed."""
+    out = []
+    for name, kind in PACKED:
+        c = columns[name].astype(kind)
+        if name == "token":
+            c = np.diff(c, prepend=c.dtype.type(0))
+        elif name == "doc":
+            out.append(c.min().tobytes())
+            c = c - c.min()
+        out.append(c.view(np.uint8).reshape(len(c), -1).T.tobytes())
+    return zip_.compress(b"".join(out))
+
+
+def unpack_rows(data: bytes, n: int, zip_) -> list[np.ndarray]:
+    data, at, out = zip_.decompress(data), 0, []
+    for name, kind in PACKED:
+        width, low = np.dtype(kind).itemsize, 0
+        if name == "doc":
+            low = np.frombuffer(data, "<i8", 1, at)[0]
+            at += 8
+        c = np.frombuffer(data, np.uint8, n * width, at).reshape(width, n).T.copy().view(kind).ravel()
+        at += n * width
+        out.append(np.cumsum(c) if name == "token" else c + low if name == "doc" else c)
+    return out
+
+
+def index_batches(batches, rank: bytes, buckets: int):
+    """Index rows of this partition, packed by bucket of their token: few rows for the shuffle to handle."""
+    import zstandard
+
+    zip_, held, count = zstandard.ZstdCompressor(level=1), [], 0
+
+    def packed():
+        columns = {name: np.concatenate([h[k] for h in held]) for k, (name, _) in enumerate(PACKED)}
+        bucket = (rolling.mix(columns["token"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((columns["token"], bucket))
+        bucket = bucket[order]
+        cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
+        columns = {k: c[order] for k, c in columns.items()}
+        rows = [(int(bucket[a]), int(b - a), pack_rows({k: c[a:b] for k, c in columns.items()}, zip_)) for a, b in zip(cuts, cuts[1:])]
+        bucket, n, data = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(n, pa.int64()), pa.array(data, pa.binary())], ["bucket", "n", "data"])
+
+    for columns in index_rows(batches, rank):
+        held.append(columns)
+        count += len(columns[0])
+        if count >= RUN_ROWS:
+            yield packed()
+            held, count = [], 0
+    if count:
+        yield packed()
+
+
+def index_rows(batches, rank: bytes):
     rank = np.frombuffer(rank, np.uint8)
     for batch in batches:
         batch = batch.filter(batch.column("doc_id").is_valid())
@@ -151,41 +210,41 @@ def index_batches(batches, rank: bytes):
                 of = line[keep]
                 # a later equal line gets one row, size 0: it is known to go
                 sizes = np.where(later[of], 0, size[of])
-                yield pa.RecordBatch.from_arrays([pa.array(tokens[keep]), pa.array(doc[of]), pa.array(number[of].astype(np.int32)), pa.array(sizes.astype(np.int32)), pa.array(pos[keep].astype(np.int32)),
-                                                  pa.array(bits[of].view(np.int64)), pa.array(sets[of].view(np.int64))], INDEX.replace(" long", "").replace(" int", "").split(", "))
+                yield tokens[keep], doc[of], number[of], sizes, pos[keep], bits[of], (sets[of] >> np.uint64(32))
 
 
-def whole_tokens(batches, rows: int = 200_000):
-    """Tables of at least so many rows that never split the rows of a token."""
-    held, n = [], 0
+def bucket_rows(batches):
+    """The columns of each bucket of a sorted partition."""
+    import zstandard
+
+    zip_, now, held = zstandard.ZstdDecompressor(), None, []
     for batch in batches:
-        held.append(batch)
-        n += batch.num_rows
-        if n < rows:
-            continue
-        t = pa.Table.from_batches(held).combine_chunks()
-        token = t.column("token").to_numpy()
-        cut = int(np.searchsorted(token, token[-1]))
-        if cut:
-            yield t.slice(0, cut)
-        held, n = t.slice(cut).to_batches(), t.num_rows - cut
-    if n:
-        yield pa.Table.from_batches(held).combine_chunks()
+        for bucket, n, data in zip(*(batch.column(c).to_pylist() for c in ("bucket", "n", "data"))):
+            if bucket != now and held:
+                yield [np.concatenate(c) for c in zip(*held)]
+                held = []
+            now = bucket
+            held.append(unpack_rows(data, n, zip_))
+    if held:
+        yield [np.concatenate(c) for c in zip(*held)]
 
 
 def meet_batches(batches):
-    for t in whole_tokens(batches):
-        token, doc, line, size, pos, bits, sets = (t.column(c).to_numpy() for c in ("token", "doc_id", "line", "size", "pos", "bits", "sets"))
+    for token, doc, line, size, pos, bits, sets in bucket_rows(batches):
         gone = size == 0
-        order = np.lexsort((line, doc, sets, token))
+        order = np.lexsort((sets, token))
         order = order[~gone[order]]
-        same = np.zeros(len(order), bool)
-        same[1:] = (token[order[1:]] == token[order[:-1]]) & (sets[order[1:]] == sets[order[:-1]]) & (size[order[1:]] == size[order[:-1]])
-        twin = order[same]
+        a, b = order[1:], order[:-1]
+        new = np.append(True, (token[a] != token[b]) | (sets[a] != sets[b]) | (size[a] != size[b]) | (bits[a] != bits[b]))[:len(order)]
+        # of lines with equal sets the earliest goes on
+        many = np.flatnonzero(~new | ~np.append(new[1:], True)[:len(order)])
+        group = np.cumsum(new)
+        order[many] = order[many][np.lexsort((line[order[many]], doc[order[many]], group[many]))]
+        twin = order[~new]
         gone[twin[pos[twin] == 0]] = True
-        rest = order[~same]
+        rest = order[new]
         rest = rest[np.lexsort((size[rest], token[rest]))]
-        k, s, p, w = token[rest], size[rest].astype(np.int64), pos[rest], bits[rest].view(np.uint64)
+        k, s, p, w = token[rest], size[rest].astype(np.int64), pos[rest], bits[rest]
         hit = np.zeros(len(rest), bool)
         i, d = np.arange(len(rest) - 1), 1
         while len(i):
@@ -285,8 +344,9 @@ def repeated_lines(documents: DataFrame) -> DataFrame:
     small_batches(spark)
     docs = documents.select("doc_id", "text")
     rank = rarity(docs)
-    index = arrow_map(docs, "tidemill.llm.lines:index_batches", INDEX, rank=rank)
-    met = written(arrow_map(index.repartition("token").sortWithinPartitions("token"), "tidemill.llm.lines:meet_batches", "verify boolean, doc_id long, line int, token long"), "met")
+    buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    index = arrow_map(docs, "tidemill.llm.lines:index_batches", INDEX, rank=rank, buckets=buckets)
+    met = written(arrow_map(index.repartition("bucket").sortWithinPartitions("bucket"), "tidemill.llm.lines:meet_batches", "verify boolean, doc_id long, line int, token long"), "met")
     asked = met.filter("verify").groupBy("doc_id").agg(F.collect_list(F.struct("line", "token")).alias("asked"))
     # only documents with something to verify travel, where their ids are few enough to send around
     ids = met.filter("verify").select("doc_id").distinct()
