@@ -13,8 +13,6 @@ are on the driver.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -24,7 +22,7 @@ from tidemill.llm.bpe import ByteVocabulary, WordCache
 from tidemill.llm.common import arrow_map, small_batches, table, written
 
 CAPACITY = 2048
-GRAIN = 8
+GRAIN = 4
 PIECES = "doc_id long, copy long, start long, length long, ids_crc32 long, doc_tokens long"
 _held: dict = {}
 
@@ -119,11 +117,45 @@ def piece_batches(batches, path: str, capacity: int, end_id: int):
         yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "copy", "start", "length", "ids_crc32", "doc_tokens"])
 
 
-def solve(demand: np.ndarray, capacity: int, gap: float = 2e-3, rounds: int = 3000) -> list[tuple[np.ndarray, float]]:
+def price(sizes: np.ndarray, dual: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unbounded knapsack: the best value within each capacity, and the item taken there (-1: none)."""
+    best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    for c in range(int(sizes[0]), capacity + 1):
+        k = int(np.searchsorted(sizes, c, side="right"))
+        value = best[c - sizes[:k]] + dual[:k]
+        j = int(np.argmax(value))
+        best[c] = best[c - 1]
+        if value[j] > best[c] + 1e-12:
+            best[c], pick[c] = value[j], j
+    return best, pick
+
+
+def first_fit(demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
+    """First fit decreasing on a histogram: (pattern over sizes, uses)."""
+    left, out = np.array(demand, np.int64), []
+    while left.any():
+        pattern, room = np.zeros(len(left), np.int64), capacity
+        while room:
+            fits = np.flatnonzero(left[:room] > pattern[:room])
+            if not len(fits):
+                break
+            i = int(fits[-1])
+            k = min(int(left[i] - pattern[i]), room // (i + 1))
+            pattern[i] += k
+            room -= (i + 1) * k
+        used = np.flatnonzero(pattern)
+        times = int((left[used] // pattern[used]).min())
+        left -= pattern * times
+        out.append((pattern, times))
+    return out
+
+
+def solve(demand: np.ndarray, capacity: int, gap: float = 2e-3, rounds: int = 500, columns: int = 30, smooth: float = 0.9) -> list[tuple[np.ndarray, float]]:
     """Fractional cutting stock. demand[i]: items of size i + 1 -> [(pattern over sizes, uses)].
 
-    Revised simplex with an explicit basis inverse. Stops at optimality, or once Farley's bound
-    proves the relative gap small.
+    Revised simplex with an explicit basis inverse, begun with the patterns of first fit decreasing. One run of the knapsack prices many columns: the
+    best pattern around each size. Prices are taken between the present duals and those of the best
+    bound so far, which damps their swings. Stops once Farley's bound proves the relative gap small.
     """
     sizes = np.flatnonzero(demand) + 1
     d = demand[sizes - 1].astype(float)
@@ -131,38 +163,53 @@ def solve(demand: np.ndarray, capacity: int, gap: float = 2e-3, rounds: int = 30
     basis = np.diag(capacity // sizes).astype(float)
     inverse = np.diag(1.0 / (capacity // sizes))
     x = inverse @ d
-    for _ in range(rounds):
-        dual = np.ones(m) @ inverse
-        # unbounded knapsack: best[c] over all patterns of size at most c
-        best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-        for c in range(1, capacity + 1):
-            k = int(np.searchsorted(sizes, c, side="right"))
-            best[c] = best[c - 1]
-            if k:
-                value = best[c - sizes[:k]] + dual[:k]
-                j = int(np.argmax(value))
-                if value[j] > best[c] + 1e-12:
-                    best[c], pick[c] = value[j], j
-        if best[capacity] <= 1 + gap:
-            break
-        column, c = np.zeros(m), capacity
-        while c > 0:
-            if pick[c] < 0:
-                c -= 1
-            else:
-                column[pick[c]] += 1
-                c -= sizes[pick[c]]
+
+    def enter(column: np.ndarray) -> bool:
+        """Take a column into the basis if the present duals favour it."""
+        if inverse.sum(axis=0) @ column <= 1 + 1e-7:
+            return False
         direction = inverse @ column
-        ratio = np.where(direction > 1e-9, x / np.where(direction > 1e-9, direction, 1), np.inf)
+        up = direction > 1e-9
+        ratio = np.where(up, np.maximum(x, 0) / np.where(up, direction, 1), np.inf)
         out = int(np.argmin(ratio))
         if not np.isfinite(ratio[out]):
-            break
-        x = x - ratio[out] * direction
-        x[out] = ratio[out]
+            return False
+        step = ratio[out]
+        x[:] = x - step * direction
+        x[out] = step
         pivot = inverse[out] / direction[out]
-        inverse -= np.outer(direction, pivot)
+        inverse[:] -= np.outer(direction, pivot)
         inverse[out] = pivot
         basis[:, out] = column
+        return True
+
+    start = [pattern[sizes - 1].astype(float) for pattern, _ in first_fit(demand, capacity)]
+    for _ in range(20):
+        if not any([enter(column) for column in start]):
+            break
+    centre, bound, missed = np.zeros(m), 0.0, False
+    for _ in range(rounds):
+        now = inverse.sum(axis=0)
+        dual = now if missed or not bound else np.maximum(smooth * centre + (1 - smooth) * now, 0)
+        best, pick = price(sizes, dual, capacity)
+        if dual @ d / best[capacity] > bound:
+            bound, centre = dual @ d / best[capacity], dual / best[capacity]
+        if x.sum() <= bound * (1 + gap):
+            break
+        around, moved = best[capacity - sizes] + dual, False
+        for j in np.argsort(-around)[:columns]:
+            column, c = np.zeros(m), capacity - sizes[j]
+            column[j] = 1
+            while c > 0:
+                if pick[c] < 0:
+                    c -= 1
+                else:
+                    column[pick[c]] += 1
+                    c -= sizes[pick[c]]
+            moved |= enter(column)
+        if not moved and dual is now:
+            break
+        missed = not moved
     out = []
     for j in range(m):
         pattern = np.zeros(len(demand), np.int64)
@@ -202,19 +249,8 @@ def assign(counts: dict[int, int], capacity: int, grain: int) -> list[tuple[int,
                 times = min(times, int(min(inside)))
             if times:
                 give(pattern, times)
-    while left.any():  # first fit decreasing on what rounding left
-        pattern, room = Counter(), classes
-        while room:
-            fits = np.flatnonzero(left[:room] - np.array([pattern[i] for i in range(room)]))
-            if not len(fits):
-                break
-            i = int(fits[-1])
-            pattern[i] += min(int(left[i]) - pattern[i], room // (i + 1))
-            room -= (i + 1) * pattern[i]
-        full = np.zeros(classes, np.int64)
-        for i, k in pattern.items():
-            full[i] = k
-        give(full, int(min(left[i] // k for i, k in pattern.items())))
+    for pattern, times in first_fit(left.copy(), classes):  # what rounding left
+        give(pattern, times)
     return rows
 
 
