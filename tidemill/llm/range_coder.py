@@ -1,11 +1,11 @@
-"""Adaptive context-mixing range coder over 16-bit symbols, many blocks in step.
+"""Adaptive context-mixing range coder over 16-bit ids, many blocks in step.
 
 Every block starts from empty statistics, so blocks are independent; numpy works on all of them
-at once, one symbol of each per step. A symbol is four nibbles. Three models give each nibble's
-distribution: order 0 (the nibbles before it in the symbol), order 1 and order 2 (those hashed
-with one or two symbols before). The distributions are mixed by weights that follow the
-probability each model gave to what was coded. All arithmetic is on integers, so any machine
-decodes what another wrote.
+at once, one id of each per step. The order-2 and the order-1 context each predict an id, with a
+confidence that grows while they are right. The confidences together choose adaptive odds for
+three cases: order 2 is right, order 1 is, or neither. In the last case the id is coded by order 0,
+as four nibbles with adaptive counts of each nibble after those before it. All arithmetic is on
+integers, so any machine decodes what another wrote.
 
 A block's bytes: magic, number of documents, symbols and payload bytes, crc32 of the rest; then
 documents' ids, null flags and lengths, and the payload.
@@ -21,66 +21,71 @@ import numpy as np
 MAGIC = b"TMB1"
 HEAD = struct.Struct("<4sIQQI")
 TOP, BOTTOM, BYTE, HIGH = np.uint64(1 << 56), np.uint64(1 << 48), np.uint64(8), np.uint64(56)
-CONTEXTS = (1 + 16 + 256 + 4096, 1 << 10, 1 << 9)
+NODES = 1 + 16 + 256 + 4096
+GUESSES = (1 << 12, 1 << 13)
 STEP, LIMIT = 24, 4000
 
 
 class Models:
+    """Statistics of all lanes. `step` codes one id per lane by calling `code` for each decision."""
+
     def __init__(self, lanes: int):
-        self.counts = [np.ones((lanes * c, 16), np.uint16) for c in CONTEXTS]
-        self.sums = [np.full(lanes * c, 16, np.int32) for c in CONTEXTS]
-        self.weight = np.full((4, 3, lanes), 256, np.int32)
-        self.last = np.zeros((2, lanes), np.int64)
+        self.counts, self.sums = np.ones((lanes * NODES, 16), np.uint16), np.full(lanes * NODES, 16, np.int32)
+        self.guess = [np.zeros(lanes * g, np.int32) for g in GUESSES]
+        self.sure = [np.zeros(lanes * g, np.uint8) for g in GUESSES]
+        self.odds = np.ones((lanes * 32, 3), np.int32)
+        self.one, self.two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.lane = np.arange(lanes)
 
-    def mix(self, n: int, nibble: int, so_far: np.ndarray):
-        """Frequencies of the next nibble, 12 bits and a little, and their running sums."""
-        node = (0, 1, 17, 273)[nibble] + so_far
-        mark = node * 2654435761
-        one = self.last[0, :n] * 40503
-        lane = self.lane[:n]
-        self.at = (lane * CONTEXTS[0] + node, lane * CONTEXTS[1] + (((one + mark) >> 7) % CONTEXTS[1]), lane * CONTEXTS[2] + (((one + self.last[1, :n] * 60493 + mark + 977) >> 7) % CONTEXTS[2]))
-        w = self.weight[nibble, :, :n]
-        part = (w << 10) // w.sum(axis=0)
-        self.shares = []
-        mixed = 0
-        for k in range(3):
-            unit = ((1 << 22) // self.sums[k].take(self.at[k])).astype(np.int32)
-            share = self.counts[k].take(self.at[k], axis=0) * unit[:, None] >> 10
-            self.shares.append(share)
-            mixed = mixed + share * part[k][:, None]
-        mixed = (mixed >> 10) + 1
-        return mixed, np.cumsum(mixed, axis=1)
-
-    def learn(self, n: int, nibble: int, symbol: np.ndarray) -> None:
-        place = self.lane[:n] * 16 + symbol
-        for k in range(3):
-            w = self.weight[nibble, k, :n]
-            w += self.shares[k].ravel().take(place) - (w >> 5)
-            at = self.at[k]
-            self.counts[k].reshape(-1)[at * 16 + symbol] += np.uint16(STEP)
-            total = self.sums[k].take(at) + STEP
-            self.sums[k][at] = total
-            if total.max(initial=0) > LIMIT:
-                a = at[total > LIMIT]
-                half = (self.counts[k][a] >> 1) | 1
-                self.counts[k][a] = half
-                self.sums[k][a] = half.sum(axis=1)
-
-    def close(self, n: int, symbol: np.ndarray) -> None:
-        self.last[1, :n] = self.last[0, :n]
-        self.last[0, :n] = symbol
-
-
-def narrow(low: np.ndarray, span: np.ndarray, n: int, f: np.ndarray, end: np.ndarray, unit: np.ndarray) -> None:
-    low[:n] += (end - f).astype(np.uint64) * unit
-    span[:n] = f.astype(np.uint64) * unit
-
-
-def normalise(low: np.ndarray, span: np.ndarray, n: int, shift) -> None:
-    """Send out settled bytes. The span is at least 2**48 then, enough for two nibbles."""
-    a, r = low[:n], span[:n]
-    at = np.flatnonzero((r < BOTTOM) | (((a ^ (a + r)) < TOP) & (a + r >= a)))
+    def step(self, n: int, ids: np.ndarray | None, code, settle) -> np.ndarray:
+        """ids: what to encode, or None to decode. code(lanes, freq, upto, wanted) returns the decision."""
+        lane, one, two = self.lane[:n], self.one[:n], self.two[:n]
+        mark = one * 2654435761
+        at = [lane * GUESSES[0] + (mark >> 9) % GUESSES[0], lane * GUESSES[1] + ((mark + two * 40503 * 65599) >> 11) % GUESSES[1]]
+        first, second = (g.take(a) for g, a in zip(self.guess, at))
+        trust = [s.take(a) for s, a in zip(self.sure, at)]
+        case = lane * 32 + np.minimum(trust[1], 3).astype(np.int64) * 8 + np.minimum(trust[0], 3) * 2 + (first == second)
+        freq = self.odds.take(case, axis=0)
+        wanted = None if ids is None else np.where(ids == second, 1, np.where(ids == first, 2, 0))
+        which = code(lane, freq, np.cumsum(freq, axis=1), wanted)
+        self.odds[case, which] += STEP
+        full = case[freq.sum(axis=1) > LIMIT]
+        self.odds[full] = (self.odds[full] >> 1) | 1
+        out = np.where(which == 1, second, first).astype(np.int64)
+        miss = np.flatnonzero(which == 0)
+        if len(miss):
+            out[miss] = self.order_0(miss, None if ids is None else ids[miss], code, settle)
+        settle(lane)
+        for k in range(2):
+            right = (first, second)[k] == out
+            self.guess[k][at[k]] = np.where(right | (trust[k] > 0), (first, second)[k], out)
+            self.sure[k][at[k]] = np.where(right, np.minimum(trust[k] + 1, 15), trust[k] >> 1)
+        self.two[:n], self.one[:n] = self.one[:n].copy(), out
+        return out
+
+    def order_0(self, lanes: np.ndarray, ids: np.ndarray | None, code, settle) -> np.ndarray:
+        so_far = np.zeros(len(lanes), np.int64)
+        for nibble, base in enumerate((0, 1, 17, 273)):
+            at = lanes * NODES + base + so_far
+            freq = self.counts.take(at, axis=0).astype(np.int32)
+            symbol = code(lanes, freq, np.cumsum(freq, axis=1), None if ids is None else (ids >> (12 - 4 * nibble)) & 15)
+            if nibble in (0, 2):
+                settle(lanes)
+            self.counts.reshape(-1)[at * 16 + symbol] += np.uint16(STEP)
+            total = self.sums.take(at) + STEP
+            self.sums[at] = total
+            full = at[total > LIMIT]
+            if len(full):
+                half = (self.counts[full] >> 1) | 1
+                self.counts[full] = half
+                self.sums[full] = half.sum(axis=1)
+            so_far = so_far * 16 + symbol
+        return so_far
+
+
+def normalise(low: np.ndarray, span: np.ndarray, lanes: np.ndarray, shift) -> None:
+    """Send out settled bytes. The span is at least 2**48 then, enough for two decisions."""
+    at = lanes
     while len(at):
         a, r = low[at], span[at]
         settled = ((a ^ (a + r)) < TOP) & (a + r >= a)
@@ -91,42 +96,44 @@ def normalise(low: np.ndarray, span: np.ndarray, n: int, shift) -> None:
             shift(at)
 
 
+def narrow(low, span, lanes, freq, upto, symbol, unit) -> None:
+    place = np.arange(len(lanes)) * freq.shape[1] + symbol
+    f = freq.ravel().take(place)
+    low[lanes] += (upto.ravel().take(place) - f).astype(np.uint64) * unit
+    span[lanes] = f.astype(np.uint64) * unit
+
+
 def encode_lanes(streams: list[np.ndarray]) -> list[bytes]:
-    """Code each stream of 16-bit symbols by itself."""
+    """Code each stream of 16-bit ids by itself."""
     order = sorted(range(len(streams)), key=lambda i: -len(streams[i]))
     length = np.array([len(streams[i]) for i in order])
     data = np.zeros((len(order), int(length.max(initial=0))), np.int64)
     for row, i in enumerate(order):
         data[row, :length[row]] = streams[i]
     lanes = len(order)
-    models = Models(lanes)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
     out, size = np.zeros((lanes, 3 * data.shape[1] + 16), np.uint8), np.zeros(lanes, np.int64)
 
-    def put(n_out: np.ndarray) -> None:
+    def put(at: np.ndarray) -> None:
         nonlocal out
-        if len(n_out) and size[n_out].max() + 2 >= out.shape[1]:
+        if size[at].max() + 2 >= out.shape[1]:
             out = np.hstack([out, np.zeros_like(out)])
-        out[n_out, size[n_out]] = (low[n_out] >> HIGH).astype(np.uint8)
-        size[n_out] += 1
-        low[n_out] <<= BYTE
-        span[n_out] <<= BYTE
+        out[at, size[at]] = (low[at] >> HIGH).astype(np.uint8)
+        size[at] += 1
+        low[at] <<= BYTE
+        span[at] <<= BYTE
+
+    def code(at, freq, upto, wanted):
+        narrow(low, span, at, freq, upto, wanted, span[at] // upto[:, -1].astype(np.uint64))
+        return wanted
 
+    models = Models(lanes)
     for t in range(data.shape[1]):
         n = int(np.searchsorted(-length, -t, side="left"))
-        so_far = np.zeros(n, np.int64)
-        for nibble in range(4):
-            symbol = (data[:n, t] >> (12 - 4 * nibble)) & 15
-            freq, upto = models.mix(n, nibble, so_far)
-            row = models.lane[:n]
-            narrow(low, span, n, freq[row, symbol], upto[row, symbol], span[:n] // upto[:, 15].astype(np.uint64))
-            if nibble & 1:
-                normalise(low, span, n, put)
-            models.learn(n, nibble, symbol)
-            so_far = so_far * 16 + symbol
-        models.close(n, data[:n, t])
+        models.step(n, data[:n, t], code, lambda at: normalise(low, span, at, put))
     for _ in range(8):
-        put(np.arange(lanes))
+        if lanes:
+            put(np.arange(lanes))
     result: list = [b""] * lanes
     for row, i in enumerate(order):
         result[i] = out[row, :size[row]].tobytes()
@@ -141,35 +148,29 @@ def decode_lanes(payloads: list[bytes], lengths: list[int]) -> list[np.ndarray]:
     data = np.zeros((lanes, width), np.uint8)
     for row, i in enumerate(order):
         data[row, :len(payloads[i])] = np.frombuffer(payloads[i], np.uint8)
-    models = Models(lanes)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    code = data[:, :8].copy().view(">u8").ravel().astype(np.uint64)
+    value = data[:, :8].copy().view(">u8").ravel().astype(np.uint64)
     place = np.full(lanes, 8)
     out = np.zeros((lanes, steps), np.int64)
 
     def pull(at: np.ndarray) -> None:
-        code[at] = (code[at] << BYTE) | data[at, np.minimum(place[at], width - 1)]
+        value[at] = (value[at] << BYTE) | data[at, np.minimum(place[at], width - 1)]
         place[at] += 1
         low[at] <<= BYTE
         span[at] <<= BYTE
 
+    def code(at, freq, upto, wanted):
+        total = upto[:, -1].astype(np.uint64)
+        unit = span[at] // total
+        where = np.minimum((value[at] - low[at]) // unit, total - np.uint64(1)).astype(np.int32)
+        symbol = (upto <= where[:, None]).sum(axis=1)
+        narrow(low, span, at, freq, upto, symbol, unit)
+        return symbol
+
+    models = Models(lanes)
     for t in range(steps):
         n = int(np.searchsorted(-length, -t, side="left"))
-        so_far = np.zeros(n, np.int64)
-        row = models.lane[:n]
-        for nibble in range(4):
-            freq, upto = models.mix(n, nibble, so_far)
-            total = upto[:, 15].astype(np.uint64)
-            unit = span[:n] // total
-            value = np.minimum((code[:n] - low[:n]) // unit, total - np.uint64(1)).astype(np.int32)
-            symbol = (upto <= value[:, None]).sum(axis=1)
-            narrow(low, span, n, freq[row, symbol], upto[row, symbol], unit)
-            if nibble & 1:
-                normalise(low, span, n, pull)
-            models.learn(n, nibble, symbol)
-            so_far = so_far * 16 + symbol
-        models.close(n, so_far)
-        out[:n, t] = so_far
+        out[:n, t] = models.step(n, None, code, lambda at: normalise(low, span, at, pull))
     result: list = [None] * lanes
     for row, i in enumerate(order):
         result[i] = out[row, :length[row]]

@@ -20,7 +20,7 @@ from tidemill.llm.common import arrow_map, small_batches, table, written
 from tidemill.llm.range_coder import pack_blocks, unpack_blocks
 from tidemill.llm.token_counts import CUT, UNSURE, counter, slices
 
-BLOCK, LANES = 4096, 640
+BLOCK, LANES = 4096, 1000
 BLOCKS = "part int, block int, before long, n_ids long, data binary"
 _held: dict = {}
 
