@@ -67,6 +67,14 @@ def written(df: DataFrame, label: str = "t") -> DataFrame:
     return out
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of results that have been written and are no longer referred to."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop_written(df: DataFrame) -> None:
     """Delete a table made by written() once nothing refers to it any more."""
     path = getattr(df, "_tidemill_path", None)

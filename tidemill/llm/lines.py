@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm import rolling
-from tidemill.llm.common import arrow_map, small_batches, table, written
+from tidemill.llm.common import arrow_map, free_shuffles, small_batches, table, written
 from tidemill.llm.simhash import groups
 
 #: Jaccard 0.8 as a fraction, and the fewest words of a line that is compared.
@@ -33,6 +33,8 @@ SMALL = 1_000_000
 INDEX = "bucket int, n long, data binary"
 #: Columns of a packed run of index rows.
 PACKED = (("token", "<i8"), ("doc", "<i8"), ("line", "<i4"), ("size", "<i4"), ("pos", "<i4"), ("bits", "<u8"), ("sets", "<u4"))
+#: Lines of more tokens than this carry a second bitmap, of WIDE words.
+LONG, WIDE = 64, 4
 #: Index rows packed together, and buckets of tokens for each shuffle partition.
 RUN_ROWS, BUCKETS = 300_000, 4
 SPACE = np.zeros(256, bool)
@@ -129,6 +131,19 @@ def signature(tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nda
     return bits, np.add.reduceat(rolling.mix(m ^ np.uint64(rolling.BASE)), first)
 
 
+def wide_signature(tokens: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Parity bitmap of WIDE words for each long line; zero for the others."""
+    out = np.zeros((len(first), WIDE), np.uint64)
+    long = np.flatnonzero(size > LONG)
+    if len(long):
+        m = rolling.mix(rolling.mix(tokens[np.repeat(size > LONG, size)].astype(np.uint64)) + np.uint64(1))
+        word, bit = (m >> np.uint64(6)) & np.uint64(WIDE - 1), np.uint64(1) << (m & np.uint64(63))
+        start = np.cumsum(size[long]) - size[long]
+        for k in range(WIDE):
+            out[long, k] = np.bitwise_xor.reduceat(np.where(word == k, bit, np.uint64(0)), start)
+    return out
+
+
 def pack_rows(columns: dict[str, np.ndarray], zip_) -> bytes:
     """Columns in byte planes (tokens as differences, documents from the least), compressed."""
     out = []
@@ -140,6 +155,7 @@ def pack_rows(columns: dict[str, np.ndarray], zip_) -> bytes:
             out.append(c.min().tobytes())
             c = c - c.min()
         out.append(c.view(np.uint8).reshape(len(c), -1).T.tobytes())
+    out.append(columns["wide"][columns["size"] > LONG].tobytes())
     return zip_.compress(b"".join(out))
 
 
@@ -153,7 +169,10 @@ def unpack_rows(data: bytes, n: int, zip_) -> list[np.ndarray]:
         c = np.frombuffer(data, np.uint8, n * width, at).reshape(width, n).T.copy().view(kind).ravel()
         at += n * width
         out.append(np.cumsum(c) if name == "token" else c + low if name == "doc" else c)
-    return out
+    long = np.flatnonzero(out[3] > LONG)
+    wide = np.zeros((n, WIDE), np.uint64)
+    wide[long] = np.frombuffer(data, np.uint64, len(long) * WIDE, at).reshape(-1, WIDE)
+    return [*out, wide]
 
 
 def index_batches(batches, rank: bytes, buckets: int):
@@ -163,7 +182,7 @@ def index_batches(batches, rank: bytes, buckets: int):
     zip_, held, count = zstandard.ZstdCompressor(level=1), [], 0
 
     def packed():
-        columns = {name: np.concatenate([h[k] for h in held]) for k, (name, _) in enumerate(PACKED)}
+        columns = {name: np.concatenate([h[k] for h in held]) for k, name in enumerate([*(n for n, _ in PACKED), "wide"])}
         bucket = (rolling.mix(columns["token"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((columns["token"], bucket))
         bucket = bucket[order]
@@ -200,6 +219,7 @@ def index_rows(batches, rank: bytes):
                 tokens, line, size = token_sets(w, rank, some)
                 first = np.concatenate([[0], np.cumsum(size)[:-1]])
                 bits, sets = signature(tokens, first)
+                wide = wide_signature(tokens, first, size)
                 doc, number = docs[a:b][w.text[part]], w.number[part]
                 # equal sets within this slice: only the earliest goes on (map-side combine)
                 order = np.lexsort((number, doc, sets))
@@ -210,7 +230,7 @@ def index_rows(batches, rank: bytes):
                 of = line[keep]
                 # a later equal line gets one row, size 0: it is known to go
                 sizes = np.where(later[of], 0, size[of])
-                yield tokens[keep], doc[of], number[of], sizes, pos[keep], bits[of], (sets[of] >> np.uint64(32))
+                yield tokens[keep], doc[of], number[of], sizes, pos[keep], bits[of], sets[of] >> np.uint64(32), wide[of]
 
 
 def bucket_rows(batches):
@@ -230,7 +250,7 @@ def bucket_rows(batches):
 
 
 def meet_batches(batches):
-    for token, doc, line, size, pos, bits, sets in bucket_rows(batches):
+    for token, doc, line, size, pos, bits, sets, wide in bucket_rows(batches):
         gone = size == 0
         order = np.lexsort((sets, token))
         order = order[~gone[order]]
@@ -244,7 +264,7 @@ def meet_batches(batches):
         gone[twin[pos[twin] == 0]] = True
         rest = order[new]
         rest = rest[np.lexsort((size[rest], token[rest]))]
-        k, s, p, w = token[rest], size[rest].astype(np.int64), pos[rest], bits[rest]
+        k, s, p, w, wide = token[rest], size[rest].astype(np.int64), pos[rest], bits[rest], wide[rest]
         hit = np.zeros(len(rest), bool)
         i, d = np.arange(len(rest) - 1), 1
         while len(i):
@@ -254,6 +274,9 @@ def meet_batches(batches):
             i, j = i[ok], j[ok]
             need = needed(s[i], s[j])
             near = (np.minimum(s[i] - p[i], s[j] - p[j]) >= need) & (np.bitwise_count(w[i] ^ w[j]) <= s[i] + s[j] - 2 * need)
+            both = np.flatnonzero(near & (s[i] > LONG) & (s[j] > LONG))
+            apart = np.bitwise_count(wide[i[both]] ^ wide[j[both]]).sum(axis=1, dtype=np.int64)
+            near[both[apart > s[i[both]] + s[j[both]] - 2 * need[both]]] = False
             hit[i[near]] = True
             hit[j[near]] = True
             d += 1
@@ -347,12 +370,16 @@ def repeated_lines(documents: DataFrame) -> DataFrame:
     buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     index = arrow_map(docs, "tidemill.llm.lines:index_batches", INDEX, rank=rank, buckets=buckets)
     met = written(arrow_map(index.repartition("bucket").sortWithinPartitions("bucket"), "tidemill.llm.lines:meet_batches", "verify boolean, doc_id long, line int, token long"), "met")
+    del index
+    free_shuffles(spark)
     asked = met.filter("verify").groupBy("doc_id").agg(F.collect_list(F.struct("line", "token")).alias("asked"))
     # only documents with something to verify travel, where their ids are few enough to send around
     ids = met.filter("verify").select("doc_id").distinct()
     some = docs.join(F.broadcast(ids), "doc_id", "left_semi") if ids.count() <= SMALL else docs
     lists = arrow_map(some.join(asked, "doc_id").select("doc_id", "text", "asked"), "tidemill.llm.lines:list_batches", "token long, doc_id long, line int, tokens array<long>", rank=rank)
-    verified = arrow_map(lists.repartition("token").sortWithinPartitions("token"), "tidemill.llm.lines:verify_batches", "doc_id long, line int")
+    verified = written(arrow_map(lists.repartition("token").sortWithinPartitions("token"), "tidemill.llm.lines:verify_batches", "doc_id long, line int"), "verified")
+    del lists, some, asked
+    free_shuffles(spark)
     gone = met.filter("not verify").select("doc_id", "line").union(verified)
     return gone.groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
 
