@@ -1,0 +1,59 @@
+"""Instruments as a small dimension table: classes, costs and leverage caps per symbol."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+SCHEMA = "symbol string, asset_class string, source string, calendar string, fee_bps double, slippage_bps double, max_leverage double"
+#: Costs per side where an instrument says nothing, in basis points: exchange -> (fee, slippage).
+EXCHANGE_COSTS = {"default": (5.0, 3.0), "alternative": (5.5, 3.0), "zero": (0.0, 0.0)}
+
+
+class UniverseError(ValueError):
+    pass
+
+
+def dimension(spark: SparkSession, universes: dict[str, dict]) -> DataFrame:
+    """One row per symbol of {class: {symbols, source, costs, cost_overrides, max_leverage, leverage_overrides}}.
+
+    A symbol in two classes is an error.
+    """
+    rows, seen = [], {}
+    for name, u in universes.items():
+        for symbol in u["symbols"]:
+            if symbol in seen:
+                raise UniverseError(f"{symbol} is in {seen[symbol]} and in {name}")
+            seen[symbol] = name
+            costs = {"fee_bps": 5.0, "slippage_bps": 3.0} | u.get("costs", {}) | u.get("cost_overrides", {}).get(symbol, {})
+            cap = u.get("leverage_overrides", {}).get(symbol, u.get("max_leverage", 1.0))
+            rows.append((symbol, name, u.get("source", "exchange"), u.get("calendar", "24/7"), float(costs["fee_bps"]), float(costs["slippage_bps"]), float(cap)))
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def resolve_universe(names: list[str] | None, universes: dict[str, dict]) -> list[str]:
+    """Class names in their registered order; none means the first, 'all' means every one."""
+    names = names or [next(iter(universes))]
+    if names == ["all"]:
+        return list(universes)
+    unknown = set(names) - set(universes)
+    if unknown:
+        raise UniverseError(f"unknown classes {sorted(unknown)}")
+    return [n for n in universes if n in names]
+
+
+def universe_key(names: list[str]) -> str:
+    return "+".join(sorted(names))
+
+
+def with_costs(bars: DataFrame, instruments: DataFrame, bracket: bool = False) -> DataFrame:
+    """cost_rate and max_leverage per bar; unknown symbols get the default, brackets always cap at 1."""
+    fee, slip = EXCHANGE_COSTS["default"]
+    dim = instruments.select("symbol", ((F.col("fee_bps") + F.col("slippage_bps")) / 1e4).alias("cost_rate"), "max_leverage")
+    out = bars.join(F.broadcast(dim), "symbol", "left").withColumn("cost_rate", F.coalesce("cost_rate", F.lit((fee + slip) / 1e4)))
+    return out.withColumn("max_leverage", F.lit(1.0) if bracket else F.coalesce("max_leverage", F.lit(1.0)))
+
+
+def list_perpetuals(markets: DataFrame, quote: str) -> DataFrame:
+    """Active linear swaps settled in a quote currency, the oldest first."""
+    return markets.filter(F.col("active") & F.col("swap") & F.col("linear") & (F.col("quote") == quote)).orderBy("onboarded", "symbol")

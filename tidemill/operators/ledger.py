@@ -23,14 +23,15 @@ def equity_curve(net: str, keys) -> F.Column:
     return F.when(lost == 1, 0.0).otherwise(F.exp(F.sum(F.when(F.col(net) > -1, F.log1p(F.col(net)))).over(w)))
 
 
-def ledger(bars: DataFrame, rate: float = 0.0008, leverage: float = 1.0, funding: bool = True, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+def ledger(bars: DataFrame, rate: float | str = 0.0008, leverage: float | str = 1.0, funding: bool = True, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """Account for a `target` column: the position is the target of the bar before.
 
-    The first bar whose net return is -1 or less ruins the account: its net is -1 and every later
+    rate and leverage are numbers or columns of the bars. The first bar whose net return is -1 or less ruins the account: its net is -1 and every later
     column is 0.
     """
     w = over(keys)
-    target = F.greatest(F.lit(-leverage), F.least(F.lit(leverage), F.coalesce("target", F.lit(0.0))))
+    rate, most = (F.col(x) if isinstance(x, str) else F.lit(x) for x in (rate, leverage))
+    target = F.greatest(-most, F.least(most, F.coalesce("target", F.lit(0.0))))
     out = (bars.withColumn("target", target)
            .withColumn("position", F.coalesce(F.lag("target").over(w), F.lit(0.0)))
            .withColumn("move", F.coalesce(F.try_divide("close", F.lag("close").over(w)) - 1, F.lit(0.0)))

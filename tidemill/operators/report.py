@@ -103,3 +103,43 @@ def weaknesses(summary: DataFrame, trades: DataFrame) -> DataFrame:
     side = F.when(F.col("direction") > 0, "Long").otherwise("Short")
     sides = trades.filter("not open").groupBy(side.alias("name")).agg(F.sum("return").alias("value")).filter("value < 0").select(F.lit("side").alias("kind"), "name", "value")
     return losing.unionByName(sides)
+
+
+def by_class(summary: DataFrame, instruments: DataFrame) -> DataFrame:
+    """The aggregate of each asset class."""
+    return aggregate(summary.join(F.broadcast(instruments.select("symbol", "asset_class")), "symbol"), ("asset_class",))
+
+
+def holding(trades: DataFrame) -> DataFrame:
+    """Exact linear quantiles of the bars held by closed trades."""
+    q = F.percentile("bars", F.array(F.lit(0.5), F.lit(0.75), F.lit(0.9)))
+    out = trades.filter("not open").groupBy("symbol").agg(F.count("*").alias("trades"), q.alias("q"), F.max("bars").alias("longest"))
+    return out.select("symbol", "trades", *(F.col("q")[k].alias(n) for k, n in enumerate(("p50", "p75", "p90"))), "longest")
+
+
+def capture(book: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Slope and intercept against a benchmark's returns, and the shares of its gains and losses captured."""
+    both = book.select("symbol", "ts", F.col("net").alias("y")).join(benchmark.select("symbol", "ts", F.col("net").alias("x")), ["symbol", "ts"])
+    share = lambda c: F.try_divide(F.avg(F.when(c, F.col("y"))), F.avg(F.when(c, F.col("x"))))
+    return both.groupBy("symbol").agg(F.regr_slope("y", "x").alias("beta"), F.regr_intercept("y", "x").alias("alpha"), share(F.col("x") > 0).alias("up_capture"), share(F.col("x") < 0).alias("down_capture"))
+
+
+def trade_money(trades: DataFrame, book: DataFrame, capital: float = 10_000.0) -> DataFrame:
+    """Each trade's result in money: its share of the equity before its first bar."""
+    w = Window.partitionBy("symbol").orderBy("ts")
+    before = book.select("symbol", F.col("ts").alias("entry"), (F.coalesce(F.lag("equity").over(w), F.lit(1.0)) * capital).alias("account"))
+    return trades.join(before, ["symbol", "entry"]).withColumn("money", F.col("return") * F.col("account")).withColumn(
+        "running", F.sum("money").over(Window.partitionBy("symbol").orderBy("entry").rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def account_summary(book: DataFrame, capital: float = 10_000.0) -> DataFrame:
+    """Span, final and least account, best and worst bar, share of bars that earned, of one symbol each."""
+    return book.groupBy("symbol").agg(
+        F.min("ts").alias("first"), F.max("ts").alias("last"), (F.max_by("equity", "ts") * capital).alias("final"), (F.min("equity") * capital).alias("least"),
+        F.max("net").alias("best"), F.min("net").alias("worst"), F.avg((F.col("net") > 0).cast("double")).alias("winning"))
+
+
+def bands(paths: DataFrame, value: str = "e") -> DataFrame:
+    """5, 50 and 95 % of all paths at each step."""
+    q = F.percentile(value, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
+    return paths.groupBy("step").agg(q.alias("q")).select("step", *(F.col("q")[k].alias(n) for k, n in enumerate(("p05", "p50", "p95"))))

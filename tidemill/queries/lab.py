@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemill.operators import bracket
+from tidemill.operators import bracket, report
 from tidemill.operators import ledger as L
 from tidemill.plans import experiments as X
 from tidemill.plans import specs as S
@@ -81,6 +81,15 @@ def monte_carlo(spark, sf):
     return show(X.monte_carlo(X.paths(pool(spark, sf), 200, 30), [0.5, 1.0, 3.0]).select("size", "risk_of_ruin", "median_max_dd", "median_return", "prob_profit", "p95_max_dd"))
 
 
+@query("path_bands", ledger_sql() + TRADES + f""", po2 AS (SELECT row_number() OVER (ORDER BY symbol, entry) - 1 AS i, ret, count(*) OVER () AS n FROM tr WHERE NOT open), nn AS (SELECT max(n) AS n FROM po2),
+ gr AS (SELECT run, step, {draw_sql('n', 'run', 'step')} AS i FROM (SELECT unnest(range(1, 201)) AS run), (SELECT unnest(range(1, 31)) AS step), nn), cu AS (SELECT step, product(1 + ret) OVER (PARTITION BY run ORDER BY step) AS e FROM gr JOIN po2 USING (i))
+ SELECT step, round(quantile_cont(e, 0.05), 6) AS p05, round(quantile_cont(e, 0.5), 6) AS p50, round(quantile_cont(e, 0.95), 6) AS p95 FROM cu GROUP BY step""")
+def path_bands(spark, sf):
+    w = Window.partitionBy("run").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    curve = X.paths(pool(spark, sf), 200, 30).withColumn("e", F.exp(F.sum(F.log1p("ret")).over(w)))
+    return show(report.bands(curve).withColumn("step", F.col("step").cast("long")))
+
+
 @query("block_bootstrap", ledger_sql() + f""", se AS (SELECT row_number() OVER (ORDER BY ts) - 1 AS i, net AS ret, count(*) OVER () AS n FROM led WHERE symbol = 'click'), nn AS (SELECT max(n) AS n FROM se),
  st AS (SELECT run, b, {draw_sql('(n - 9)', 'run', 'b')} AS f FROM (SELECT unnest(range(1, 101)) AS run), (SELECT unnest(range(0, 10)) AS b), nn), sp AS (SELECT run, b * 10 + k AS step, f + k AS i FROM st, (SELECT unnest(range(0, 10)) AS k) WHERE b * 10 + k < 95),
  cu AS (SELECT run, step, product(1 + ret) OVER (PARTITION BY run ORDER BY step) AS e FROM sp JOIN se USING (i)), fa AS (SELECT *, 1 - e / greatest(1.0, max(e) OVER (PARTITION BY run ORDER BY step)) AS dd FROM cu)

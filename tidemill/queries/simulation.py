@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemill.functions import rules as R
-from tidemill.operators import bracket, report
+from tidemill.operators import bracket, instruments, report
 from tidemill.operators import ledger as L
 from tidemill.queries import W, bars_sql, query, sma_sql
 from tidemill.queries.bars import show
@@ -130,6 +130,45 @@ def weaknesses(spark, sf):
     return show(report.weaknesses(L.summarize(b, t), t))
 
 
+UNIVERSES = {"clicks": {"symbols": ["click", "view"], "costs": {"fee_bps": 2.0}}, "sales": {"symbols": ["purchase", "signup"], "cost_overrides": {"signup": {"slippage_bps": 9.0}}, "max_leverage": 2.0}}
+CLASS = "CASE WHEN symbol IN ('click', 'view') THEN 'clicks' WHEN symbol IN ('purchase', 'signup') THEN 'sales' END"
+
+
+@query("cost_dimension", bars_sql() + " SELECT symbol, round(CASE symbol WHEN 'click' THEN 5 WHEN 'view' THEN 5 WHEN 'signup' THEN 14 ELSE 8 END / 1e4, 6) AS cost_rate, CASE WHEN symbol IN ('purchase', 'signup') THEN 2.0 ELSE 1.0 END::DOUBLE AS max_leverage, count(*)::BIGINT AS bars FROM bars GROUP BY symbol")
+def cost_dimension(spark, sf):
+    rows = instruments.with_costs(B.event_bars(spark, sf), instruments.dimension(spark, UNIVERSES))
+    return show(rows.groupBy("symbol", "cost_rate", "max_leverage").agg(F.count("*").alias("bars")))
+
+
+@query("by_class", ledger_sql() + TRADES + SUMMARY + f" SELECT {CLASS} AS asset_class, count(*)::BIGINT AS symbols, round(median(sharpe), 6) AS median_sharpe, round(min(max_drawdown), 6) AS worst_drawdown FROM su WHERE symbol <> 'error' GROUP BY 1")
+def by_class(spark, sf):
+    b = book(spark, sf)
+    return show(report.by_class(L.summarize(b, L.trades(b, RATE)), instruments.dimension(spark, UNIVERSES)).select("asset_class", "symbols", "median_sharpe", "worst_drawdown"))
+
+
+@query("holding", ledger_sql() + TRADES + " SELECT symbol, count(*)::BIGINT AS trades, round(quantile_cont(bars, 0.5), 6) AS p50, round(quantile_cont(bars, 0.75), 6) AS p75, round(quantile_cont(bars, 0.9), 6) AS p90, max(bars) AS longest FROM tr WHERE NOT open GROUP BY symbol")
+def holding(spark, sf):
+    return show(report.holding(L.trades(book(spark, sf), RATE)))
+
+
+@query("capture", ledger_sql() + f", bm AS (SELECT symbol, ts, coalesce(lag(1) {W}, 0) * coalesce(close / lag(close) {W} - 1, 0) - CASE WHEN lag(1) {W} IS NOT NULL AND lag(1, 2) {W} IS NULL THEN {RATE} ELSE 0 END - coalesce(lag(1) {W}, 0) * funding_rate AS x FROM bars) SELECT symbol, round(regr_slope(net, x), 6) AS beta, round(regr_intercept(net, x), 8) AS alpha, round(avg(net) FILTER (x > 0) / avg(x) FILTER (x > 0), 6) AS up_capture, round(avg(net) FILTER (x < 0) / avg(x) FILTER (x < 0), 6) AS down_capture FROM led JOIN bm USING (symbol, ts) GROUP BY symbol")
+def capture(spark, sf):
+    out = report.capture(book(spark, sf), book(spark, sf, spec={"type": "buy_and_hold"}))
+    return out.select("symbol", *(F.round(c, 8 if c == "alpha" else 6).alias(c) for c in ("beta", "alpha", "up_capture", "down_capture")))
+
+
+@query("trade_money", ledger_sql() + TRADES + ", ac AS (SELECT symbol, ts AS entry, coalesce(lag(equity) OVER (PARTITION BY symbol ORDER BY ts), 1.0) * 10000 AS account FROM led) SELECT symbol, entry::VARCHAR AS entry, round(ret * account, 4) AS money, round(sum(ret * account) OVER (PARTITION BY symbol ORDER BY entry), 4) AS running FROM tr JOIN ac USING (symbol, entry)")
+def trade_money(spark, sf):
+    b = book(spark, sf)
+    return show(report.trade_money(L.trades(b, RATE), b).select("symbol", "entry", "money", "running"), digits=4)
+
+
+@query("account_summary", ledger_sql() + " SELECT symbol, min(ts)::VARCHAR AS first, max(ts)::VARCHAR AS last, round(last(equity ORDER BY ts) * 10000, 4) AS final, round(min(equity) * 10000, 4) AS least, round(max(net), 6) AS best, round(min(net), 6) AS worst, round(avg((net > 0)::INT), 6) AS winning FROM led GROUP BY symbol")
+def account_summary(spark, sf):
+    out = report.account_summary(book(spark, sf))
+    return show(out.withColumns({c: F.round(c, 4) for c in ("final", "least")}))
+
+
 # --- brackets -----------------------------------------------------------------------------------
 
 LONG, SHORT = prior("max", "high", 6), prior("min", "low", 6)
