@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from tidemill.llm import bpe, common, embedding_links, induced, language, lines, packing, pieces, quality, range_coder, simhash, substrings, token_counts, token_ids
+from tidemill.llm import bpe, common, embedding_links, induced, language, lines, near_texts, packing, pieces, quality, range_coder, simhash, substrings, token_counts, token_ids
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, gone string, spans string"
@@ -307,3 +307,40 @@ def test_pipeline(spark):
         assert out.columns == df.columns and 0 < out.count() <= n, name
         df, n = out, out.count()
     assert corpus_pipeline.STAGES[-1][1](spark, df, SF).count() >= n
+
+
+def test_near_dedup_stage_removes_every_near_copy(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(6)
+    names = ["w%d" % i for i in range(3000)]
+    rows = {}
+    for base in range(40):
+        words = list(rng.choice(names, int(rng.integers(5, 400))))
+        for _ in range(4):
+            own = list(words)
+            for at in rng.integers(0, len(own), int(rng.integers(0, 1 + len(own) // 30))):
+                own[at] = str(rng.choice(names))
+            rows[len(rows)] = " ".join(own)
+    rows |= {1000: "a b c", 1001: "A  b\nc", 1002: "a b d", 1003: rows[0].upper(), 1004: "", 1005: None}
+    sets = {}
+    for d, t in rows.items():
+        w = (t or "").encode().lower().split()
+        sets[d] = {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    home = {d: d for d in rows}
+
+    def root(d):
+        while home[d] != d:
+            d = home[d]
+        return d
+
+    n = 0
+    for d, e in itertools.combinations(rows, 2):
+        if 5 * len(sets[d] & sets[e]) >= 4 * len(sets[d] | sets[e]):
+            n += sets[d] != sets[e]
+            a, b = sorted((root(d), root(e)))
+            home[b] = a
+    assert n > 20
+    df = spark.createDataFrame([*rows.items(), (None, rows[0])], "doc_id long, text string").repartition(5)
+    left = [r.doc_id for r in corpus_pipeline.near_dedup(spark, df, SF).collect()]
+    assert sorted(d for d in left if d is not None) == [d for d in rows if root(d) == d] and left.count(None) == 1

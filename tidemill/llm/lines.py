@@ -31,6 +31,7 @@ SLICE_BYTES, SLICE_LINES = 2_000_000, 60_000
 #: Documents up to which a list of ids may be broadcast.
 SMALL = 1_000_000
 INDEX = "bucket int, n long, data binary"
+MET = "verify boolean, doc_id long, line int, token long, shard long"
 #: Columns of a packed run of index rows.
 PACKED = (("token", "<i8"), ("doc", "<i8"), ("line", "<i4"), ("size", "<i4"), ("pos", "<i4"), ("bits", "<u8"), ("sets", "<u4"))
 #: Lines of more tokens than this carry a second bitmap, of WIDE words.
@@ -71,6 +72,27 @@ class Words:
         self.words = np.bincount(self.line, minlength=len(line_start))
 
 
+class Shingles:
+    """The same of whole texts as sets of runs of so many words, ASCII letters in lower case: each text
+    counts as one line. A text of fewer words is one run."""
+
+    def __init__(self, texts: list[bytes], size: int):
+        w = Words([t.lower() for t in texts])
+        owner, n = w.text[w.line], len(texts)
+        self.words = np.bincount(owner, minlength=n)
+        at = np.arange(len(owner)) - (np.cumsum(self.words) - self.words)[owner]
+        start = np.flatnonzero((at == 0) | (at + size <= self.words[owner]))
+        self.line, self.hash = owner[start], np.zeros(len(start), np.uint64)
+        for k in range(size):
+            inside = np.flatnonzero(at[start] + k < self.words[self.line])
+            self.hash[inside] = rolling.mix(self.hash[inside] * np.uint64(3) + rolling.mix(w.hash[start[inside] + k]))
+        self.text, self.number = np.arange(n), np.zeros(n, np.int64)
+
+
+def units(texts: list[bytes], shingle: int):
+    return Shingles(texts, shingle) if shingle else Words(texts)
+
+
 def cut_slices(texts: list[bytes]):
     start = size = lines = 0
     for i, t in enumerate(texts):
@@ -88,12 +110,12 @@ def texts_of(batch) -> list[bytes]:
     return [(t or "").encode("utf-8", "replace") for t in batch.column("text").to_pylist()]
 
 
-def count_batches(batches):
+def count_batches(batches, shingle: int = 0):
     total, seen = np.zeros(1 << BUCKET_BITS, np.int64), False
     for batch in batches:
         texts = texts_of(batch)
         for a, b in cut_slices(texts):
-            h = Words(texts[a:b]).hash
+            h = units(texts[a:b], shingle).hash
             total += np.bincount((h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=1 << BUCKET_BITS)
             seen = True
     if seen:
@@ -102,9 +124,9 @@ def count_batches(batches):
             yield pa.RecordBatch.from_arrays([pa.array(at[k:k + 200_000].astype(np.int32)), pa.array(total[at[k:k + 200_000]])], ["bucket", "n"])
 
 
-def rarity(documents: DataFrame) -> bytes:
-    """One byte per bucket: 2 * log2 of the corpus count of its words, at most 63."""
-    counts = arrow_map(documents.select("text"), "tidemill.llm.lines:count_batches", "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+def rarity(documents: DataFrame, shingle: int = 0) -> bytes:
+    """One byte per bucket: 2 * log2 of the corpus count of its words (or shingles), at most 63."""
+    counts = arrow_map(documents.select("text"), "tidemill.llm.lines:count_batches", "bucket int, n long", shingle=shingle).groupBy("bucket").agg(F.sum("n").alias("n"))
     scaled = counts.select("bucket", F.least(F.floor(F.log2("n") * 2), F.lit(63)).cast("byte").alias("r")).filter("r > 0")
     out = np.zeros(1 << BUCKET_BITS, np.uint8)
     got = scaled.toArrow()  # at most one row per bucket: bounded whatever the corpus
@@ -175,7 +197,7 @@ def unpack_rows(data: bytes, n: int, zip_) -> list[np.ndarray]:
     return [*out, wide]
 
 
-def index_batches(batches, rank: bytes, buckets: int):
+def index_batches(batches, rank: bytes, buckets: int, shingle: int = 0):
     """Index rows of this partition, packed by bucket of their token: few rows for the shuffle to handle."""
     import zstandard
 
@@ -192,7 +214,7 @@ def index_batches(batches, rank: bytes, buckets: int):
         bucket, n, data = zip(*rows)
         return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(n, pa.int64()), pa.array(data, pa.binary())], ["bucket", "n", "data"])
 
-    for columns in index_rows(batches, rank):
+    for columns in index_rows(batches, rank, shingle):
         held.append(columns)
         count += len(columns[0])
         if count >= RUN_ROWS:
@@ -202,14 +224,14 @@ def index_batches(batches, rank: bytes, buckets: int):
         yield packed()
 
 
-def index_rows(batches, rank: bytes):
+def index_rows(batches, rank: bytes, shingle: int = 0):
     rank = np.frombuffer(rank, np.uint8)
     for batch in batches:
         batch = batch.filter(batch.column("doc_id").is_valid())
         docs, texts = batch.column("doc_id").to_numpy(), texts_of(batch)
         for a, b in cut_slices(texts):
-            w = Words(texts[a:b])
-            chosen = w.words >= MIN_WORDS
+            w = units(texts[a:b], shingle)
+            chosen = w.words >= (1 if shingle else MIN_WORDS)
             if not chosen.any():
                 continue
             # very many lines in one text: number them in parts that fit the packed key
@@ -281,16 +303,24 @@ def meet_batches(batches):
             hit[j[near]] = True
             d += 1
         at = np.concatenate([np.flatnonzero(gone), rest[hit]])
+        # which lines are to be verified at this token: tokens with the same lines need only one of them
+        met, name = np.unique(token[rest[hit]], return_inverse=True)
+        among = np.zeros(len(met), np.uint64)
+        np.add.at(among, name, rolling.mix(rolling.mix(doc[rest[hit]].astype(np.uint64)) + line[rest[hit]].astype(np.uint64)))
+        shard = np.concatenate([np.zeros(int(gone.sum()), np.int64), among[name].view(np.int64)])
         kind = np.concatenate([np.zeros(int(gone.sum()), bool), np.ones(int(hit.sum()), bool)])
-        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(doc[at]), pa.array(line[at]), pa.array(token[at])], ["verify", "doc_id", "line", "token"])
+        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(doc[at]), pa.array(line[at]), pa.array(token[at]), pa.array(shard)], ["verify", "doc_id", "line", "token", "shard"])
 
 
-def list_batches(batches, rank: bytes):
+def list_batches(batches, rank: bytes, shingle: int = 0):
     rank = np.frombuffer(rank, np.uint8)
     for batch in batches:
         texts = texts_of(batch)
         for i, (text, doc, asked) in enumerate(zip(texts, batch.column("doc_id").to_pylist(), batch.column("asked").to_pylist())):
-            w = Words([text])
+            w, least = units([text], shingle), {}
+            for x in asked:
+                key = x["line"], x["shard"]
+                least[key] = min(x["token"], least.get(key, x["token"]))
             lines = np.unique([x["line"] for x in asked])
             lines = lines[lines < len(w.words)]
             if not len(lines):
@@ -301,38 +331,45 @@ def list_batches(batches, rank: bytes):
                 some[part] = True
                 tokens, line, size = token_sets(w, rank, some)
                 sets |= dict(zip(part.tolist(), np.split(tokens, np.cumsum(size)[:-1])))
-            rows = [(x["token"], x["line"], sets[x["line"]]) for x in asked if x["line"] in sets]
-            for a in range(0, len(rows), 2000):
-                token, line, tokens = zip(*rows[a:a + 2000])
+            rows = sorted({(t, k) for (k, _), t in least.items() if k in sets})
+            # few sets to a batch where they are long
+            step = max(1, min(2000, 2_000_000 // max(map(len, sets.values()))))
+            for a in range(0, len(rows), step):
+                token, line = zip(*rows[a:a + step])
+                tokens = [sets[k] for k in line]
                 yield pa.RecordBatch.from_arrays([pa.array(token, pa.int64()), pa.array([doc] * len(token), pa.int64()), pa.array(line, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))], ["token", "doc_id", "line", "tokens"])
 
 
-def verify_batches(batches, tile: int = 1024):
+def alike(lists, tile: int = 1024):
+    """(a, c, matrix) for tiles of rows a.. and c.., c <= a: which of the token sets match."""
+    flat, size = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+    names, place = np.unique(flat, return_inverse=True)
+    owner, start = np.repeat(np.arange(len(size)), size), np.concatenate([[0], np.cumsum(size)])
+
+    def incidence(a, b):
+        m = np.zeros((b - a, len(names)), np.float32)
+        m[owner[start[a]:start[b]] - a, place[start[a]:start[b]]] = 1
+        return m
+
+    step = max(8, min(tile, 8_000_000 // max(1, len(names))))
+    for a in range(0, len(size), step):
+        b = min(a + step, len(size))
+        own = incidence(a, b)
+        for c in range(0, b, step):
+            e = min(c + step, b)
+            yield a, c, own @ incidence(c, e).T >= needed(size[a:b, None], size[None, c:e])
+
+
+def verify_batches(batches):
     for g in groups(batches, ["token"]):
         order = np.lexsort((g.column("line").to_numpy(), g.column("doc_id").to_numpy()))
         g = g.take(pa.array(order))
         doc, line = g.column("doc_id").to_numpy(), g.column("line").to_numpy()
-        lists = g.column("tokens")
-        flat, size = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
-        names, place = np.unique(flat, return_inverse=True)
-        owner, start = np.repeat(np.arange(len(size)), size), np.concatenate([[0], np.cumsum(size)])
-        match = np.zeros(len(size), bool)
-
-        def incidence(a, b):
-            m = np.zeros((b - a, len(names)), np.float32)
-            m[owner[start[a]:start[b]] - a, place[start[a]:start[b]]] = 1
-            return m
-
-        step = max(8, min(tile, 8_000_000 // max(1, len(names))))
-        for a in range(0, len(size), step):
-            b = min(a + step, len(size))
-            own = incidence(a, b)
-            for c in range(0, b, step):
-                e = min(c + step, b)
-                both = own @ incidence(c, e).T
-                ok = both >= needed(size[a:b, None], size[None, c:e])
-                ok &= (doc[a:b, None] > doc[None, c:e]) | ((doc[a:b, None] == doc[None, c:e]) & (line[a:b, None] > line[None, c:e]))
-                match[a:b] |= ok.any(axis=1)
+        match = np.zeros(len(doc), bool)
+        for a, c, ok in alike(g.column("tokens")):
+            b, e = a + ok.shape[0], c + ok.shape[1]
+            ok &= (doc[a:b, None] > doc[None, c:e]) | ((doc[a:b, None] == doc[None, c:e]) & (line[a:b, None] > line[None, c:e]))
+            match[a:b] |= ok.any(axis=1)
         if match.any():
             yield pa.RecordBatch.from_arrays([pa.array(doc[match]), pa.array(line[match])], ["doc_id", "line"])
 
@@ -369,10 +406,10 @@ def repeated_lines(documents: DataFrame) -> DataFrame:
     rank = rarity(docs)
     buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     index = arrow_map(docs, "tidemill.llm.lines:index_batches", INDEX, rank=rank, buckets=buckets)
-    met = written(arrow_map(index.repartition("bucket").sortWithinPartitions("bucket"), "tidemill.llm.lines:meet_batches", "verify boolean, doc_id long, line int, token long"), "met")
+    met = written(arrow_map(index.repartition("bucket").sortWithinPartitions("bucket"), "tidemill.llm.lines:meet_batches", MET), "met")
     del index
     free_shuffles(spark)
-    asked = met.filter("verify").groupBy("doc_id").agg(F.collect_list(F.struct("line", "token")).alias("asked"))
+    asked = met.filter("verify").groupBy("doc_id").agg(F.collect_list(F.struct("line", "token", "shard")).alias("asked"))
     # only documents with something to verify travel, where their ids are few enough to send around
     ids = met.filter("verify").select("doc_id").distinct()
     some = docs.join(F.broadcast(ids), "doc_id", "left_semi") if ids.count() <= SMALL else docs
