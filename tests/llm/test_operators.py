@@ -344,3 +344,24 @@ def test_near_dedup_stage_removes_every_near_copy(spark):
     df = spark.createDataFrame([*rows.items(), (None, rows[0])], "doc_id long, text string").repartition(5)
     left = [r.doc_id for r in corpus_pipeline.near_dedup(spark, df, SF).collect()]
     assert sorted(d for d in left if d is not None) == [d for d in rows if root(d) == d] and left.count(None) == 1
+
+
+def test_random_words_are_rejected_in_every_band(spark):
+    import base64
+
+    rng, bands, low = np.random.default_rng(8), quality.Bands(), 50
+    for high, least, _ in quality.BANDS:
+        for short, long in ((1, 2), (2, 3), (3, 5), (6, 10)):
+            if (short == 1) != (high <= 200):
+                continue
+            for _ in range(40):
+                n = int(rng.integers(low, min(high, 60000)))
+                pool = base64.b64encode(rng.bytes(n)).decode()
+                cuts = np.cumsum(rng.integers(short, long + 1, n))
+                text = " ".join(pool[a:b] for a, b in zip(cuts, cuts[1:]))[:n].encode()
+                ok, ratio, *_ = bands.measure(text)
+                assert not ok and ratio < least, (high, short, ratio)
+        low = high
+    rows = [r.text for r in common.table(spark, SF, "documents").collect() if r.text and len(r.text.encode().split()) >= 50]
+    limit = lambda n: next(least for high, least, _ in quality.BANDS if n < high)
+    assert len(rows) > 50 and all(quality.measure(t, bands)[7] >= limit(len(t.encode())) for t in rows)
