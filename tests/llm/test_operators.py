@@ -365,3 +365,9 @@ def test_random_words_are_rejected_in_every_band(spark):
     rows = [r.text for r in common.table(spark, SF, "documents").collect() if r.text and len(r.text.encode().split()) >= 50]
     limit = lambda n: next(least for high, least, _ in quality.BANDS if n < high)
     assert len(rows) > 50 and all(quality.measure(t, bands)[7] >= limit(len(t.encode())) for t in rows)
+
+
+def test_short_lines_are_deduplicated(spark):
+    rows = [(1, "All rights reserved.\na b\n\nx\n日本語の長い行です。"), (2, "reserved. rights All\na c\n\nx\n日本語の長い行です。"), (3, "a b c d\n \na b c\na b"), (None, "x")]
+    got = {r.doc_id: r.text for r in lines.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {1: rows[0][1], 2: "a c\n", 3: "a b c d\n \na b c", None: "x"}

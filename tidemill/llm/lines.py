@@ -22,9 +22,9 @@ from tidemill.llm import rolling
 from tidemill.llm.common import arrow_map, free_shuffles, small_batches, table, written
 from tidemill.llm.simhash import groups
 
-#: Jaccard 0.8 as a fraction, and the fewest words of a line that is compared.
+#: Jaccard 0.8 as a fraction, and the fewest words of a line that is compared: any line with a word.
 OVER, UNDER = 4, 5
-MIN_WORDS = 5
+MIN_WORDS = 1
 #: The rarity table: log-scaled corpus counts by hash bucket, one byte each, whatever the corpus.
 BUCKET_BITS = 22
 SLICE_BYTES, SLICE_LINES = 2_000_000, 60_000
@@ -231,7 +231,7 @@ def index_rows(batches, rank: bytes, shingle: int = 0):
         docs, texts = batch.column("doc_id").to_numpy(), texts_of(batch)
         for a, b in cut_slices(texts):
             w = units(texts[a:b], shingle)
-            chosen = w.words >= (1 if shingle else MIN_WORDS)
+            chosen = w.words >= MIN_WORDS
             if not chosen.any():
                 continue
             # very many lines in one text: number them in parts that fit the packed key
@@ -424,8 +424,8 @@ def repeated_lines(documents: DataFrame) -> DataFrame:
 def summary(documents: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 (lowercase hex of the remaining lines joined by newlines).
 
-    Lines are cut at newlines; a null or empty text has one empty line. Lines of fewer than
-    MIN_WORDS words are never removed, nor are lines of a row with a null doc_id. doc_id is meant
+    Lines are cut at newlines; a null or empty text has one empty line. Lines without a word
+    are never removed, nor are lines of a row with a null doc_id. doc_id is meant
     to be unique: rows that repeat one are judged together, line number by line number. Other
     columns are ignored.
     """
