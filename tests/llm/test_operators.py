@@ -371,3 +371,14 @@ def test_short_lines_are_deduplicated(spark):
     rows = [(1, "All rights reserved.\na b\n\nx\n日本語の長い行です。"), (2, "reserved. rights All\na c\n\nx\n日本語の長い行です。"), (3, "a b c d\n \na b c\na b"), (None, "x")]
     got = {r.doc_id: r.text for r in lines.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     assert got == {1: rows[0][1], 2: "a c\n", 3: "a b c d\n \na b c", None: "x"}
+
+
+@pytest.mark.parametrize("rows", [50_000, 1_000_000, 10_000_000])
+def test_cap_filters_keep_their_recall_as_the_code_grows(rows):
+    rng = np.random.default_rng(7)
+    x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in rng.normal(size=(2, 300, 64)))
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y = 0.93 * x + np.sqrt(1 - 0.93**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    code = embedding_links.plan(rows)
+    shared = [len(np.intersect1d(a, b)) > 0 for a, b in zip(embedding_links.decode(x, *code), embedding_links.decode(y, *code))]
+    assert np.mean(shared) >= 0.99

@@ -2,11 +2,13 @@
 
 A filter is a direction from a product code: the vector is rotated by a seeded rotation and cut
 into blocks, each block has its own random code, and a direction joins one code word per block.
-CODES independent codes keep a vector that lies badly for one of them from being missed.
+Independent codes keep a vector that lies badly for one of them from being missed.
 List decoding finds, from sorted inner products per block, every direction whose inner product
 with the vector exceeds the threshold. Vectors that share a filter (and a label) meet and are
 verified by exact cosine; a pair that shares several filters is counted at the smallest one.
-The code grows with the number of vectors, so that a filter's cap keeps holding few of them.
+The code grows with the number of vectors, so that there are filters for all of them. The threshold
+is tried on pairs at the least cosine for each dimension and code, so that recall doesn't fall as
+the code grows; what a cap then holds follows from it.
 Equal vectors are one class, and never make pairs among themselves.
 """
 
@@ -14,7 +16,6 @@ from __future__ import annotations
 
 import functools
 import math
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +26,10 @@ from tidemill.llm.common import arrow_map, connected_components, small_batches,
 from tidemill.llm.simhash import groups, merge_labels
 
 COSINE = 0.93
-#: Independent codes, the filters of one code that a vector passes on average, and the members
-#: of one filter's cap aimed at.
-CODES, PASSED, CAP = 3, 14, 64
+#: Filters of a code for each CAP vectors.
+PASSED, CAP = 14, 64
+#: Pairs on which the threshold is tried, and how many of them must share a filter.
+TRIALS, RECALL = 600, 0.997
 BLOCK, TILE = 4096, 512
 #: Names of filters; beyond so many, filters share names, which only adds candidates.
 NAMES = 2**31 - 1
@@ -35,16 +37,19 @@ NAMES = 2**31 - 1
 SMALL = 100_000
 
 
-def plan(rows: int) -> tuple[int, int, float]:
-    """(blocks, code words per block, threshold in standard deviations) for so many vectors."""
-    tail = min(0.00135, CAP / max(rows, 1))
-    t = NormalDist().inv_cdf(1 - tail) if tail > 1e-15 else 8.0
-    filters = PASSED / tail
+def plan(rows: int) -> tuple[int, int]:
+    """(blocks, code words per block) for so many vectors."""
+    filters = PASSED * max(1 / 0.00135, max(rows, 1) / CAP)
     blocks = 2 if filters <= 1e6 else 3 if filters <= 1e9 else 4
-    return blocks, math.ceil(filters ** (1 / blocks)), t
+    return blocks, math.ceil(filters ** (1 / blocks))
 
 
-@functools.lru_cache(maxsize=8)
+def codes(blocks: int) -> int:
+    """Independent codes: more blocks are less often alike, and vectors lie badly for a code more often."""
+    return 3 if blocks == 2 else 8
+
+
+@functools.lru_cache(maxsize=32)
 def code(dim: int, blocks: int, words: int, seed: int):
     rng = np.random.default_rng([seed, dim, blocks, words])
     rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
@@ -56,23 +61,49 @@ def code(dim: int, blocks: int, words: int, seed: int):
     return rotation, cuts, books
 
 
-def decode(unit: np.ndarray, blocks: int, words: int, t: float) -> list[np.ndarray]:
+@functools.lru_cache(maxsize=64)
+def threshold(dim: int, blocks: int, words: int) -> float:
+    """The part of its reach a vector's filters must exceed for RECALL of the pairs at COSINE to share one, by trial."""
+    rng = np.random.default_rng([dim, blocks, words])
+    x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in rng.standard_normal((2, TRIALS, dim)))
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y = COSINE * x + math.sqrt(1 - COSINE * COSINE) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    best, level = np.full(TRIALS, -1.0), 1.0
+    while level > 0.04:
+        level -= 0.04
+        # pairs that already share a filter above a higher level are done
+        at = np.flatnonzero(best < 0)
+        for seed in range(codes(blocks)):
+            for k, (a, s), (b, t) in zip(at, decode_one(x[at], blocks, words, level, seed), decode_one(y[at], blocks, words, level, seed)):
+                _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+                if len(i):
+                    best[k] = max(best[k], np.minimum(s[i], t[j]).max())
+        if (best >= level).mean() >= RECALL:
+            break
+    return math.floor(1000 * np.sort(best)[int((1 - RECALL) * TRIALS)]) / 1000
+
+
+def decode(unit: np.ndarray, blocks: int, words: int, level: float | None = None) -> list[np.ndarray]:
     """All filters whose direction exceeds the threshold, ascending, for each row of unit."""
     dim = unit.shape[1]
     if dim < 4 * blocks:  # too few dimensions for a code: all meet in one filter
         return [np.zeros(1, np.int32)] * len(unit)
-    found = [decode_one(unit, blocks, words, t, seed) for seed in range(CODES)]
-    return [np.unique(np.concatenate([f + k * words**blocks for k, f in enumerate(of)]) % NAMES).astype(np.int32) for of in zip(*found)]
+    level = threshold(dim, blocks, words) if level is None else level
+    found = [decode_one(unit, blocks, words, level, seed) for seed in range(codes(blocks))]
+    return [np.unique(np.concatenate([f + k * words**blocks for k, (f, _) in enumerate(of)]) % NAMES).astype(np.int32) for of in zip(*found)]
 
 
-def decode_one(unit: np.ndarray, blocks: int, words: int, t: float, seed: int) -> list[np.ndarray]:
+def decode_one(unit: np.ndarray, blocks: int, words: int, level: float, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(filters, inner products as parts of the reach) of each row. The reach is the inner product with a direction
+    that has the best word in every block: unequal blocks lower it, and with it what is asked of the vector."""
     dim = unit.shape[1]
     rotation, cuts, books = code(dim, blocks, words, seed)
     turned = unit @ rotation
     scores = [turned[:, a:b] @ book.T for (a, b), book in zip(zip(cuts, cuts[1:]), books)]
-    need, out = t / math.sqrt(dim), []
+    reach = sum(np.linalg.norm(turned[:, a:b], axis=1) for a, b in zip(cuts, cuts[1:])) / math.sqrt(blocks)
+    out = []
     for row in range(len(unit)):
-        name, total = np.zeros(1, np.int64), np.zeros(1)
+        name, total, need = np.zeros(1, np.int64), np.zeros(1), level * reach[row]
         best_rest = np.cumsum([s[row].max() for s in scores][::-1])[::-1]
         for k, s in enumerate(scores):
             order = np.argsort(-s[row])
@@ -83,11 +114,11 @@ def decode_one(unit: np.ndarray, blocks: int, words: int, t: float, seed: int) -
             inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             total = np.repeat(total, count) + ranked[inside]
             name = np.repeat(name, count) * words + order[inside]
-        out.append(name)
+        out.append((name, total / reach[row]))
     return out
 
 
-def filter_batches(batches, blocks: int, words: int, t: float, whole: bool):
+def filter_batches(batches, blocks: int, words: int, levels: dict, whole: bool):
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -97,7 +128,7 @@ def filter_batches(batches, blocks: int, words: int, t: float, whole: bool):
         for dim in np.unique(dims):
             at = np.flatnonzero(dims == dim)
             x = flat[offsets[at][:, None] + np.arange(dim)]
-            names = decode(x / np.linalg.norm(x, axis=1, keepdims=True), blocks, words, t)
+            names = decode(x / np.linalg.norm(x, axis=1, keepdims=True), blocks, words, levels.get(int(dim)))
             n = np.fromiter(map(len, names), np.int64, len(names))
             rows = np.repeat(at, n)
             every = np.concatenate(names)
@@ -178,14 +209,17 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     rows = vectors.select("vec_id", "embedding", "label").withColumn("good", good).withColumn("h1", F.xxhash64("embedding")).withColumn("h2", F.xxhash64(F.lit(1), "embedding"))
     key = ["label", "h1", "h2"]
     classes = written(rows.filter("good").groupBy(*key).agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"), F.first("embedding").alias("embedding")), "classes")
-    blocks, words, t = plan(classes.count())
+    blocks, words = plan(classes.count())
+    # tried once here for a few dimensions; a worker that meets another one tries it itself
+    dims = [r[0] for r in classes.select(F.size("embedding")).distinct().limit(8).collect()]
+    levels = {d: threshold(d, blocks, words) for d in dims if d >= 4 * blocks}
     kind = {c: classes.schema[c].dataType.simpleString() for c in ("label", "embedding")}
     shard = ["label", "dim", "filter"]
-    narrow = arrow_map(classes.select("label", "embedding"), "tidemill.llm.embedding_links:filter_batches", f"label {kind['label']}, dim long, filter int", blocks=blocks, words=words, t=t, whole=False)
+    narrow = arrow_map(classes.select("label", "embedding"), "tidemill.llm.embedding_links:filter_batches", f"label {kind['label']}, dim long, filter int", blocks=blocks, words=words, levels=levels, whole=False)
     crowded = written(narrow.groupBy(*shard).agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).withColumn("parts", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")).drop("n"), "crowded")
     n_crowded = crowded.count()
     passed = arrow_map(classes.select("label", "first", "copies", "embedding"), "tidemill.llm.embedding_links:filter_batches",
-                       f"label {kind['label']}, dim long, filter int, first long, copies long, embedding {kind['embedding']}, filters array<int>", blocks=blocks, words=words, t=t, whole=True)
+                       f"label {kind['label']}, dim long, filter int, first long, copies long, embedding {kind['embedding']}, filters array<int>", blocks=blocks, words=words, levels=levels, whole=True)
     if n_crowded:
         passed = passed.join(F.broadcast(crowded) if n_crowded <= SMALL else crowded, shard, "left")
     else:
