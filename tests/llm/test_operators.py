@@ -382,3 +382,9 @@ def test_cap_filters_keep_their_recall_as_the_code_grows(rows):
     code = embedding_links.plan(rows)
     shared = [len(np.intersect1d(a, b)) > 0 for a, b in zip(embedding_links.decode(x, *code), embedding_links.decode(y, *code))]
     assert np.mean(shared) >= 0.99
+
+
+def test_components_that_have_not_settled_raise(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        common.connected_components(path, max_rounds=1)

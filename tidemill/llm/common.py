@@ -91,7 +91,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     groupBys and go back by a join that AQE may split, so a node with very many
     neighbours isn't gathered in one task. Nodes without an edge don't appear; null ends
     and loops are ignored. Each round is written to the shared folder, which cuts the
-    lineage and lets a lost executor's work be read again.
+    lineage and lets a lost executor's work be read again. Raises if max_rounds don't settle it.
     """
     cur = written(
         edges.filter("a is not null and b is not null and a <> b")
@@ -113,5 +113,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if mark == seen:
             break
         seen = mark
+    else:
+        raise RuntimeError(f"components have not settled after {max_rounds} rounds")
     roots = cur.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
