@@ -2,56 +2,80 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
+import zipfile
 
-from pyspark import StorageLevel  # noqa: F401  (re-exported for callers)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+#: An Arrow batch ends at whichever comes first; a single longer text still makes a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 1000, 4_000_000
+#: Rows of a table up to which it may be broadcast: under 50 MB at two longs a row.
+SMALL = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@functools.lru_cache(maxsize=4)
+def shipped(application: str) -> None:
+    """Send this package to the executors, once for each application."""
+    path = os.path.join(tempfile.mkdtemp(prefix="tidemill-"), "tidemill-llm.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        z.write(os.path.join(ROOT, "tidemill", "__init__.py"), "tidemill/__init__.py")
+        here = os.path.join(ROOT, "tidemill", "llm")
+        for name in sorted(os.listdir(here)):
+            if name.endswith(".py"):
+                z.write(os.path.join(here, name), f"tidemill/llm/{name}")
+    SparkSession.getActiveSession().sparkContext.addPyFile(path)
+
+
 def ship(target: str, **settings):
     """A function for mapInArrow that imports `module:function` on the executor.
 
     It is pickled by value and carries only strings and small settings, so module-level
-    caches (vocabularies, word caches) live as long as the Python worker does.
+    caches (vocabularies, word caches) live as long as the Python worker does. What a task has
+    freed goes back to the system when it ends, as idle workers share an executor's memory.
     """
     module, name = target.split(":")
-    root = ROOT
 
     def run(batches):
+        import ctypes
         import importlib
-        import sys
 
-        if root not in sys.path:
-            sys.path.append(root)
+        import pyarrow
+
         yield from getattr(importlib.import_module(module), name)(batches, **settings)
+        pyarrow.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # another C library keeps what it has
 
     return run
 
 
 def arrow_map(df: DataFrame, target: str, schema: str, **settings) -> DataFrame:
+    spark = df.sparkSession
+    shipped(spark.sparkContext.applicationId)
+    # the same for every operator, so that no plan changes another's
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.mapInArrow(ship(target, **settings), schema)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound Arrow batches: long texts make the default of 10,000 rows too large for a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
+    """The folder named by spark.checkpoint.dir. Where none is set, a temporary one, and only if the
+    executors run in this process: on a cluster they couldn't share it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tidemill-checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -67,21 +91,43 @@ def written(df: DataFrame, label: str = "t") -> DataFrame:
     return out
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of results that have been written and are no longer referred to."""
-    import gc
+def drop_written(*tables: DataFrame) -> None:
+    """Delete tables made by written() once nothing refers to them any more."""
+    for df in tables:
+        path = getattr(df, "_tidemill_path", None)
+        if path:
+            spark = df.sparkSession
+            jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+            jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
 
-    gc.collect()
-    spark._jvm.System.gc()
+def maybe_small(df: DataFrame, rows: int = SMALL) -> DataFrame:
+    """A written table, marked for broadcast if it has been counted to be small."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
-def drop_written(df: DataFrame) -> None:
-    """Delete a table made by written() once nothing refers to it any more."""
-    path = getattr(df, "_tidemill_path", None)
-    if path:
-        spark = df.sparkSession
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+def numbered(documents: DataFrame, name: str = "copy") -> DataFrame:
+    """The rows with a number that tells rows of one doc_id apart: (doc_id, copy) is a key.
+
+    Where ids are unique it is 0 and nothing moves. Rows that share an id are written once with
+    their places as numbers, so the numbers hold however often a plan is run again; the groups
+    aren't gathered, whatever their size. Null ids count as unique.
+    """
+    many = written(documents.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select("doc_id"), "repeated-ids")
+    if many.isEmpty():
+        drop_written(many)
+        return documents.withColumn(name, F.lit(0).cast("long"))
+    ids = maybe_small(many)
+    rows = written(documents.join(ids, "doc_id", "left_semi").select(*documents.columns).withColumn(name, F.monotonically_increasing_id()), "repeated-rows")
+    alone = documents.join(ids, "doc_id", "left_anti").select(*documents.columns).withColumn(name, F.lit(0).cast("long"))
+    return alone.unionByName(rows)
+
+
+def spare_name(name: str, columns) -> str:
+    """A column name that the table doesn't have yet."""
+    while name in columns:
+        name += "_"
+    return name
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import arrow_map, connected_components, small_batches, table, written
+from tidemill.llm.common import arrow_map, connected_components, table, written
 from tidemill.llm.simhash import groups, merge_labels
 
 COSINE = 0.93
@@ -203,7 +203,6 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     ignored.
     """
     spark = vectors.sparkSession
-    small_batches(spark, 2000)
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     good = F.coalesce(finite & F.exists("embedding", lambda x: x != 0) & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False))
     rows = vectors.select("vec_id", "embedding", "label").withColumn("good", good).withColumn("h1", F.xxhash64("embedding")).withColumn("h2", F.xxhash64(F.lit(1), "embedding"))

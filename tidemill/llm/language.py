@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import arrow_map, small_batches, table
+from tidemill.llm.common import arrow_map, table
 
 #: Labelled rows used for fitting, in all, and the most languages learned (the most frequent).
 SAMPLE, LANGUAGES = 3000, 200
@@ -164,7 +164,6 @@ def identify(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
     every text if nothing was learned. Rows with the same doc_id each give a row; other columns
     are ignored.
     """
-    small_batches(documents.sparkSession)
     rows = documents.select("doc_id", "text", "lang").withColumn("held_out", F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(True)))
     model = learn(rows.filter("not held_out"), sample)
     return arrow_map(rows.select("doc_id", "held_out", "text"), "tidemill.llm.language:predict_batches", SCHEMA, model=model)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm import rolling
-from tidemill.llm.common import arrow_map, free_shuffles, small_batches, table, written
+from tidemill.llm.common import arrow_map, table, written
 from tidemill.llm.simhash import groups
 
 #: Jaccard 0.8 as a fraction, and the fewest words of a line that is compared: any line with a word.
@@ -401,22 +401,17 @@ def text_batches(batches, gone: str):
 def repeated_lines(documents: DataFrame) -> DataFrame:
     """(doc_id, gone): the numbers of the lines of a document that match an earlier one."""
     spark = documents.sparkSession
-    small_batches(spark)
     docs = documents.select("doc_id", "text")
     rank = rarity(docs)
     buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     index = arrow_map(docs, "tidemill.llm.lines:index_batches", INDEX, rank=rank, buckets=buckets)
     met = written(arrow_map(index.repartition("bucket").sortWithinPartitions("bucket"), "tidemill.llm.lines:meet_batches", MET), "met")
-    del index
-    free_shuffles(spark)
     asked = met.filter("verify").groupBy("doc_id").agg(F.collect_list(F.struct("line", "token", "shard")).alias("asked"))
     # only documents with something to verify travel, where their ids are few enough to send around
     ids = met.filter("verify").select("doc_id").distinct()
     some = docs.join(F.broadcast(ids), "doc_id", "left_semi") if ids.count() <= SMALL else docs
     lists = arrow_map(some.join(asked, "doc_id").select("doc_id", "text", "asked"), "tidemill.llm.lines:list_batches", "token long, doc_id long, line int, tokens array<long>", rank=rank)
     verified = written(arrow_map(lists.repartition("token").sortWithinPartitions("token"), "tidemill.llm.lines:verify_batches", "doc_id long, line int"), "verified")
-    del lists, some, asked
-    free_shuffles(spark)
     gone = met.filter("not verify").select("doc_id", "line").union(verified)
     return gone.groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
 

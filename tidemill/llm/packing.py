@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm.bpe import ByteVocabulary, WordCache
-from tidemill.llm.common import arrow_map, small_batches, table, written
+from tidemill.llm.common import arrow_map, table, written
 
 CAPACITY = 2048
 GRAIN = 4
@@ -261,7 +261,6 @@ def pack(documents: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id
     packed as separate documents. An empty table gives no rows. Other columns are ignored.
     """
     spark = documents.sparkSession
-    small_batches(spark)
     pieces = written(arrow_map(documents.select("doc_id", "text"), "tidemill.llm.packing:piece_batches", PIECES, path=vocabulary, capacity=capacity, end_id=end_id)
                      .withColumn("class", F.ceil(F.col("length") / F.lit(grain)).cast("int")), "pieces")
     # at most capacity / grain rows: bounded whatever the corpus

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidemill.llm.bpe import Merges, WordCache
-from tidemill.llm.common import arrow_map, small_batches, table
+from tidemill.llm.common import arrow_map, table
 from tidemill.llm.token_counts import slices
 
 SPACE = "▁"
@@ -153,7 +153,6 @@ def decode_batches(batches, path: str):
 
 def encode(documents: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id and ids (array<int>) of each whole text; a null or empty text has no ids."""
-    small_batches(documents.sparkSession)
     return arrow_map(documents.select("doc_id", "text"), "tidemill.llm.pieces:id_batches", "doc_id long, ids array<int>", path=vocabulary)
 
 
@@ -168,7 +167,6 @@ def digests(documents: DataFrame, vocabulary: str) -> DataFrame:
     A null or empty text has no ids. Rows with the same doc_id each give a row; other columns are
     ignored. No shuffle; memory is bounded by a batch and the word cache.
     """
-    small_batches(documents.sparkSession)
     return arrow_map(documents.select("doc_id", "text"), "tidemill.llm.pieces:encode_batches", SCHEMA, path=vocabulary)
 
 

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemill.llm.common import arrow_map, small_batches, table
+from tidemill.llm.common import arrow_map, table
 
 WHITE = b" \t\n\v\f\r"
 SYMBOLS = b"#*$%&|<>"
@@ -115,7 +115,6 @@ def measures(documents: DataFrame) -> DataFrame:
     A null or empty text has no words and fails the base rules. Rows with the same doc_id each
     give a row; other columns are ignored. No shuffle.
     """
-    small_batches(documents.sparkSession)
     return arrow_map(documents.select("doc_id", "text"), "tidemill.llm.quality:measure_batches", SCHEMA)
 
 
@@ -127,7 +126,6 @@ def keep_batches(batches):
 
 def keep(documents: DataFrame) -> DataFrame:
     """The rows whose text passes, with all their columns; no join and no shuffle."""
-    small_batches(documents.sparkSession)
     return arrow_map(documents, "tidemill.llm.quality:keep_batches", documents.schema)
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import arrow_map, connected_components, small_batches, table, written
+from tidemill.llm.common import arrow_map, connected_components, table, written
 
 RADIUS = 2
 SHARD = 20_000
@@ -144,7 +144,6 @@ def link_batches(batches, radius: int):
 
 
 def fingerprints(documents: DataFrame, words: int = 3) -> DataFrame:
-    small_batches(documents.sparkSession)
     return arrow_map(documents.select("doc_id", "text"), "tidemill.llm.simhash:fingerprint_batches", "doc_id long, fp long", words=words)
 
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidemill.llm.bpe import ByteVocabulary, WordCache
-from tidemill.llm.common import arrow_map, small_batches, table
+from tidemill.llm.common import arrow_map, table
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 #: A cut before a single space between two characters that aren't white space never changes the
@@ -109,7 +109,6 @@ def count_tokens(documents: DataFrame, vocabulary: str, limit: int = 1024) -> Da
     null doc_id stays null. Other columns are ignored. No shuffle; memory is bounded by a batch
     and the word cache.
     """
-    small_batches(documents.sparkSession)
     return arrow_map(documents.select("doc_id", "text"), "tidemill.llm.token_counts:count_batches", SCHEMA, path=vocabulary, limit=limit)
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.bpe import WordCache
-from tidemill.llm.common import arrow_map, small_batches, table, written
+from tidemill.llm.common import arrow_map, table, written
 from tidemill.llm.range_coder import pack_blocks, unpack_blocks
 from tidemill.llm.token_counts import CUT, UNSURE, counter, slices
 
@@ -126,7 +126,6 @@ def digest_batches(batches):
 
 def write(documents: DataFrame, vocabulary: str, end_id: int = 2) -> DataFrame:
     """Write coded blocks of every document's ids, in ascending doc_id order, to the shared folder."""
-    small_batches(documents.sparkSession)
     dealt = documents.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     return written(arrow_map(dealt, "tidemill.llm.token_ids:block_batches", BLOCKS, path=vocabulary, end_id=end_id), "token-blocks")
 
