@@ -92,13 +92,102 @@ def test_substrings_periodic_and_overlapping(spark):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.summary(df).collect()} == brute_substrings(rows)
 
 
-def test_induced_order_with_queues_on_disk():
+def test_induced_order_and_prefixes_with_queues_on_disk():
     rng = np.random.default_rng(0)
-    for _ in range(150):
-        n = int(rng.integers(1, 60))
-        a = rng.integers(0, int(rng.integers(2, 6)), n)
-        want = sorted(range(n), key=lambda i: bytes(a.astype(np.uint8))[i:])
-        assert induced.suffix_order(a, 256, memory=int(rng.integers(1, 50))).tolist() == want
+    for _ in range(400):
+        n, symbols, most = int(rng.integers(1, 60)), int(rng.choice([2, 3, 5, 40, 3000])), int(rng.choice([3, 10, 2**31 - 2]))
+        a = rng.integers(0, symbols, n)
+        a = np.tile(a[:max(1, n // 7)], 7) if rng.random() < 0.3 else np.repeat(a, rng.integers(1, 6, n)) if rng.random() < 0.3 else a
+        text = a.tolist()
+        want = sorted(range(len(text)), key=lambda i: text[i:])
+        order, shared = induced.suffix_order(a.astype(np.int32), symbols, memory=int(rng.integers(1, 50)), most=most, names=int(rng.choice([0, 10, 100])))
+        both = [sum(1 for _ in itertools.takewhile(lambda p: p[0] == p[1], zip(text[i:], text[j:]))) for i, j in zip(want, want[1:])]
+        assert order.tolist() == want and shared.tolist() == [0, *(min(x, most) for x in both)]
+
+
+def number_copies(rows):
+    """doc_id -> texts, of rows that may repeat an id."""
+    out = defaultdict(list)
+    for d, t in rows:
+        out[d].append(t or "")
+    return out
+
+
+def test_rows_that_repeat_an_id_are_different_documents(spark):
+    rng = np.random.default_rng(9)
+    passage, line = "".join(rng.choice(list("abcdefgh "), 400)), "one two three four five six"
+    rows = [(1, passage), (1, passage), (1, passage + "x"), (0, "short"), (2, passage), (3, line), (3, line), (3, "other line of six words here"), (4, line + "\n" + line)] + [(5, "left alone " + str(k) * 40) for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    kept = sorted((r.doc_id, r.n_removed) for r in substrings.summary(df).collect())
+    ones = sorted(n for d, n in kept if d == 1)
+    assert ones in ([0, 400, 400], [0, 400, 401]) and (2, 400) in kept and [n for d, n in kept if d == 5] == [0, 0, 0]
+    gone = sorted((r.doc_id, r.n_removed) for r in lines.summary(df.filter("doc_id in (3, 4)")).collect())
+    assert gone == [(3, 0), (3, 0), (3, 1), (4, 2)]
+    left = sorted((r.doc_id, r.text) for r in lines.without_repeats(df.filter("doc_id in (3, 4)")).collect())
+    assert left == [(3, ""), (3, line), (3, "other line of six words here"), (4, "")]
+    import corpus_pipeline
+
+    stay = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, SF).collect())
+    assert stay == [0, 1, 3, 3, 4, 5, 5, 5]
+
+
+def test_long_texts_are_worked_on_in_parts(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    words = ["w%d" % i for i in range(400)]
+    passage = " ".join(rng.choice(words, 60))
+    long = " ".join(rng.choice(words, 700_000))  # over 2 MB: several slices, hundreds of blocks
+    rows = {1: passage, 2: long[:1_500_000] + " " + passage + " " + long[1_500_000:], 3: "\n".join([passage, "z" * 5000, long[:3000]]), 4: "x" * 1_200_000}
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.summary(df).collect()}
+    assert got == brute_substrings(rows)
+    tk, at = Tokenizer.from_file(BYTE), 0
+    ids = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_ids.round_trip(df.filter("doc_id < 4"), BYTE).collect()}
+    for d in (1, 2, 3):
+        want = tk.encode(rows[d], add_special_tokens=False).ids + [2]
+        assert ids[d] == (at, len(want), zlib.crc32(np.array(want, "<u4").tobytes()))
+        at += len(want)
+
+
+def test_crowded_anchors_and_frequent_tokens(spark, monkeypatch):
+    """The ways for crowded keys give the same rows: limits are lowered in this process, where the functions run without Spark."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(11)
+    monkeypatch.setattr(substrings, "HOT_BYTES", 500)
+    monkeypatch.setattr(substrings, "SLICE_BYTES", 1000)
+    shared = "".join(rng.choice(list("abcdefgh"), 60))
+    rows = [(i, 0, "".join(rng.choice(list("xyz "), int(rng.integers(20, 90)))) + shared + "".join(rng.choice(list("xyz "), 90))) for i in range(30)]
+    rows += [(30 + i, 0, rows[i][2][:200]) for i in range(6)]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("doc_id", "copy", "text"), r)) for r in rows])
+    index = pa.Table.from_batches(list(substrings.index_batches([batch]))).sort_by([(c, "ascending") for c in ("anchor", "segment", "doc_id", "copy", "start")])
+    met = pa.Table.from_batches(list(substrings.meet_batches(index.to_batches(max_chunksize=7)))).to_pylist()
+    assert any(r["hot"] for r in met)
+    found, asked = defaultdict(list), defaultdict(list)
+    for r in met:
+        (asked if r["look"] else found)[r["doc_id"]].append(r)
+    kind = pa.schema([("doc_id", pa.int64()), ("copy", pa.int64()), ("text", pa.string()), ("asked", pa.list_(pa.struct([("anchor", pa.int64()), ("hot", pa.bool_()), ("first", pa.int64()), ("end", pa.int64())])))])
+    data = pa.RecordBatch.from_pylist([{"doc_id": d, "copy": c, "text": t, "asked": [{k: r[k] for k in ("anchor", "hot", "first", "end")} for r in asked[d]]} for d, c, t in rows if d in asked], kind)
+    for b in substrings.sort_batches(pa.Table.from_batches(list(substrings.byte_batches([data]))).sort_by("anchor").to_batches(max_chunksize=9)):
+        for r in b.to_pylist():
+            found[r["doc_id"]].append(r)
+    want = brute_substrings({d: t for d, _, t in rows})
+    assert {d: substrings.cut(t.encode(), found[d])[1:] for d, _, t in rows} == {d: w[1:3] for d, w in want.items()}
+    # lines of which every token is frequent meet at pairs
+    texts = {d: " ".join(rng.choice(["the", "of", "and", "to", "in", "is", "was"], int(rng.integers(1, 7)))) for d in range(300)}
+    often = bytes([40]) * (1 << lines.WORD_BITS)
+    batch = pa.RecordBatch.from_pylist([{"doc_id": d, "copy": 0, "text": t} for d, t in texts.items()])
+    packed = pa.Table.from_batches(list(lines.index_batches([batch], often, 8))).sort_by("bucket")
+    met = pa.Table.from_batches(list(lines.meet_batches(packed.to_batches())))
+    gone = {r["doc_id"] for r in met.to_pylist() if not r["verify"]}
+    asked = defaultdict(list)
+    for r in met.to_pylist():
+        if r["verify"]:
+            asked[r["doc_id"]].append(r)
+    batch = pa.RecordBatch.from_pylist([{"doc_id": d, "copy": 0, "text": texts[d], "asked": a} for d, a in asked.items()])
+    wanted = pa.Table.from_batches(list(lines.list_batches([batch], often)))
+    for b in lines.verify_batches(wanted.sort_by([(c, "ascending") for c in ("token", "doc_id", "copy", "line")]).to_batches(max_chunksize=11)):
+        gone |= set(b.column("doc_id").to_pylist())
+    assert gone == set(k for k, v in brute_lines(texts).items() if v)
 
 
 def test_packing(docs):
@@ -161,10 +250,10 @@ def test_token_ids(docs):
 
 def test_range_coder():
     rng = np.random.default_rng(0)
-    blocks = [([1, None], [rng.integers(0, 50000, 50).astype("u4"), np.array([], "u4")]), ([5], [rng.integers(0, 2**32, 30).astype("u4")]), ([], []), ([7], [np.zeros(5000, "u4")])]
+    blocks = [([1, None], [rng.integers(0, 50000, 50).astype("u4"), np.array([], "u4")], False), ([5], [rng.integers(0, 2**32, 30).astype("u4")], True), ([], [], False), ([7], [np.zeros(5000, "u4")], False)]
     data = range_coder.pack_blocks(blocks)
-    for (d, a), (e, b) in zip(blocks, range_coder.unpack_blocks(data)):
-        assert d == e and all((x == y).all() for x, y in zip(a, b))
+    for (d, a, f), (e, b, g) in zip(blocks, range_coder.unpack_blocks(data)):
+        assert d == e and f == g and all((x == y).all() for x, y in zip(a, b))
     assert len(data[3]) < 200
     with pytest.raises(ValueError):
         range_coder.unpack_blocks([data[0][:-1] + bytes([data[0][-1] ^ 1])])
@@ -263,6 +352,19 @@ def test_simhash(spark, docs):
     assert [r.h for r in spark.sql("SELECT xxhash64('the of thst') AS h").collect()] == [int(np.uint64(xxhash.xxh64_intdigest("the of thst", 42)).view(np.int64))]
 
 
+def test_simhash_components_end_to_end(spark):
+    for df in (common.table(spark, SF, "documents"), common.table(spark, SF, "documents").limit(0)):
+        rows = {r.doc_id: r.text or "" for r in df.collect()}
+        fp = {d: brute_fingerprint(t) for d, t in rows.items()}
+        ids = sorted(fp)
+        values = np.array([fp[d] for d in ids], np.uint64)
+        label = np.arange(len(ids))
+        if len(ids):
+            label = simhash.merge_labels(label, *np.nonzero(np.bitwise_count(values[:, None] ^ values[None, :]) <= 2))
+        got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(df).collect()}
+        assert got == {d: (f"{fp[d]:016x}", ids[label[i]]) for i, d in enumerate(ids)}
+
+
 def test_bk_tree_and_shards(spark):
     rng = np.random.default_rng(4)
     base = rng.integers(0, 2**63, 40).astype(np.uint64)
@@ -274,6 +376,7 @@ def test_bk_tree_and_shards(spark):
     label = np.arange(len(fp))
     label = simhash.merge_labels(label, *np.nonzero(d <= 2))
     df = spark.createDataFrame([(int(x), i) for i, x in enumerate(fp.view(np.int64))], "fp long, first_doc long")
+    df = common.written(df, "distinct")
     for shard in (20_000, 3):  # whole shards, and shards split into several trees
         parts = {r.node: r.component for r in common.connected_components(simhash.links(df, 2, shard)).collect()}
         assert [parts.get(i, i) for i in range(len(fp))] == label.tolist()

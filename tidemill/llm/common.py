@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
 import os
 import tempfile
@@ -81,24 +82,54 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_paths: dict[str, None] = {}
+
+
 def written(df: DataFrame, label: str = "t") -> DataFrame:
-    """Cut lineage: write a table to the shared folder and read it back."""
+    """Cut lineage: write a table to the shared folder and read it back. It stays until drop_written,
+    forget_written or the end of the application."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _paths[path] = None
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidemill_path = path
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    _paths.pop(path, None)
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
 def drop_written(*tables: DataFrame) -> None:
     """Delete tables made by written() once nothing refers to them any more."""
     for df in tables:
         path = getattr(df, "_tidemill_path", None)
         if path:
-            spark = df.sparkSession
-            jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-            jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+            delete(df.sparkSession, path)
+
+
+def written_paths() -> set[str]:
+    return set(_paths)
+
+
+def forget_written(spark: SparkSession, before: set[str] = frozenset(), but: DataFrame | None = None) -> None:
+    """Delete the tables that written() has made since `before`, except one: for the end of a job."""
+    for path in written_paths() - before:
+        if but is None or path != but._tidemill_path:
+            delete(spark, path)
+
+
+@atexit.register
+def _clean() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and _paths:
+        try:
+            forget_written(spark)
+        except Exception:  # noqa: BLE001  the session has ended before
+            pass
 
 
 def maybe_small(df: DataFrame, rows: int = SMALL) -> DataFrame:

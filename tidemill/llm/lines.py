@@ -3,8 +3,9 @@
 A line is the set of its words. Tokens are ordered by rarity in the corpus (a fixed-size table
 of counts by hash bucket, over all documents), and each line is indexed under its prefix: the
 tokens of which two lines with the required Jaccard similarity must share one. Lines that meet
-pass a length, a positional and a bitmap filter; what is left is verified on the token sets. A
-line goes if any earlier line (smaller doc_id, or same document, earlier line) matches it,
+pass a length, a positional and a bitmap filter; what is left is verified on the token sets. Lines that
+share a token which the corpus has very often meet at pairs of tokens instead: two lines that match
+share two tokens of prefixes that are one longer, if they have two at all. A line goes if any earlier line (smaller doc_id, or same document, earlier line) matches it,
 whether or not that line stays. Lines with equal sets need no verification; only the earliest of
 them goes on.
 """
@@ -19,21 +20,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm import rolling
-from tidemill.llm.common import arrow_map, table, written
-from tidemill.llm.simhash import groups
+from tidemill.llm.common import arrow_map, numbered, spare_name, table, written
 
 #: Jaccard 0.8 as a fraction, and the fewest words of a line that is compared: any line with a word.
 OVER, UNDER = 4, 5
 MIN_WORDS = 1
-#: The rarity table: log-scaled corpus counts by hash bucket, one byte each, whatever the corpus.
-BUCKET_BITS = 22
+#: The rarity table: log-scaled corpus counts by hash bucket, one byte each, whatever the corpus. Words
+#: repeat more than shingles do, so fewer buckets tell them apart.
+WORD_BITS, SHINGLE_BITS = 18, 22
+#: Rarity (2 * log2 of the count) from which a token's lines meet at pairs of tokens.
+OFTEN = 28
 SLICE_BYTES, SLICE_LINES = 2_000_000, 60_000
-#: Documents up to which a list of ids may be broadcast.
-SMALL = 1_000_000
 INDEX = "bucket int, n long, data binary"
-MET = "verify boolean, doc_id long, line int, token long, shard long"
+MET = "verify boolean, doc_id long, copy long, line int, token long, shard long"
+LISTS = "token long, doc_id long, copy long, line int, tokens binary"
 #: Columns of a packed run of index rows.
-PACKED = (("token", "<i8"), ("doc", "<i8"), ("line", "<i4"), ("size", "<i4"), ("pos", "<i4"), ("bits", "<u8"), ("sets", "<u4"))
+PACKED = (("token", "<i8"), ("doc", "<i8"), ("copy", "<i8"), ("line", "<i4"), ("size", "<i4"), ("pos", "<i4"), ("bits", "<u8"), ("sets", "<u4"))
 #: Lines of more tokens than this carry a second bitmap, of WIDE words.
 LONG, WIDE = 64, 4
 #: Index rows packed together, and buckets of tokens for each shuffle partition.
@@ -111,12 +113,13 @@ def texts_of(batch) -> list[bytes]:
 
 
 def count_batches(batches, shingle: int = 0):
-    total, seen = np.zeros(1 << BUCKET_BITS, np.int64), False
+    bits = SHINGLE_BITS if shingle else WORD_BITS
+    total, seen = np.zeros(1 << bits, np.int64), False
     for batch in batches:
         texts = texts_of(batch)
         for a, b in cut_slices(texts):
             h = units(texts[a:b], shingle).hash
-            total += np.bincount((h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=1 << BUCKET_BITS)
+            total += np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
             seen = True
     if seen:
         at = np.flatnonzero(total)
@@ -128,7 +131,7 @@ def rarity(documents: DataFrame, shingle: int = 0) -> bytes:
     """One byte per bucket: 2 * log2 of the corpus count of its words (or shingles), at most 63."""
     counts = arrow_map(documents.select("text"), "tidemill.llm.lines:count_batches", "bucket int, n long", shingle=shingle).groupBy("bucket").agg(F.sum("n").alias("n"))
     scaled = counts.select("bucket", F.least(F.floor(F.log2("n") * 2), F.lit(63)).cast("byte").alias("r")).filter("r > 0")
-    out = np.zeros(1 << BUCKET_BITS, np.uint8)
+    out = np.zeros(1 << (SHINGLE_BITS if shingle else WORD_BITS), np.uint8)
     got = scaled.toArrow()  # at most one row per bucket: bounded whatever the corpus
     out[got.column("bucket").to_numpy()] = got.column("r").to_numpy()
     return out.tobytes()
@@ -139,7 +142,8 @@ def token_sets(w: Words, rank: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarr
     name = np.cumsum(chosen) - 1
     at = chosen[w.line]
     h = w.hash[at]
-    token = (rank[(h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(42)) | (h & np.uint64((1 << 42) - 1))
+    shift = np.uint64(65 - len(rank).bit_length())
+    token = (rank[(h >> shift).astype(np.int64)].astype(np.uint64) << np.uint64(42)) | (h & np.uint64((1 << 42) - 1))
     key = np.sort((name[w.line[at]].astype(np.uint64) << np.uint64(48)) | token)
     key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
     line = (key >> np.uint64(48)).astype(np.int64)
@@ -191,7 +195,7 @@ def unpack_rows(data: bytes, n: int, zip_) -> list[np.ndarray]:
         c = np.frombuffer(data, np.uint8, n * width, at).reshape(width, n).T.copy().view(kind).ravel()
         at += n * width
         out.append(np.cumsum(c) if name == "token" else c + low if name == "doc" else c)
-    long = np.flatnonzero(out[3] > LONG)
+    long = np.flatnonzero(out[4] > LONG)
     wide = np.zeros((n, WIDE), np.uint64)
     wide[long] = np.frombuffer(data, np.uint64, len(long) * WIDE, at).reshape(-1, WIDE)
     return [*out, wide]
@@ -228,7 +232,7 @@ def index_rows(batches, rank: bytes, shingle: int = 0):
     rank = np.frombuffer(rank, np.uint8)
     for batch in batches:
         batch = batch.filter(batch.column("doc_id").is_valid())
-        docs, texts = batch.column("doc_id").to_numpy(), texts_of(batch)
+        docs, copies, texts = batch.column("doc_id").to_numpy(), batch.column("copy").to_numpy(), texts_of(batch)
         for a, b in cut_slices(texts):
             w = units(texts[a:b], shingle)
             chosen = w.words >= MIN_WORDS
@@ -242,17 +246,25 @@ def index_rows(batches, rank: bytes, shingle: int = 0):
                 first = np.concatenate([[0], np.cumsum(size)[:-1]])
                 bits, sets = signature(tokens, first)
                 wide = wide_signature(tokens, first, size)
-                doc, number = docs[a:b][w.text[part]], w.number[part]
+                doc, copy, number = docs[a:b][w.text[part]], copies[a:b][w.text[part]], w.number[part]
                 # equal sets within this slice: only the earliest goes on (map-side combine)
-                order = np.lexsort((number, doc, sets))
+                order = np.lexsort((number, copy, doc, sets))
                 later = np.zeros(len(order), bool)
                 later[order[1:]] = sets[order[1:]] == sets[order[:-1]]
                 pos = np.arange(len(tokens)) - first[line]
-                keep = (pos < prefix_size(size)[line]) & (~later[line] | (pos == 0))
-                of = line[keep]
+                at = np.flatnonzero((pos < prefix_size(size)[line]) & (~later[line] | (pos == 0)))
                 # a later equal line gets one row, size 0: it is known to go
+                often = (tokens[at] >> 42 >= OFTEN) & (size[line[at]] > 1) & ~later[line[at]]
+                # pairs of a frequent token with those after it in the prefix that is one longer
+                many = at[often]
+                after = np.minimum(prefix_size(size)[line[many]] + 1, size[line[many]]) - pos[many] - 1
+                one = np.repeat(many, after)
+                two = one + 1 + np.arange(len(one)) - np.repeat(np.cumsum(after) - after, after)
+                pair = (rolling.mix(rolling.mix(tokens[one].astype(np.uint64)) + tokens[two].astype(np.uint64)) >> np.uint64(16)).astype(np.int64) | (1 << 48)
+                token, at = np.concatenate([tokens[at[~often]], pair]), np.concatenate([at[~often], one])
+                of = line[at]
                 sizes = np.where(later[of], 0, size[of])
-                yield tokens[keep], doc[of], number[of], sizes, pos[keep], bits[of], sets[of] >> np.uint64(32), wide[of]
+                yield token, doc[of], copy[of], number[of], sizes, pos[at], bits[of], sets[of] >> np.uint64(32), wide[of]
 
 
 def bucket_rows(batches):
@@ -272,7 +284,7 @@ def bucket_rows(batches):
 
 
 def meet_batches(batches):
-    for token, doc, line, size, pos, bits, sets, wide in bucket_rows(batches):
+    for token, doc, copy, line, size, pos, bits, sets, wide in bucket_rows(batches):
         gone = size == 0
         order = np.lexsort((sets, token))
         order = order[~gone[order]]
@@ -281,7 +293,7 @@ def meet_batches(batches):
         # of lines with equal sets the earliest goes on
         many = np.flatnonzero(~new | ~np.append(new[1:], True)[:len(order)])
         group = np.cumsum(new)
-        order[many] = order[many][np.lexsort((line[order[many]], doc[order[many]], group[many]))]
+        order[many] = order[many][np.lexsort((line[order[many]], copy[order[many]], doc[order[many]], group[many]))]
         twin = order[~new]
         gone[twin[pos[twin] == 0]] = True
         rest = order[new]
@@ -306,72 +318,140 @@ def meet_batches(batches):
         # which lines are to be verified at this token: tokens with the same lines need only one of them
         met, name = np.unique(token[rest[hit]], return_inverse=True)
         among = np.zeros(len(met), np.uint64)
-        np.add.at(among, name, rolling.mix(rolling.mix(doc[rest[hit]].astype(np.uint64)) + line[rest[hit]].astype(np.uint64)))
+        np.add.at(among, name, rolling.mix(rolling.mix(doc[rest[hit]].astype(np.uint64)) + rolling.mix(copy[rest[hit]].astype(np.uint64)) + line[rest[hit]].astype(np.uint64)))
         shard = np.concatenate([np.zeros(int(gone.sum()), np.int64), among[name].view(np.int64)])
         kind = np.concatenate([np.zeros(int(gone.sum()), bool), np.ones(int(hit.sum()), bool)])
-        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(doc[at]), pa.array(line[at]), pa.array(token[at]), pa.array(shard)], ["verify", "doc_id", "line", "token", "shard"])
+        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(doc[at]), pa.array(copy[at]), pa.array(line[at]), pa.array(token[at]), pa.array(shard)], ["verify", "doc_id", "copy", "line", "token", "shard"])
 
 
 def list_batches(batches, rank: bytes, shingle: int = 0):
+    """The token sets of the lines asked for, six bytes a token."""
     rank = np.frombuffer(rank, np.uint8)
+    names = [c.split()[0] for c in LISTS.split(", ")]
     for batch in batches:
-        texts = texts_of(batch)
-        for i, (text, doc, asked) in enumerate(zip(texts, batch.column("doc_id").to_pylist(), batch.column("asked").to_pylist())):
+        for text, doc, copy, asked in zip(texts_of(batch), *(batch.column(c).to_pylist() for c in ("doc_id", "copy", "asked"))):
             w, least = units([text], shingle), {}
             for x in asked:
                 key = x["line"], x["shard"]
                 least[key] = min(x["token"], least.get(key, x["token"]))
             lines = np.unique([x["line"] for x in asked])
-            lines = lines[lines < len(w.words)]
-            if not len(lines):
-                continue
             sets = {}
             for part in np.array_split(lines, 1 + len(lines) // 65_000):
                 some = np.zeros(len(w.words), bool)
                 some[part] = True
                 tokens, line, size = token_sets(w, rank, some)
-                sets |= dict(zip(part.tolist(), np.split(tokens, np.cumsum(size)[:-1])))
-            rows = sorted({(t, k) for (k, _), t in least.items() if k in sets})
+                data, end = tokens.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), np.cumsum(size) * 6
+                sets |= {k: data[e - 6 * n:e] for k, n, e in zip(part.tolist(), size.tolist(), end.tolist())}
+            rows = sorted({(t, k) for (k, _), t in least.items()})
             # few sets to a batch where they are long
-            step = max(1, min(2000, 2_000_000 // max(map(len, sets.values()))))
+            step = max(1, min(2000, 4_000_000 // max(map(len, sets.values()))))
             for a in range(0, len(rows), step):
                 token, line = zip(*rows[a:a + step])
-                tokens = [sets[k] for k in line]
-                yield pa.RecordBatch.from_arrays([pa.array(token, pa.int64()), pa.array([doc] * len(token), pa.int64()), pa.array(line, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))], ["token", "doc_id", "line", "tokens"])
-
-
-def alike(lists, tile: int = 1024):
-    """(a, c, matrix) for tiles of rows a.. and c.., c <= a: which of the token sets match."""
-    flat, size = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
-    names, place = np.unique(flat, return_inverse=True)
-    owner, start = np.repeat(np.arange(len(size)), size), np.concatenate([[0], np.cumsum(size)])
-
-    def incidence(a, b):
-        m = np.zeros((b - a, len(names)), np.float32)
-        m[owner[start[a]:start[b]] - a, place[start[a]:start[b]]] = 1
-        return m
-
-    step = max(8, min(tile, 8_000_000 // max(1, len(names))))
-    for a in range(0, len(size), step):
-        b = min(a + step, len(size))
-        own = incidence(a, b)
-        for c in range(0, b, step):
-            e = min(c + step, b)
-            yield a, c, own @ incidence(c, e).T >= needed(size[a:b, None], size[None, c:e])
+                yield pa.RecordBatch.from_arrays([pa.array(token, pa.int64()), pa.array([doc] * len(token), pa.int64()), pa.array([copy] * len(token), pa.int64()), pa.array(line, pa.int32()), pa.array([sets[k] for k in line], pa.binary())], names)
+
+
+class Sets:
+    """Token sets of rows of lists: flat, with their offsets."""
+
+    def __init__(self, column):
+        raw = column.to_pylist()
+        self.size = np.array([len(x) // 6 for x in raw], np.int64)
+        wide = np.zeros((int(self.size.sum()), 8), np.uint8)
+        wide[:, :6] = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 6)
+        self.flat = wide.view("<i8").ravel()
+        self.start = np.append(0, np.cumsum(self.size))
+
+    def match(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which pairs of rows have the similarity asked for: common tokens are counted by sorting both sets together."""
+        small, large = np.minimum(self.size[i], self.size[j]), np.maximum(self.size[i], self.size[j])
+        out = np.zeros(len(i), bool)
+        left = np.flatnonzero(UNDER * small >= OVER * large)
+        while len(left):
+            n = self.size[i[left]] + self.size[j[left]]
+            some = max(1, min(1 << 15, int(np.searchsorted(np.cumsum(n), 1_000_000))))
+            part, left, n = left[:some], left[some:], n[:some]
+            rows, size = np.stack([i[part], j[part]], axis=1).ravel(), np.stack([self.size[i[part]], self.size[j[part]]], axis=1).ravel()
+            at = np.repeat(self.start[rows] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            key = np.sort((np.repeat(np.arange(len(part), dtype=np.uint64), n) << np.uint64(48)) | self.flat[at].astype(np.uint64))
+            common = np.bincount((key[1:][key[1:] == key[:-1]] >> np.uint64(48)).astype(np.int64), minlength=len(part))
+            out[part] = common >= needed(self.size[i[part]], self.size[j[part]])
+        return out
+
+    def alike(self, first: int, last: int, tile: int = 1024):
+        """(a, c, matrix) for tiles of rows a.. and c.., c <= a, among [first, last): which of them match."""
+        names, place = np.unique(self.flat[self.start[first]:self.start[last]], return_inverse=True)
+        size, start = self.size[first:last], self.start[first:last + 1] - self.start[first]
+        owner = np.repeat(np.arange(len(size)), size)
+
+        def incidence(a, b):
+            m = np.zeros((b - a, len(names)), np.float32)
+            m[owner[start[a]:start[b]] - a, place[start[a]:start[b]]] = 1
+            return m
+
+        step = max(8, min(tile, 8_000_000 // max(1, len(names))))
+        for a in range(0, len(size), step):
+            b = min(a + step, len(size))
+            own = incidence(a, b)
+            for c in range(0, b, step):
+                e = min(c + step, b)
+                yield a, c, own @ incidence(c, e).T >= needed(size[a:b, None], size[None, c:e])
+
+
+def matches(batches, few: int = 24):
+    """(rows, i, j) for tables of whole tokens of sorted lists: pairs of rows that match, i after j. Rows of a
+    token come in order of doc_id, copy and line."""
+    for t in whole_tokens(batches):
+        token = t.column("token").to_numpy()
+        sets = Sets(t.column("tokens"))
+        cuts = np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token))
+        n = np.diff(cuts)
+        group = np.repeat(np.arange(len(n)), n)
+        at = np.flatnonzero(n[group] <= few)
+        i, j = [], []
+        for d in range(1, few):
+            at = at[at + d < cuts[group[at] + 1]]
+            if not len(at):
+                break
+            i.append(at + d)
+            j.append(at)
+        if i:
+            i, j = np.concatenate(i), np.concatenate(j)
+            ok = sets.match(i, j)
+            if ok.any():
+                yield t, i[ok], j[ok]
+        for k in np.flatnonzero(n > few).tolist():
+            for a, c, ok in sets.alike(int(cuts[k]), int(cuts[k + 1])):
+                i, j = np.nonzero(ok)
+                i, j = i + cuts[k] + a, j + cuts[k] + c
+                later = i > j
+                if later.any():
+                    yield t, i[later], j[later]
+
+
+def whole_tokens(batches, rows: int = 5_000):
+    """Tables of at least so many rows, or of 8 MB, that never split the rows of a token."""
+    held, n, size = [], 0, 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        size += batch.nbytes
+        if n < rows and size < 8_000_000:
+            continue
+        t = pa.Table.from_batches(held).combine_chunks()
+        token = t.column("token").to_numpy()
+        cut = int(np.searchsorted(token, token[-1]))
+        if cut:
+            yield t.slice(0, cut)
+        held, n = t.slice(cut).to_batches(), t.num_rows - cut
+        size = sum(b.nbytes for b in held)
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def verify_batches(batches):
-    for g in groups(batches, ["token"]):
-        order = np.lexsort((g.column("line").to_numpy(), g.column("doc_id").to_numpy()))
-        g = g.take(pa.array(order))
-        doc, line = g.column("doc_id").to_numpy(), g.column("line").to_numpy()
-        match = np.zeros(len(doc), bool)
-        for a, c, ok in alike(g.column("tokens")):
-            b, e = a + ok.shape[0], c + ok.shape[1]
-            ok &= (doc[a:b, None] > doc[None, c:e]) | ((doc[a:b, None] == doc[None, c:e]) & (line[a:b, None] > line[None, c:e]))
-            match[a:b] |= ok.any(axis=1)
-        if match.any():
-            yield pa.RecordBatch.from_arrays([pa.array(doc[match]), pa.array(line[match])], ["doc_id", "line"])
+    for t, i, _ in matches(batches):
+        i = pa.array(np.unique(i))
+        yield pa.Table.from_arrays([t.column(c).take(i) for c in ("doc_id", "copy", "line")], ["doc_id", "copy", "line"]).combine_chunks().to_batches()[0]
 
 
 def drop_lines(text: str | None, gone) -> tuple[str, int, int]:
@@ -398,44 +478,57 @@ def text_batches(batches, gone: str):
         yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names], names)
 
 
+def met_lines(docs: DataFrame, rank: bytes, shingle: int = 0) -> DataFrame:
+    """Written rows of MET: what is known to go, and what is to be verified at which token."""
+    buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    index = arrow_map(docs, "tidemill.llm.lines:index_batches", INDEX, rank=rank, buckets=buckets, shingle=shingle)
+    return written(arrow_map(index.repartition("bucket").sortWithinPartitions("bucket"), "tidemill.llm.lines:meet_batches", MET), "met")
+
+
+def asked_lists(docs: DataFrame, met: DataFrame, rank: bytes, shingle: int = 0) -> DataFrame:
+    """Rows of LISTS, by token, of all that is to be verified."""
+    key = ["doc_id", "copy"]
+    asked = met.filter("verify").groupBy(*key).agg(F.collect_list(F.struct("line", "token", "shard")).alias("asked"))
+    # only documents with something to verify travel, where their ids are few enough to send around
+    ids = met.filter("verify").select(*key).distinct()
+    some = docs.join(F.broadcast(ids), key, "left_semi") if ids.limit(200_001).count() <= 200_000 else docs
+    lists = arrow_map(some.join(asked, key).select(*key, "text", "asked"), "tidemill.llm.lines:list_batches", LISTS, rank=rank, shingle=shingle)
+    return lists.repartition("token").sortWithinPartitions("token", "doc_id", "copy", "line")
+
+
 def repeated_lines(documents: DataFrame) -> DataFrame:
-    """(doc_id, gone): the numbers of the lines of a document that match an earlier one."""
-    spark = documents.sparkSession
-    docs = documents.select("doc_id", "text")
+    """(doc_id, copy, gone): the numbers of the lines of a numbered row that match an earlier one."""
+    docs = documents.select("doc_id", "copy", "text")
     rank = rarity(docs)
-    buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    index = arrow_map(docs, "tidemill.llm.lines:index_batches", INDEX, rank=rank, buckets=buckets)
-    met = written(arrow_map(index.repartition("bucket").sortWithinPartitions("bucket"), "tidemill.llm.lines:meet_batches", MET), "met")
-    asked = met.filter("verify").groupBy("doc_id").agg(F.collect_list(F.struct("line", "token", "shard")).alias("asked"))
-    # only documents with something to verify travel, where their ids are few enough to send around
-    ids = met.filter("verify").select("doc_id").distinct()
-    some = docs.join(F.broadcast(ids), "doc_id", "left_semi") if ids.count() <= SMALL else docs
-    lists = arrow_map(some.join(asked, "doc_id").select("doc_id", "text", "asked"), "tidemill.llm.lines:list_batches", "token long, doc_id long, line int, tokens array<long>", rank=rank)
-    verified = written(arrow_map(lists.repartition("token").sortWithinPartitions("token"), "tidemill.llm.lines:verify_batches", "doc_id long, line int"), "verified")
-    gone = met.filter("not verify").select("doc_id", "line").union(verified)
-    return gone.groupBy("doc_id").agg(F.collect_set("line").alias("gone"))
+    met = met_lines(docs, rank)
+    verified = written(arrow_map(asked_lists(docs, met, rank), "tidemill.llm.lines:verify_batches", "doc_id long, copy long, line int"), "verified")
+    gone = met.filter("not verify").select("doc_id", "copy", "line").union(verified)
+    return gone.groupBy("doc_id", "copy").agg(F.collect_set("line").alias("gone"))
 
 
 def summary(documents: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 (lowercase hex of the remaining lines joined by newlines).
 
     Lines are cut at newlines; a null or empty text has one empty line. Lines without a word
-    are never removed, nor are lines of a row with a null doc_id. doc_id is meant
-    to be unique: rows that repeat one are judged together, line number by line number. Other
-    columns are ignored.
+    are never removed, nor are lines of a row with a null doc_id. Rows that repeat a doc_id are
+    different documents, in an order of their own that holds for the run: of equal lines in them one stays.
+    An empty table gives no rows. Other columns are ignored.
     """
-    gone = repeated_lines(documents)
-    docs = documents.select("doc_id", "text")
-    return arrow_map(docs.join(gone, "doc_id", "left").select("doc_id", "text", "gone"), "tidemill.llm.lines:digest_batches", "doc_id long, n_lines long, n_removed long, kept_sha256 string")
+    docs = numbered(documents.select("doc_id", "text"))
+    gone = repeated_lines(docs)
+    return arrow_map(docs.join(gone, ["doc_id", "copy"], "left").select("doc_id", "text", "gone"), "tidemill.llm.lines:digest_batches", "doc_id long, n_lines long, n_removed long, kept_sha256 string")
 
 
 def without_repeats(documents: DataFrame) -> DataFrame:
-    """The rows with all their columns, their text without repeated lines."""
-    gone = "gone"
-    while gone in documents.columns:
-        gone += "_"
-    found = repeated_lines(documents).withColumnRenamed("gone", gone)
-    return arrow_map(documents.join(found, "doc_id", "left").select(*documents.columns, gone), "tidemill.llm.lines:text_batches", documents.schema, gone=gone)
+    """The rows with all their columns, their text without repeated lines.
+
+    A null text stays null; rows with a null doc_id stay as they are; rows that repeat a doc_id are
+    different documents, as in `summary`.
+    """
+    copy, gone = spare_name("copy", documents.columns), spare_name("gone", documents.columns)
+    docs = numbered(documents, copy)
+    found = repeated_lines(docs.select("doc_id", "text", F.col(copy).alias("copy"))).withColumnsRenamed({"copy": copy, "gone": gone})
+    return arrow_map(docs.join(found, ["doc_id", copy], "left").select(*documents.columns, gone), "tidemill.llm.lines:text_batches", documents.schema, gone=gone)
 
 
 def query(spark, sf_dir):

@@ -1,14 +1,15 @@
 """Adaptive context-mixing range coder over 16-bit ids, many blocks in step.
 
-Every block starts from empty statistics, so blocks are independent; numpy works on all of them
-at once, one id of each per step. The order-2 and the order-1 context each predict an id, with a
-confidence that grows while they are right. The confidences together choose adaptive odds for
-three cases: order 2 is right, order 1 is, or neither. In the last case the id is coded by order 0,
-as four nibbles with adaptive counts of each nibble after those before it. All arithmetic is on
-integers, so any machine decodes what another wrote.
+Every block starts from empty statistics, so blocks are independent; numpy works on many of them
+at once, one id of each per step. An id is coded as four nibbles. For each nibble three orders
+predict: order 0 has counts of the nibble after those before it in the id, orders 1 and 2 have counts
+after the last id and the last two ids as well, in hashed slots. The three distributions are mixed:
+an order's weight is the square of the probability that it gave of late to what came, learned for each
+place of the nibble and each degree of confidence. The mix drives the range coder. All arithmetic is
+on integers, so any machine decodes what another wrote.
 
 A block's bytes: magic, number of documents, symbols and payload bytes, crc32 of the rest; then
-documents' ids, null flags and lengths, and the payload.
+documents' ids, flags and lengths, and the payload.
 """
 
 from __future__ import annotations
@@ -18,73 +19,64 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"TMB1"
+MAGIC = b"TMB2"
 HEAD = struct.Struct("<4sIQQI")
 TOP, BOTTOM, BYTE, HIGH = np.uint64(1 << 56), np.uint64(1 << 48), np.uint64(8), np.uint64(56)
-NODES = 1 + 16 + 256 + 4096
-GUESSES = (1 << 12, 1 << 13)
-STEP, LIMIT = 24, 4000
+#: Rows of 16 counts for each order, and blocks coded in step: together about 200 KB each.
+ROWS = (1 + 16 + 256 + 4096, 4096, 4096)
+LANES = 512
+STEP, FULL = 24, 255 - 24
+#: Degrees of confidence by the sum of counts, and how fast weights follow (as a power of two).
+DEGREES, PACE = 8, 5
+DEGREE = np.minimum(np.frexp(np.arange(16 * 256) / STEP + 0.5)[1], DEGREES - 1).clip(0).astype(np.int32)
+NULL, GOES_ON = 1, 2
 
 
 class Models:
-    """Statistics of all lanes. `step` codes one id per lane by calling `code` for each decision."""
+    """Statistics of all lanes. `step` codes one id per lane by calling `code` for each nibble."""
 
     def __init__(self, lanes: int):
-        self.counts, self.sums = np.ones((lanes * NODES, 16), np.uint16), np.full(lanes * NODES, 16, np.int32)
-        self.guess = [np.zeros(lanes * g, np.int32) for g in GUESSES]
-        self.sure = [np.zeros(lanes * g, np.uint8) for g in GUESSES]
-        self.odds = np.ones((lanes * 32, 3), np.int32)
+        self.counts = [np.zeros((lanes * r, 16), np.uint8) for r in ROWS]
+        self.sums = [np.zeros(lanes * r, np.int32) for r in ROWS]
+        self.weight = np.full(lanes * 4 * 3 * DEGREES, 1 << 14, np.int32)
         self.one, self.two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.lane = np.arange(lanes)
 
     def step(self, n: int, ids: np.ndarray | None, code, settle) -> np.ndarray:
-        """ids: what to encode, or None to decode. code(lanes, freq, upto, wanted) returns the decision."""
+        """ids: what to encode, or None to decode. code(lanes, freq, upto, wanted) returns the nibbles."""
         lane, one, two = self.lane[:n], self.one[:n], self.two[:n]
-        mark = one * 2654435761
-        at = [lane * GUESSES[0] + (mark >> 9) % GUESSES[0], lane * GUESSES[1] + ((mark + two * 40503 * 65599) >> 11) % GUESSES[1]]
-        first, second = (g.take(a) for g, a in zip(self.guess, at))
-        trust = [s.take(a) for s, a in zip(self.sure, at)]
-        case = lane * 32 + np.minimum(trust[1], 3).astype(np.int64) * 8 + np.minimum(trust[0], 3) * 2 + (first == second)
-        freq = self.odds.take(case, axis=0)
-        wanted = None if ids is None else np.where(ids == second, 1, np.where(ids == first, 2, 0))
-        which = code(lane, freq, np.cumsum(freq, axis=1), wanted)
-        self.odds[case, which] += STEP
-        full = case[freq.sum(axis=1) > LIMIT]
-        self.odds[full] = (self.odds[full] >> 1) | 1
-        out = np.where(which == 1, second, first).astype(np.int64)
-        miss = np.flatnonzero(which == 0)
-        if len(miss):
-            out[miss] = self.order_0(miss, None if ids is None else ids[miss], code, settle)
-        settle(lane)
-        for k in range(2):
-            right = (first, second)[k] == out
-            self.guess[k][at[k]] = np.where(right | (trust[k] > 0), (first, second)[k], out)
-            self.sure[k][at[k]] = np.where(right, np.minimum(trust[k] + 1, 15), trust[k] >> 1)
-        self.two[:n], self.one[:n] = self.one[:n].copy(), out
-        return out
-
-    def order_0(self, lanes: np.ndarray, ids: np.ndarray | None, code, settle) -> np.ndarray:
-        so_far = np.zeros(len(lanes), np.int64)
+        mark = (one * 2654435761 + 40503, one * 2246822519 + two * 3266489917 + 374761393)
+        so_far = np.zeros(n, np.int64)
         for nibble, base in enumerate((0, 1, 17, 273)):
-            at = lanes * NODES + base + so_far
-            freq = self.counts.take(at, axis=0).astype(np.int32)
-            symbol = code(lanes, freq, np.cumsum(freq, axis=1), None if ids is None else (ids >> (12 - 4 * nibble)) & 15)
-            if nibble in (0, 2):
-                settle(lanes)
-            self.counts.reshape(-1)[at * 16 + symbol] += np.uint16(STEP)
-            total = self.sums.take(at) + STEP
-            self.sums[at] = total
-            full = at[total > LIMIT]
-            if len(full):
-                half = (self.counts[full] >> 1) | 1
-                self.counts[full] = half
-                self.sums[full] = half.sum(axis=1)
+            node = so_far + base
+            rows = (lane * ROWS[0] + node, *(lane * r + ((m + node * 668265263) >> 9) % r for m, r in zip(mark, ROWS[1:])))
+            counts, sums = [c.take(r, axis=0) for c, r in zip(self.counts, rows)], [s.take(r) for s, r in zip(self.sums, rows)]
+            places = [((lane * 4 + nibble) * 3 + k) * DEGREES + DEGREE.take(s) for k, s in enumerate(sums)]
+            weights = [self.weight.take(p) for p in places]
+            freq = np.zeros((n, 16), np.int32)
+            for c, s, w in zip(counts, sums, weights):
+                freq += c * ((((w * w) >> 16) << 6) // np.maximum(s, 1))[:, None]
+            freq = (freq >> 6) + 1
+            symbol = code(lane, freq, np.cumsum(freq, axis=1, dtype=np.int32), None if ids is None else (ids >> (12 - 4 * nibble)) & 15)
+            if nibble & 1:
+                settle(lane)
+            for c, s, r, total, p, w, table in zip(self.counts, self.sums, rows, sums, places, weights, counts):
+                had = table.ravel().take(lane * 16 + symbol).astype(np.int32)
+                self.weight[p] = w + (((had << 14) // np.maximum(total, 1) - w) >> PACE) + 1
+                c.reshape(-1)[r * 16 + symbol] += np.uint8(STEP)
+                s[r] = total + STEP
+                full = r[had + STEP > FULL]
+                if len(full):
+                    half = c[full] >> 1
+                    c[full] = half
+                    s[full] = half.sum(axis=1, dtype=np.int32)
             so_far = so_far * 16 + symbol
+        self.two[:n], self.one[:n] = one.copy(), so_far
         return so_far
 
 
 def normalise(low: np.ndarray, span: np.ndarray, lanes: np.ndarray, shift) -> None:
-    """Send out settled bytes. The span is at least 2**48 then, enough for two decisions."""
+    """Send out settled bytes. The span is at least 2**48 then, enough for two nibbles."""
     at = lanes
     while len(at):
         a, r = low[at], span[at]
@@ -177,26 +169,35 @@ def decode_lanes(payloads: list[bytes], lengths: list[int]) -> list[np.ndarray]:
     return result
 
 
+def by_lanes(function, *lists):
+    for a in range(0, len(lists[0]), LANES):
+        yield from function(*(x[a:a + LANES] for x in lists))
+
+
 def to_symbols(ids: np.ndarray, wide: bool) -> np.ndarray:
     return ids.astype("<u4").view("<u2").reshape(-1, 2)[:, ::-1].ravel() if wide else ids
 
 
-def pack_blocks(blocks: list[tuple[list, list[np.ndarray]]]) -> list[bytes]:
-    """Each block: (doc ids, or None; ids of each document as little-endian 32-bit) -> its bytes."""
+def pack_blocks(blocks: list[tuple[list, list[np.ndarray], bool]]) -> list[bytes]:
+    """Each block: (doc ids, or None; ids of each document in it, as little-endian 32-bit; does its first
+    document go on from the block before?) -> its bytes."""
     streams, wides = [], []
-    for _, texts in blocks:
+    for _, texts, _ in blocks:
         ids = np.concatenate(texts) if texts else np.empty(0, np.uint32)
         wides.append(bool(len(ids) and ids.max() >= 1 << 16))
         streams.append(to_symbols(ids, wides[-1]))
     out = []
-    for (docs, texts), wide, stream, payload in zip(blocks, wides, streams, encode_lanes(streams)):
-        index = np.array([0 if d is None else d for d in docs], "<i8").tobytes() + bytes(d is None for d in docs) + np.array([len(t) for t in texts], "<u8").tobytes()
+    for (docs, texts, goes_on), wide, stream, payload in zip(blocks, wides, streams, by_lanes(encode_lanes, streams)):
+        flags = bytearray(NULL * (d is None) for d in docs)
+        if docs and goes_on:
+            flags[0] |= GOES_ON
+        index = np.array([0 if d is None else d for d in docs], "<i8").tobytes() + bytes(flags) + np.array([len(t) for t in texts], "<u8").tobytes()
         body = bytes([wide]) + index + payload
         out.append(HEAD.pack(MAGIC, len(docs), len(stream), len(payload), zlib.crc32(body)) + body)
     return out
 
 
-def unpack_blocks(blocks: list[bytes]) -> list[tuple[list, list[np.ndarray]]]:
+def unpack_blocks(blocks: list[bytes]) -> list[tuple[list, list[np.ndarray], bool]]:
     """Inverse of pack_blocks; a block that doesn't match its checksum is an error."""
     heads, payloads, lengths = [], [], []
     for data in blocks:
@@ -205,13 +206,13 @@ def unpack_blocks(blocks: list[bytes]) -> list[tuple[list, list[np.ndarray]]]:
         if magic != MAGIC or zlib.crc32(body) != crc:
             raise ValueError("a block of token ids is damaged")
         at = 1 + 8 * docs
-        nulls = body[at:at + docs]
-        ids = [None if z else int(d) for d, z in zip(np.frombuffer(body, "<i8", docs, 1), nulls)]
-        heads.append((body[0], ids, np.frombuffer(body, "<u8", docs, at + docs)))
+        flags = body[at:at + docs]
+        ids = [None if z & NULL else int(d) for d, z in zip(np.frombuffer(body, "<i8", docs, 1), flags)]
+        heads.append((body[0], ids, np.frombuffer(body, "<u8", docs, at + docs), bool(docs and flags[0] & GOES_ON)))
         payloads.append(body[len(body) - size:])
         lengths.append(symbols)
     out = []
-    for (wide, docs, sizes), symbols in zip(heads, decode_lanes(payloads, lengths)):
+    for (wide, docs, sizes, goes_on), symbols in zip(heads, by_lanes(decode_lanes, payloads, lengths)):
         ids = symbols.astype("<u2").reshape(-1, 2)[:, ::-1].copy().view("<u4").ravel() if wide else symbols.astype("<u4")
-        out.append((docs, np.split(ids, np.cumsum(sizes)[:-1].astype(int)) if docs else []))
+        out.append((docs, np.split(ids, np.cumsum(sizes)[:-1].astype(int)) if docs else [], goes_on))
     return out

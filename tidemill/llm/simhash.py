@@ -1,11 +1,12 @@
 """SimHash near-duplicates by BK-trees (op9).
 
-Distinct fingerprints go to shards in which any two within the radius must meet: four blocks of
-16 bits, and a shard for each pair of blocks (two differing bits leave at least two blocks
-alike). Each shard holds a BK-tree, children keyed by their Hamming distance to the parent; a
-search follows only edges within the radius of its own distance. Trees aren't broadcast: their
-size grows with the corpus, so fingerprints travel to the trees. A shard with more than
-SHARD members is split into several trees, and every member also searches the trees before its own.
+Distinct fingerprints are cut into one block more than bits may differ, so any two within the radius
+have a block alike. A shard holds those with the same low bits of one block, as many bits as
+leave about TREE members to a shard, and each shard has its BK-tree: children are keyed by their
+Hamming distance to the parent, and a search follows only edges within the radius of its own
+distance. Trees aren't broadcast: all of them together grow with the corpus, so fingerprints travel to
+the trees of their shards instead. A shard with more than SHARD members is split into several
+trees, and every member also searches the trees before its own.
 """
 
 from __future__ import annotations
@@ -17,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import arrow_map, connected_components, table, written
+from tidemill.llm.common import arrow_map, connected_components, maybe_small, table, written
 
 RADIUS = 2
-SHARD = 20_000
-PAIRS = list(itertools.combinations(range(4), 2))
+#: Members of a shard to aim at, and at most.
+TREE, SHARD = 1_000, 20_000
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -133,7 +134,7 @@ def groups(batches, keys: list[str]):
 
 def link_batches(batches, radius: int):
     a, b = [], []
-    for g in groups(batches, ["pair", "value", "tree"]):
+    for g in groups(batches, ["block", "value", "tree"]):
         ids = g.column("first_doc").to_numpy()
         x, y = shard_links(g.column("fp").to_numpy().view(np.uint64), g.column("own").to_numpy(zero_copy_only=False), radius)
         if len(x):
@@ -148,13 +149,17 @@ def fingerprints(documents: DataFrame, words: int = 3) -> DataFrame:
 
 
 def links(first: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
-    """(a, b): links that connect all fingerprints within the radius. first: distinct fp, first_doc."""
-    block = [F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
-    keyed = first.select("fp", "first_doc", F.explode(F.array(*(F.struct(F.lit(k).alias("pair"), (block[i] * 65536 + block[j]).alias("value")) for k, (i, j) in enumerate(PAIRS)))).alias("key")).select("fp", "first_doc", "key.*")
-    crowded = keyed.groupBy("pair", "value").agg(F.count("*").alias("n")).filter(F.col("n") > 1).withColumn("trees", F.ceil(F.col("n") / F.lit(shard)).cast("int"))
-    met = keyed.join(crowded, ["pair", "value"]).withColumn("home", F.pmod(F.xxhash64("fp"), F.col("trees")).cast("int"))
+    """(a, b): links that connect all fingerprints within the radius. first: a written table of distinct fp, first_doc."""
+    blocks = radius + 1
+    width = 64 // blocks
+    bits = min(width, max(1, (first.count() // TREE).bit_length()))
+    keys = F.array(*(F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("fp", width * k).bitwiseAND(F.lit((1 << bits) - 1)).alias("value")) for k in range(blocks)))
+    keyed = first.select("fp", "first_doc", F.explode(keys).alias("key")).select("fp", "first_doc", "key.*")
+    crowded = keyed.groupBy("block", "value").agg(F.count("*").alias("n")).filter(F.col("n") > shard).withColumn("trees", F.ceil(F.col("n") / F.lit(shard)).cast("int")).drop("n")
+    # at most blocks * 2 ** width rows, and rows / shard of them
+    met = keyed.join(maybe_small(written(crowded, "crowded")), ["block", "value"], "left").withColumn("home", F.pmod(F.xxhash64("fp"), F.coalesce("trees", F.lit(1))).cast("int"))
     spread = met.withColumn("tree", F.explode(F.sequence(F.lit(0), F.col("home")))).withColumn("own", F.col("tree") == F.col("home"))
-    dealt = spread.select("pair", "value", "tree", "own", "fp", "first_doc").repartition("pair", "value", "tree").sortWithinPartitions("pair", "value", "tree")
+    dealt = spread.select("block", "value", "tree", "own", "fp", "first_doc").repartition("block", "value", "tree").sortWithinPartitions("block", "value", "tree")
     return arrow_map(dealt, "tidemill.llm.simhash:link_batches", "a long, b long", radius=radius)
 
 
