@@ -7,9 +7,12 @@ hundred rows come to the driver, nothing else.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from statistics import NormalDist
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,34 +72,93 @@ def entry_test(signals: DataFrame, exits: list[int], settings: bracket.Settings)
     return out
 
 
-def monkeys(book: DataFrame, runs: int, rate: float = 0.0008) -> DataFrame:
-    """Sharpe per bar of the exposure shifted around the history, per run and symbol. The shift is a
-    function of the run, so results don't depend on the number of workers."""
-    w = Window.partitionBy("symbol").orderBy("ts")
-    n = F.count("*").over(Window.partitionBy("symbol"))
-    base = book.withColumn("i", F.row_number().over(w) - 1).withColumn("n", n).withColumn("move", F.coalesce(F.col("close") / F.lag("close").over(w) - 1, F.lit(0.0)))
-    spread = base.select("symbol", "i", "n", "position", F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run"))
-    moved = spread.select("symbol", "run", "position", F.pmod(F.col("i") + F.col("run") * 7919, F.col("n")).alias("i"))
-    rows = moved.join(base.select("symbol", "i", "move"), ["symbol", "i"])
-    v = Window.partitionBy("run", "symbol").orderBy("i")
-    net = F.col("position") * F.col("move") - rate * F.abs(F.col("position") - F.coalesce(F.lag("position").over(v), F.lit(0.0)))
-    return rows.withColumn("net", net).groupBy("run", "symbol").agg((F.avg("net") / F.stddev_samp("net")).alias("sharpe"))
+def hashed(*parts):
+    """48 random bits that depend on nothing but the parts: the same in any engine, order and number of tasks."""
+    text = F.concat_ws(":", *(F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("long")
+
+
+def hashed_number(*parts) -> int:
+    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:12], 16)
+
+
+def draw(n, *parts, seed: int = 0):
+    """A random index below n for (seed, parts)."""
+    return F.pmod(hashed(F.lit(seed), *parts), n)
+
+
+def net_returns(wanted: np.ndarray, move: np.ndarray, funding: np.ndarray, rate: float, leverage: float) -> np.ndarray:
+    """Net returns of rows of wanted exposures on one symbol's bars, as the ledger has them."""
+    wanted = np.clip(np.nan_to_num(wanted), -leverage, leverage)
+    position = np.hstack([np.zeros((len(wanted), 1)), wanted[:, :-1]])
+    net = position * (move - funding) - rate * np.abs(np.diff(position, axis=1, prepend=0.0))
+    ruined = np.maximum.accumulate(net <= -1, axis=1)
+    before = np.hstack([np.zeros((len(net), 1), bool), ruined[:, :-1]])
+    return np.where(before, 0.0, np.maximum(net, -1.0))
+
 
+def sharpes(net: np.ndarray, per_year: float) -> np.ndarray:
+    with np.errstate(divide="ignore", invalid="ignore"):
+        out = net.mean(axis=1) / net.std(axis=1, ddof=1) * np.sqrt(per_year)
+    return np.where(np.isfinite(out), out, 0.0)
 
-def monkey_percentile(shifted: DataFrame, book: DataFrame) -> DataFrame:
-    """Median Sharpe of the rule, and the share of runs whose median lies below."""
-    own = book.groupBy("symbol").agg((F.avg("net") / F.stddev_samp("net")).alias("s")).agg(F.median("s").alias("own"))
-    runs = shifted.groupBy("run").agg(F.median("sharpe").alias("m"))
-    return runs.crossJoin(F.broadcast(own)).groupBy("own").agg(F.avg((F.col("m") < F.col("own")).cast("double")).alias("percentile"), F.count("*").alias("runs"))
 
+def bars_per_year(ts: pd.Series) -> float:
+    return pd.Timedelta(days=365.25) / ts.diff().median() if len(ts) > 1 else 1.0
 
-def draw(n, *parts):
-    """A counter-based index below n: the same in any engine and any order."""
-    primes = (7919, 104729, 1299709)
-    total = F.lit(17)
-    for p, part in zip(primes, parts):
-        total = total + part * p
-    return F.pmod(total + F.floor(total / 97), n)
+
+RUNS = "run long, symbol string, sharpe double"
+
+
+def in_batches(rows: DataFrame, runs: int, size: int) -> DataFrame:
+    """A copy of the rows for each batch of runs, so that a symbol's runs spread over tasks."""
+    return rows.withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit((runs + size - 1) // size))))
+
+
+def monkeys(rows: DataFrame, runs: int, rate: float = 0.0008, leverage: float = 1.0, seed: int = 0, size: int = 100) -> DataFrame:
+    """Sharpe of a rule's exposure shifted around the history, per run and symbol; run 0 isn't shifted.
+
+    rows: symbol, ts, close, target and funding_rate. A shift is drawn from the middle eight tenths of the history by
+    hashing (seed, symbol, run). Shifts are made inside one grouped map, so no row is sent more than once for each
+    `size` runs.
+    """
+    def one(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("ts", kind="stable", ignore_index=True)
+        n, symbol, batch = len(b), b.symbol[0], int(b.batch[0])
+        low, high = max(n // 10, 1), max(n - n // 10, 2)
+        numbers = np.arange(size * (batch - 1) + 1, min(size * batch, runs) + 1) if batch else np.zeros(1, int)
+        offsets = np.array([low + hashed_number(seed, symbol, k) % (high - low) if k else 0 for k in numbers])
+        wanted = b.target.to_numpy()[(np.arange(n) - offsets[:, None]) % n]
+        move = b.close.pct_change().fillna(0.0).to_numpy()
+        net = net_returns(wanted, move, b.funding_rate.fillna(0.0).to_numpy(), rate, leverage)
+        return pd.DataFrame({"run": numbers, "symbol": symbol, "sharpe": sharpes(net, bars_per_year(b.ts))})
+
+    return in_batches(rows.select("symbol", "ts", "close", "target", "funding_rate"), runs, size).groupBy("symbol", "batch").applyInPandas(one, RUNS)
+
+
+def bracket_monkeys(signals: DataFrame, settings: bracket.Settings, runs: int, seed: int = 0, size: int = 20) -> DataFrame:
+    """The same of a bracket: entries at random bars, as often and as often on each side as its own, with its own
+    stops, targets, cooldowns, time exit and kill switch; run 0 has its own entries."""
+    def one(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("ts", kind="stable", ignore_index=True)
+        symbol, batch, per_year, out = b.symbol[0], int(b.batch[0]), bars_per_year(b.ts), []
+        p_long, p_short = b.long.fillna(False).mean(), b.short.fillna(False).mean()
+        for k in range(size * (batch - 1) + 1, min(size * batch, runs) + 1) if batch else [0]:
+            if k:
+                u = np.random.Generator(np.random.Philox(key=hashed_number(seed, symbol, k))).random(len(b))
+                b["long"], b["short"] = u < p_long, (u >= p_long) & (u < p_long + p_short)
+            book, _ = bracket.run(b, settings)
+            out.append((k, symbol, sharpes(book[None, :, bracket.LEDGER.index("net")], per_year)[0]))
+        return pd.DataFrame(out, columns=["run", "symbol", "sharpe"])
+
+    return in_batches(signals, runs, size).groupBy("symbol", "batch").applyInPandas(one, RUNS)
+
+
+def monkey_percentile(shifted: DataFrame) -> DataFrame:
+    """Median Sharpe of the rule across symbols (run 0), and the share of runs whose median lies below."""
+    medians = shifted.groupBy("run").agg(F.median("sharpe").alias("m"))
+    own = medians.filter("run = 0").select(F.col("m").alias("own"))
+    return medians.filter("run > 0").crossJoin(F.broadcast(own)).groupBy("own").agg(F.avg((F.col("m") < F.col("own")).cast("double")).alias("percentile"), F.count("*").alias("runs"))
 
 
 def paths(returns: DataFrame, runs: int, length: int) -> DataFrame:
@@ -104,7 +166,7 @@ def paths(returns: DataFrame, runs: int, length: int) -> DataFrame:
     spark = returns.sparkSession
     n = returns.agg(F.count("*").alias("n"))
     grid = spark.range(1, runs + 1).select(F.col("id").alias("run"), F.explode(F.sequence(F.lit(1), F.lit(length))).alias("step")).crossJoin(F.broadcast(n))
-    return grid.withColumn("i", draw(F.col("n"), F.col("run"), F.col("step"))).join(returns, "i").select("run", "step", "ret")
+    return grid.withColumn("i", draw(F.col("n"), "run", "step")).join(returns, "i").select("run", "step", "ret")
 
 
 def monte_carlo(drawn: DataFrame, sizes: list[float], ruin: float = 0.7) -> DataFrame:
@@ -133,7 +195,7 @@ def block_bootstrap(returns: DataFrame, runs: int, length: int, block: int) -> D
     spark = returns.sparkSession
     n = returns.agg(F.count("*").alias("n"))
     blocks = spark.range(1, runs + 1).select(F.col("id").alias("run"), F.explode(F.sequence(F.lit(0), F.lit(-(-length // block) - 1))).alias("b")).crossJoin(F.broadcast(n))
-    start = blocks.withColumn("from", draw(F.col("n") - block + 1, F.col("run"), F.col("b")))
+    start = blocks.withColumn("from", draw(F.col("n") - block + 1, "run", "b"))
     steps = start.select("run", (F.col("b") * block).alias("at"), "from", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("k")).select("run", (F.col("at") + F.col("k")).alias("step"), (F.col("from") + F.col("k")).alias("i")).filter(F.col("step") < length)
     w = Window.partitionBy("run").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     curve = steps.join(returns, "i").withColumn("e", F.exp(F.sum(F.log1p("ret")).over(w)))
@@ -236,11 +298,11 @@ def compare(a: DataFrame, b: DataFrame, most_corr: float = 0.9, least_diff: floa
     return out.select("key", "days", "corr", diff.alias("difference"), (F.coalesce(F.col("corr") >= most_corr, F.lit(False)) | (diff <= least_diff)).alias("duplicate"))
 
 
-def checks(board_row: DataFrame, limits: dict[str, tuple[str, float]]) -> DataFrame:
-    """One row per limit; an undefined value fails."""
+def checks(rows: DataFrame, limits: dict[str, tuple[str, float]], keys: list[str] | tuple = ()) -> DataFrame:
+    """One row per row and limit; an undefined value fails."""
     tests = {">=": lambda c, v: c >= v, "<=": lambda c, v: c <= v, ">": lambda c, v: c > v, "<": lambda c, v: c < v}
     items = [F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("value"), F.lit(float(v)).alias("limit"), F.coalesce(tests[op](F.col(n), v) & ~F.isnan(F.col(n).cast("double")), F.lit(False)).alias("passed")) for n, (op, v) in limits.items()]
-    return board_row.select(F.explode(F.array(*items)).alias("c")).select("c.*")
+    return rows.select(*keys, F.explode(F.array(*items)).alias("c")).select(*keys, "c.*")
 
 
 def slippage(fills: DataFrame) -> DataFrame:

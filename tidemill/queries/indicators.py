@@ -55,12 +55,13 @@ folded("keltner", ATR + f", m AS (SELECT *, {listed('close')} AS c FROM a), e AS
        ["mid", "upper", "lower"], mid=lambda b: K.ema(b.close, 20), upper=lambda b: b.mid + 2 * K.atr(b, 14), lower=lambda b: b.mid - 2 * K.atr(b, 14))
 folded("rsi", f""", d AS (SELECT symbol, ts, close - lag(close) {W} AS d FROM bars), l AS (SELECT symbol, ts, list(greatest(d, 0)) FILTER (d IS NOT NULL) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g, list(greatest(-d, 0)) FILTER (d IS NOT NULL) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM d),
  r AS (SELECT symbol, ts, {ema_sql('g', 1 / 14, 14)} AS gain, {ema_sql('s', 1 / 14, 14)} AS loss FROM l) SELECT symbol, ts::VARCHAR AS ts, round(CASE WHEN loss = 0 THEN 100 ELSE 100 - 100 / (1 + gain / loss) END, 6) AS rsi FROM r""", ["rsi"], rsi=lambda b: K.rsi(b.close, 14))
-folded("macd", f", l AS (SELECT symbol, ts, {listed('close')} AS v FROM bars), m AS (SELECT symbol, ts, {ema_sql('v', 2 / 13, 12)} - {ema_sql('v', 2 / 27, 26)} AS line FROM l), n AS (SELECT *, list(line) FILTER (line IS NOT NULL) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS q FROM m), s AS (SELECT *, {ema_sql('q', 0.2, 9)} AS signal FROM n) SELECT symbol, ts::VARCHAR AS ts, round(line, 6) AS line, round(signal, 6) AS signal, round(line - signal, 6) AS hist FROM s",
+MACD = f", l AS (SELECT symbol, ts, {listed('close')} AS v FROM bars), m AS (SELECT symbol, ts, {ema_sql('v', 2 / 13, 12)} - {ema_sql('v', 2 / 27, 26)} AS line FROM l), n AS (SELECT *, list(line) FILTER (line IS NOT NULL) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS q FROM m), s AS (SELECT *, {ema_sql('q', 0.2, 9)} AS signal FROM n)"
+folded("macd", MACD + " SELECT symbol, ts::VARCHAR AS ts, round(line, 6) AS line, round(signal, 6) AS signal, round(line - signal, 6) AS hist FROM s",
        ["line", "signal", "hist"], line=lambda b: K.macd(b.close, 12, 26, 9)[0], signal=lambda b: K.macd(b.close, 12, 26, 9)[1], hist=lambda b: b.line - b.signal)
-folded("adx", ATR + f""", u AS (SELECT *, high - lag(high) {W} AS up, lag(low) {W} - low AS dn FROM a), p AS (SELECT *, CASE WHEN up > dn AND up > 0 THEN up ELSE 0 END AS pd, CASE WHEN dn > up AND dn > 0 THEN dn ELSE 0 END AS md FROM u),
+ADX = ATR + f""", u AS (SELECT *, high - lag(high) {W} AS up, lag(low) {W} - low AS dn FROM a), p AS (SELECT *, CASE WHEN up > dn AND up > 0 THEN up ELSE 0 END AS pd, CASE WHEN dn > up AND dn > 0 THEN dn ELSE 0 END AS md FROM u),
  q AS (SELECT *, {listed('pd')} AS pl, {listed('md')} AS ml FROM p), x AS (SELECT *, 100 * {ema_sql('pl', 1 / 14, 14)} / atr AS plus, 100 * {ema_sql('ml', 1 / 14, 14)} / atr AS minus FROM q),
- y AS (SELECT *, 100 * abs(plus - minus) / (plus + minus) AS dx FROM x), z AS (SELECT *, list(dx) FILTER (dx IS NOT NULL) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS dl FROM y)
- SELECT symbol, ts::VARCHAR AS ts, round(plus, 6) AS plus_di, round(minus, 6) AS minus_di, round({ema_sql('dl', 1 / 14, 14)}, 6) AS adx FROM z""",
+ y AS (SELECT *, 100 * abs(plus - minus) / (plus + minus) AS dx FROM x), z AS (SELECT *, list(dx) FILTER (dx IS NOT NULL) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS dl FROM y), ad AS (SELECT *, {ema_sql('dl', 1 / 14, 14)} AS adx FROM z)"""
+folded("adx", ADX + " SELECT symbol, ts::VARCHAR AS ts, round(plus, 6) AS plus_di, round(minus, 6) AS minus_di, round(adx, 6) AS adx FROM ad",
        ["plus_di", "minus_di", "adx"], plus_di=lambda b: K.adx(b, 14)[0], minus_di=lambda b: K.adx(b, 14)[1], adx=lambda b: K.adx(b, 14)[2])
 
 
@@ -77,23 +78,27 @@ def ewm_vol(spark, sf):
 NUMBERED = ", b AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn, lag(low) OVER (PARTITION BY symbol ORDER BY ts) AS l1, lag(low, 2) OVER (PARTITION BY symbol ORDER BY ts) AS l2, lag(high) OVER (PARTITION BY symbol ORDER BY ts) AS h1, lag(high, 2) OVER (PARTITION BY symbol ORDER BY ts) AS h2, lag(close) OVER (PARTITION BY symbol ORDER BY ts) AS c1 FROM bars)"
 
 
-@query("psar", B4.replace("WITH ", "WITH RECURSIVE ", 1) + NUMBERED + """,
+PSAR = B4.replace("WITH ", "WITH RECURSIVE ", 1) + NUMBERED + """,
  s AS (SELECT symbol, rn, true AS bull, 0.02::DOUBLE AS af, high AS ep, low AS sar FROM b WHERE rn = 1
  UNION ALL SELECT symbol, rn, bull2, CASE WHEN bull2 <> bull THEN CASE WHEN (bull2 AND high > ep2) OR (NOT bull2 AND low < ep2) THEN least(0.04, 0.2) ELSE 0.02 END WHEN (bull2 AND high > ep2) OR (NOT bull2 AND low < ep2) THEN least(af + 0.02, 0.2) ELSE af END,
   CASE WHEN bull2 THEN greatest(ep2, high) ELSE least(ep2, low) END, sar2 FROM (
   SELECT *, CASE WHEN bull AND low < v THEN false WHEN NOT bull AND high > v THEN true ELSE bull END AS bull2, CASE WHEN bull AND low < v THEN low WHEN NOT bull AND high > v THEN high ELSE ep END AS ep2, CASE WHEN (bull AND low < v) OR (NOT bull AND high > v) THEN ep ELSE v END AS sar2 FROM (
-   SELECT b.symbol, b.rn, b.high, b.low, s.bull, s.af, s.ep, CASE WHEN s.bull THEN least(s.sar + s.af * (s.ep - s.sar), b.l1, coalesce(b.l2, b.l1)) ELSE greatest(s.sar + s.af * (s.ep - s.sar), b.h1, coalesce(b.h2, b.h1)) END AS v FROM s JOIN b ON b.symbol = s.symbol AND b.rn = s.rn + 1)))
- SELECT b.symbol, b.ts::VARCHAR AS ts, round(s.sar, 6) AS sar FROM b JOIN s USING (symbol, rn)""")
+   SELECT b.symbol, b.rn, b.high, b.low, s.bull, s.af, s.ep, CASE WHEN s.bull THEN least(s.sar + s.af * (s.ep - s.sar), b.l1, coalesce(b.l2, b.l1)) ELSE greatest(s.sar + s.af * (s.ep - s.sar), b.h1, coalesce(b.h2, b.h1)) END AS v FROM s JOIN b ON b.symbol = s.symbol AND b.rn = s.rn + 1)))"""
+
+
+@query("psar", PSAR + " SELECT b.symbol, b.ts::VARCHAR AS ts, round(s.sar, 6) AS sar FROM b JOIN s USING (symbol, rn)")
 def psar(spark, sf):
     return show(K.with_folds(bars(spark, sf), {"sar": K.parabolic_sar}), "symbol", "ts", "sar")
 
 
-@query("supertrend", B4.replace("WITH ", "WITH RECURSIVE ", 1) + ATR.replace("1 / 14", "1 / 14").replace(repr(1 / 14), repr(1 / 10)).replace(">= 14", ">= 10") + """,
+SUPERTREND = B4.replace("WITH ", "WITH RECURSIVE ", 1) + ATR.replace("1 / 14", "1 / 14").replace(repr(1 / 14), repr(1 / 10)).replace(">= 14", ">= 10") + """,
  b AS MATERIALIZED (SELECT *, (high + low) / 2 + 3 * atr AS bu, (high + low) / 2 - 3 * atr AS bl, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn, lag(close) OVER (PARTITION BY symbol ORDER BY ts) AS c1 FROM a),
  s AS (SELECT symbol, rn, bu AS up, bl AS lo, 1.0::DOUBLE AS trend FROM b WHERE rn = 10
  UNION ALL SELECT symbol, rn, u, l, CASE WHEN trend > 0 AND close < l THEN -1.0 WHEN trend < 0 AND close > u THEN 1.0 ELSE trend END FROM (
-  SELECT b.symbol, b.rn, b.close, s.trend, CASE WHEN b.c1 <= s.up THEN least(b.bu, s.up) ELSE b.bu END AS u, CASE WHEN b.c1 >= s.lo THEN greatest(b.bl, s.lo) ELSE b.bl END AS l FROM s JOIN b ON b.symbol = s.symbol AND b.rn = s.rn + 1))
- SELECT b.symbol, b.ts::VARCHAR AS ts, coalesce(s.trend, 0.0)::DOUBLE AS direction, round(CASE WHEN s.trend > 0 THEN s.lo ELSE s.up END, 6) AS line FROM b LEFT JOIN s USING (symbol, rn)""")
+  SELECT b.symbol, b.rn, b.close, s.trend, CASE WHEN b.c1 <= s.up THEN least(b.bu, s.up) ELSE b.bu END AS u, CASE WHEN b.c1 >= s.lo THEN greatest(b.bl, s.lo) ELSE b.bl END AS l FROM s JOIN b ON b.symbol = s.symbol AND b.rn = s.rn + 1))"""
+
+
+@query("supertrend", SUPERTREND + " SELECT b.symbol, b.ts::VARCHAR AS ts, coalesce(s.trend, 0.0)::DOUBLE AS direction, round(CASE WHEN s.trend > 0 THEN s.lo ELSE s.up END, 6) AS line FROM b LEFT JOIN s USING (symbol, rn)")
 def supertrend(spark, sf):
     return show(K.with_folds(bars(spark, sf), {"line": lambda b: K.supertrend(b)[0], "direction": lambda b: K.supertrend(b)[1]}), "symbol", "ts", "direction", "line")
 

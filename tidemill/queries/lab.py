@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemill.functions import rules as R
 from tidemill.operators import bracket, report
 from tidemill.operators import ledger as L
 from tidemill.plans import experiments as X
@@ -52,13 +53,26 @@ def plateau_choose(spark, sf):
     return show(X.plateau(rows, ["fast", "slow"]).select("config_id", "plateau", "choice"))
 
 
-@query("monkey_shift", ledger_sql() + f""", ix AS (SELECT symbol, position, row_number() {W} - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n, coalesce(close / lag(close) {W} - 1, 0) AS mv FROM led),
- mo AS (SELECT x.symbol, r.run, y.i, x.position, y.mv FROM ix x, (SELECT unnest(range(1, 41)) AS run) r, ix y WHERE y.symbol = x.symbol AND y.i = (x.i + r.run * 7919) % x.n),
- nt2 AS (SELECT *, position * mv - {RATE} * abs(position - coalesce(lag(position) OVER (PARTITION BY run, symbol ORDER BY i), 0)) AS net FROM mo), sh AS (SELECT run, symbol, avg(net) / stddev_samp(net) AS s FROM nt2 GROUP BY ALL), mr AS (SELECT run, median(s) AS m FROM sh GROUP BY run),
- ow AS (SELECT median(s) AS own FROM (SELECT avg(net) / stddev_samp(net) AS s FROM led GROUP BY symbol)) SELECT round(own, 6) AS own, round(avg((m < own)::INT), 6) AS percentile, count(*)::BIGINT AS runs FROM mr, ow GROUP BY own""")
+def hash_sql(*parts: str) -> str:
+    """48 random bits of the parts."""
+    joined = " || ':' || ".join(parts)
+    return f"('0x' || substr(md5({joined}), 1, 12))::BIGINT"
+
+
+@query("monkey_shift", ledger_sql() + f""", ix AS (SELECT symbol, want, funding_rate AS fr, row_number() {W} - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n, coalesce(close / lag(close) {W} - 1, 0) AS mv FROM tg),
+ of AS (SELECT symbol, n, run, CASE WHEN run = 0 THEN 0 ELSE n // 10 + {hash_sql("'0'", 'symbol', 'run')} % (n - 2 * (n // 10)) END AS o FROM (SELECT DISTINCT symbol, n FROM ix), (SELECT unnest(range(0, 41)) AS run)),
+ mo AS (SELECT x.symbol, of.run, y.i, x.want, y.mv, y.fr FROM ix x JOIN of ON of.symbol = x.symbol JOIN ix y ON y.symbol = x.symbol AND y.i = (x.i + of.o) % x.n),
+ m1 AS (SELECT *, coalesce(lag(want) OVER (PARTITION BY run, symbol ORDER BY i), 0) AS pos FROM mo), m2 AS (SELECT *, pos * mv - pos * fr - {RATE} * abs(pos - coalesce(lag(pos) OVER (PARTITION BY run, symbol ORDER BY i), 0)) AS net FROM m1),
+ sh AS (SELECT run, symbol, coalesce(avg(net) / nullif(stddev_samp(net), 0), 0) * sqrt(365.25 * 6) AS s FROM m2 GROUP BY ALL), mr AS (SELECT run, median(s) AS m FROM sh GROUP BY run), ow AS (SELECT m AS own FROM mr WHERE run = 0)
+ SELECT round(own, 6) AS own, round(avg((m < own)::INT), 6) AS percentile, count(*)::BIGINT AS runs FROM mr, ow WHERE run > 0 GROUP BY own""")
 def monkey_shift(spark, sf):
-    b = book(spark, sf)
-    return show(X.monkey_percentile(X.monkeys(b, 40, RATE), b))
+    return show(X.monkey_percentile(X.monkeys(R.with_target(B.event_bars(spark, sf), SPEC), 40, RATE, size=16)))
+
+
+@query("monkey_bracket")
+def monkey_bracket(spark, sf):
+    """Random entries for a bracket; a generator's numbers aren't SQL's, so a test re-simulates them."""
+    return show(X.monkey_percentile(X.bracket_monkeys(bracket_bars(spark, sf), bracket.Settings(max_bars=12), 10, size=5)))
 
 
 def pool(spark, sf):
@@ -68,8 +82,7 @@ def pool(spark, sf):
 
 
 def draw_sql(n: str, *parts: str) -> str:
-    total = " + ".join(["17", *(f"{p} * {k}" for p, k in zip(parts, (7919, 104729, 1299709)))])
-    return f"(({total}) + (({total}) // 97)) % {n}"
+    return hash_sql("'0'", *parts) + f" % {n}"
 
 
 @query("monte_carlo", ledger_sql() + TRADES + f""", po2 AS (SELECT row_number() OVER (ORDER BY symbol, entry) - 1 AS i, ret, count(*) OVER () AS n FROM tr WHERE NOT open), nn AS (SELECT max(n) AS n FROM po2),
@@ -172,12 +185,15 @@ def trial_distinct(spark, sf):
     return show(X.distinct_trials(rows, ["idea", "version"], ["ts", "event_id"]).select("idea", "version", "event_id", "metric"))
 
 
-@query("region_overlap", "SELECT a.p_partkey AS a, count(*)::BIGINT AS overlaps FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey AND a.p_size * 8 <= b.p_size * 12 AND b.p_size * 8 <= a.p_size * 12 GROUP BY a.p_partkey")
+@query("region_overlap", "WITH b AS (SELECT p_partkey AS k, p_size AS n, p_size % 3 AS kind FROM part WHERE p_partkey % 7 = 0 AND p_partkey < 700) SELECT x.k AS a, count(*)::BIGINT AS overlaps FROM b x JOIN b y ON x.k < y.k AND x.kind = y.kind AND x.n * 8 <= y.n * 12 AND y.n * 8 <= x.n * 12 GROUP BY x.k")
 def region_overlap(spark, sf):
-    box = B.table(spark, sf, "part").select("p_brand", "p_type", F.col("p_partkey").alias("k"), (F.col("p_size") * 8).alias("lo"), (F.col("p_size") * 12).alias("hi"))
-    a, b = box.alias("a"), box.alias("b")
-    same = [F.col("a.p_brand") == F.col("b.p_brand"), F.col("a.p_type") == F.col("b.p_type"), F.col("a.k") < F.col("b.k"), F.col("a.lo") <= F.col("b.hi"), F.col("b.lo") <= F.col("a.hi")]
-    return a.join(b, X._all(same)).groupBy(F.col("a.k").alias("a")).agg(F.count("*").alias("overlaps"))
+    """Regions of a hundred specs, one for each of some parts, compared by the library on the driver as a registry does."""
+    kinds = ({"type": "momentum"}, {"type": "bollinger_breakout"}, {"type": "vol_target", "strategy": {"type": "momentum"}})
+    rows = B.table(spark, sf, "part").filter("p_partkey % 7 = 0 and p_partkey < 700").select("p_partkey", "p_size").orderBy("p_partkey").collect()
+    paths = ("lookback", "length", "strategy.lookback")
+    boxes = [(k, S.region(S.set_path(kinds[n % 3], paths[n % 3], n), {})) for k, n in rows]
+    found = [(a, sum(S.overlaps(x, y) for b, y in boxes if b > a)) for a, x in boxes]
+    return spark.createDataFrame([f for f in found if f[1]], "a long, overlaps long")
 
 
 @query("slippage", "SELECT l_returnflag AS symbol, count(*)::BIGINT AS fills, round(median((CASE WHEN l_linestatus = 'O' THEN 1 ELSE -1 END) * (l_extendedprice / (p_retailprice * l_quantity) - 1) * 1e4), 4) AS median_bps FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_returnflag")
@@ -188,9 +204,7 @@ def slippage(spark, sf):
 
 @query("gates", BOARD + " SELECT config_id, 'median_sharpe' AS name, round(median_sharpe, 6) AS value, 0.3::DOUBLE AS \"limit\", median_sharpe >= 0.3 AS passed FROM board UNION ALL SELECT config_id, 'positive', round(positive, 6), 0.6::DOUBLE, positive >= 0.6 FROM board")
 def gates(spark, sf):
-    rows = X.board(grid_book(spark, sf), RATE)
-    items = rows.select("config_id", F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).alias("value"), F.lit(v).alias("limit"), (F.col(n) >= v).alias("passed")) for n, v in (("median_sharpe", 0.3), ("positive", 0.6))))).alias("c")).select("config_id", "c.*")
-    return show(items)
+    return show(X.checks(X.board(grid_book(spark, sf), RATE), {"median_sharpe": (">=", 0.3), "positive": (">=", 0.6)}, ["config_id"]))
 
 
 @query("entry_test")
@@ -205,6 +219,9 @@ def choose_stake(spark, sf):
     return spark.createDataFrame([(len(rows), size)], "sizes int, stake double")
 
 
-@query("spec_hash")
+_text = """'{"allow_short":true,"fast":' || f || '.0,"kind":"sma","slow":' || s || '.0,"type":"ma_crossover"}'"""
+
+
+@query("spec_hash", f"SELECT k AS config_id, substr(sha256({_text}), 1, 16) AS hash FROM (VALUES {', '.join(map(str, CONFIGS))}) v(k, f, s)")
 def spec_hash(spark, sf):
     return spark.createDataFrame([(k, S.spec_hash(s)) for k, s in grid_specs().items()], "config_id int, hash string")
