@@ -173,7 +173,7 @@ def test_crowded_anchors_and_frequent_tokens(spark, monkeypatch):
     want = brute_substrings({d: t for d, _, t in rows})
     assert {d: substrings.cut(t.encode(), found[d])[1:] for d, _, t in rows} == {d: w[1:3] for d, w in want.items()}
     # lines of which every token is frequent meet at pairs
-    texts = {d: " ".join(rng.choice(["the", "of", "and", "to", "in", "is", "was"], int(rng.integers(1, 7)))) for d in range(300)}
+    texts = {d: " ".join(rng.choice(["the", "of", "and", "to", "in", "is", "was", "a", "b", "c", "d", "e", "f", "g", "h"], int(rng.integers(1, 26)))) for d in range(500)}
     often = bytes([40]) * (1 << lines.WORD_BITS)
     batch = pa.RecordBatch.from_pylist([{"doc_id": d, "copy": 0, "text": t} for d, t in texts.items()])
     packed = pa.Table.from_batches(list(lines.index_batches([batch], often, 8))).sort_by("bucket")

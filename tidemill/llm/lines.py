@@ -3,9 +3,9 @@
 A line is the set of its words. Tokens are ordered by rarity in the corpus (a fixed-size table
 of counts by hash bucket, over all documents), and each line is indexed under its prefix: the
 tokens of which two lines with the required Jaccard similarity must share one. Lines that meet
-pass a length, a positional and a bitmap filter; what is left is verified on the token sets. Lines that
-share a token which the corpus has very often meet at pairs of tokens instead: two lines that match
-share two tokens of prefixes that are one longer, if they have two at all. A line goes if any earlier line (smaller doc_id, or same document, earlier line) matches it,
+pass a length, a positional and a bitmap filter; what is left is verified on the token sets. Short lines
+that share a token which the corpus has very often meet at pairs of tokens instead: two lines that
+match share two tokens of prefixes that are one longer, if they have two at all. A line goes if any earlier line (smaller doc_id, or same document, earlier line) matches it,
 whether or not that line stays. Lines with equal sets need no verification; only the earliest of
 them goes on.
 """
@@ -28,8 +28,9 @@ MIN_WORDS = 1
 #: The rarity table: log-scaled corpus counts by hash bucket, one byte each, whatever the corpus. Words
 #: repeat more than shingles do, so fewer buckets tell them apart.
 WORD_BITS, SHINGLE_BITS = 18, 22
-#: Rarity (2 * log2 of the count) from which a token's lines meet at pairs of tokens.
-OFTEN = 28
+#: Rarity (2 * log2 of the count) from which the lines of at most SHORT tokens meet at pairs of tokens. Longer ones
+#: have too many pairs; those that may match a short one meet at both.
+OFTEN, SHORT = 28, 10
 SLICE_BYTES, SLICE_LINES = 2_000_000, 60_000
 INDEX = "bucket int, n long, data binary"
 MET = "verify boolean, doc_id long, copy long, line int, token long, shard long"
@@ -254,14 +255,16 @@ def index_rows(batches, rank: bytes, shingle: int = 0):
                 pos = np.arange(len(tokens)) - first[line]
                 at = np.flatnonzero((pos < prefix_size(size)[line]) & (~later[line] | (pos == 0)))
                 # a later equal line gets one row, size 0: it is known to go
-                often = (tokens[at] >> 42 >= OFTEN) & (size[line[at]] > 1) & ~later[line[at]]
+                n = size[line[at]]
+                often = (tokens[at] >> 42 >= OFTEN) & (n > 1) & (UNDER * SHORT >= OVER * n) & ~later[line[at]]
+                alone = ~often | (n > SHORT)
                 # pairs of a frequent token with those after it in the prefix that is one longer
                 many = at[often]
                 after = np.minimum(prefix_size(size)[line[many]] + 1, size[line[many]]) - pos[many] - 1
                 one = np.repeat(many, after)
                 two = one + 1 + np.arange(len(one)) - np.repeat(np.cumsum(after) - after, after)
                 pair = (rolling.mix(rolling.mix(tokens[one].astype(np.uint64)) + tokens[two].astype(np.uint64)) >> np.uint64(16)).astype(np.int64) | (1 << 48)
-                token, at = np.concatenate([tokens[at[~often]], pair]), np.concatenate([at[~often], one])
+                token, at = np.concatenate([tokens[at[alone]], pair]), np.concatenate([at[alone], one])
                 of = line[at]
                 sizes = np.where(later[of], 0, size[of])
                 yield token, doc[of], copy[of], number[of], sizes, pos[at], bits[of], sets[of] >> np.uint64(32), wide[of]
