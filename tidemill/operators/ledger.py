@@ -111,12 +111,20 @@ def summarize(book: DataFrame, closed: DataFrame, keys: tuple[str, ...] = ("symb
         (F.col("turnover") / F.col("years")).alias("turnover_per_year"), (F.col("costs") / F.col("years")).alias("cost_drag_per_year"), (F.col("fundings") / F.col("years")).alias("funding_drag_per_year"))
 
 
+def drawdown_series(book: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """Share below the running peak, which starts at the capital, of every bar."""
+    w = over(keys).rowsBetween(Window.unboundedPreceding, 0)
+    return book.withColumn("peak", F.greatest(F.lit(1.0), F.max("equity").over(w))).select(*keys, "ts", "equity", "peak", (F.col("equity") / F.col("peak") - 1).alias("drop"))
+
+
 def drawdowns(book: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """Worst fall from a peak that includes the start: depth, trough, its peak and recovery, share of time underwater."""
+    """Worst fall from a peak that includes the start: depth, trough, its peak and recovery; the greatest fall as a
+    share of the start; days of the longest time below a high, and the share of bars below one."""
     w = over(keys).rowsBetween(Window.unboundedPreceding, 0)
-    rows = (book.withColumn("peak", F.greatest(F.lit(1.0), F.max("equity").over(w))).withColumn("drop", F.col("equity") / F.col("peak") - 1)
-            .withColumn("peak_ts", F.max(F.when(F.col("drop") >= 0, F.col("ts"))).over(w)))
-    after = F.min(F.when(F.col("drop") >= 0, F.col("ts"))).over(over(keys).rowsBetween(0, Window.unboundedFollowing))
-    rows = rows.withColumn("recovered", after)
+    high = F.when(F.col("drop") >= 0, F.col("ts"))
+    rows = drawdown_series(book, keys).withColumn("peak_ts", F.coalesce(F.max(high).over(w), F.min("ts").over(w)))
+    rows = rows.withColumn("recovered", F.min(high).over(over(keys).rowsBetween(0, Window.unboundedFollowing)))
+    seconds = lambda c: F.unix_timestamp(F.col(c).cast("timestamp"))
     key = F.struct("drop", "ts")
-    return rows.groupBy(*keys).agg(F.min("drop").alias("depth"), F.min_by("ts", key).alias("trough"), F.min_by("peak_ts", key).alias("peak"), F.min_by("recovered", key).alias("recovery"), F.avg((F.col("drop") < 0).cast("double")).alias("underwater"))
+    return rows.groupBy(*keys).agg(F.min("drop").alias("depth"), F.min_by("ts", key).alias("trough"), F.min_by("peak_ts", key).alias("peak"), F.min_by("recovered", key).alias("recovery"), F.max(F.col("peak") - F.col("equity")).alias("fall_of_start"),
+                                   F.coalesce(F.max(F.when(F.col("drop") < 0, (seconds("ts") - seconds("peak_ts")) / 86400)), F.lit(0.0)).alias("longest_days"), F.avg((F.col("drop") < 0).cast("double")).alias("underwater"))

@@ -183,6 +183,29 @@ def monte_carlo(drawn: DataFrame, sizes: list[float], ruin: float = 0.7) -> Data
     return out.withColumn("return_dd", F.coalesce(F.try_divide("median_return", "median_max_dd"), F.lit(float("inf"))))
 
 
+def monte_carlo_by_symbol(closed: DataFrame, book: DataFrame, runs: int = 2500, ruin: float = 0.5, seed: int = 0, sizes: tuple[float, ...] = (0.5, 1.0, 2.0)) -> DataFrame:
+    """The same per symbol, over a year's number of its closed trades: one grouped map, a symbol's paths in numpy."""
+    span = book.groupBy("symbol").agg(((F.unix_timestamp(F.max("ts").cast("timestamp")) - F.unix_timestamp(F.min("ts").cast("timestamp"))) / (365.25 * 86400)).alias("years"))
+    schema = "symbol string, size double, risk_of_ruin double, median_max_dd double, median_return double, return_dd double, prob_profit double, p05_return double, p95_max_dd double"
+
+    def one(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("entry", kind="stable")
+        year = max(int(round(len(b) / max(b.years.iloc[0], 1 / 365.25))), 1)
+        rng = np.random.Generator(np.random.Philox(key=hashed_number(seed, b.symbol.iloc[0])))
+        drawn, rows = rng.choice(b["return"].to_numpy(), size=(runs, year)), []
+        for size in sizes:
+            curve = np.hstack([np.ones((runs, 1)), np.cumprod(1 + np.maximum(drawn * size, -1), axis=1)])
+            lost = curve <= 1 - ruin
+            end = np.where(lost.any(axis=1), lost.argmax(axis=1), year)
+            curve = np.where(np.arange(year + 1) <= end[:, None], curve, curve[np.arange(runs), end][:, None])  # a ruined run stops
+            fall, final = (1 - curve / np.maximum.accumulate(curve, axis=1)).max(axis=1), curve[:, -1] - 1
+            middle = np.median(fall)
+            rows.append((b.symbol.iloc[0], size, lost.any(axis=1).mean(), middle, np.median(final), np.median(final) / middle if middle > 0 else np.inf, (final > 0).mean(), np.quantile(final, 0.05), np.quantile(fall, 0.95)))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+
+    return closed.select("symbol", "entry", "return").join(span, "symbol").groupBy("symbol").applyInPandas(one, schema)
+
+
 def choose_stake(rows: list, limits: dict) -> float | None:
     """The largest size that passes all limits, not above that of the greatest median return."""
     best = max(rows, key=lambda r: r["median_return"])["size"]

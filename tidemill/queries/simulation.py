@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from tidemill.functions import rules as R
 from tidemill.operators import bracket, instruments, report
 from tidemill.operators import ledger as L
-from tidemill.queries import W, bars_sql, query, sma_sql
+from tidemill.plans import experiments as X
+from tidemill.queries import DAILY, W, bars_sql, query, sma_sql
 from tidemill.queries.bars import show
+from tidemill.queries.indicators import ADX
 from tidemill.queries.rules import prior
 from tidemill.sources import bars as B
 
@@ -71,11 +73,13 @@ def aggregate(spark, sf):
     return show(report.aggregate(L.summarize(b, L.trades(b, RATE))))
 
 
-DD = """, pk AS (SELECT *, greatest(1.0, max(equity) OVER (PARTITION BY symbol ORDER BY ts)) AS peak FROM led), dz AS (SELECT *, equity / peak - 1 AS d FROM pk)"""
+DD = """, pk AS (SELECT *, greatest(1.0, max(equity) OVER (PARTITION BY symbol ORDER BY ts)) AS peak FROM led), dz AS (SELECT *, equity / peak - 1 AS d FROM pk),
+ dh AS (SELECT *, coalesce(max(ts) FILTER (d >= 0) OVER (PARTITION BY symbol ORDER BY ts), min(ts) OVER (PARTITION BY symbol)) AS high FROM dz),
+ dm AS (SELECT symbol, min(d) AS depth, arg_min(ts, d) AS trough, max(peak - equity) AS fall, coalesce(max(epoch(ts) - epoch(high)) FILTER (d < 0), 0) / 86400 AS longest_days, avg((d < 0)::INT) AS underwater FROM dh GROUP BY symbol),
+ dw AS (SELECT dm.*, (SELECT high FROM dh z WHERE z.symbol = dm.symbol AND z.ts = dm.trough) AS peak, (SELECT min(ts) FROM dz z WHERE z.symbol = dm.symbol AND z.ts >= dm.trough AND z.d >= 0) AS recovery FROM dm)"""
 
 
-@query("drawdown", ledger_sql() + DD + """, m AS (SELECT symbol, min(d) AS depth, arg_min(ts, d) AS trough, avg((d < 0)::INT) AS underwater FROM dz GROUP BY symbol)
- SELECT m.symbol, round(depth, 6) AS depth, trough::VARCHAR AS trough, (SELECT max(ts) FROM dz z WHERE z.symbol = m.symbol AND z.ts <= m.trough AND z.d >= 0)::VARCHAR AS peak, (SELECT min(ts) FROM dz z WHERE z.symbol = m.symbol AND z.ts >= m.trough AND z.d >= 0)::VARCHAR AS recovery, round(underwater, 6) AS underwater FROM m""")
+@query("drawdown", ledger_sql() + DD + " SELECT symbol, round(depth, 6) AS depth, trough::VARCHAR AS trough, peak::VARCHAR AS peak, recovery::VARCHAR AS recovery, round(longest_days, 6) AS longest_days, round(fall, 6) AS fall_of_start, round(underwater, 6) AS underwater FROM dw")
 def drawdown(spark, sf):
     return show(L.drawdowns(book(spark, sf)))
 
@@ -87,11 +91,33 @@ def annual(spark, sf):
     return show(report.periodic(book(spark, sf), "WEEK"))
 
 
-@query("monthly_pivot", ledger_sql() + """, we AS (SELECT symbol, isodow(ts) AS k, date_trunc('week', ts)::TIMESTAMP AS w, net FROM led) SELECT symbol, w::VARCHAR AS week, """ + ", ".join(f"round(product(1 + net) FILTER (k = {k}) - 1, 6) AS d{k}" for k in range(1, 8)) + ", round(product(1 + net) - 1, 6) AS total FROM we GROUP BY symbol, w")
-def monthly_pivot(spark, sf):
+@query("weekly_pivot", ledger_sql() + """, we AS (SELECT symbol, isodow(ts) AS k, date_trunc('week', ts)::TIMESTAMP AS w, net FROM led) SELECT symbol, w::VARCHAR AS week, """ + ", ".join(f"round(product(1 + net) FILTER (k = {k}) - 1, 6) AS d{k}" for k in range(1, 8)) + ", round(product(1 + net) - 1, 6) AS total FROM we GROUP BY symbol, w")
+def weekly_pivot(spark, sf):
     return show(report.return_grid(book(spark, sf)))
 
 
+#: The same ledger over some years of daily bars.
+DAILY_LEDGER = ledger_sql().replace(bars_sql(), DAILY)
+
+
+def daily_book(spark, sf):
+    return L.ledger(R.with_target(B.order_bars(spark, sf), SPEC), RATE)
+
+
+@query("monthly_pivot", DAILY_LEDGER + " SELECT symbol, year(ts)::INT AS year, " + ", ".join(f"round(product(1 + net) FILTER (month(ts) = {k}) - 1, 6) AS m{k}" for k in range(1, 13)) + ", round(product(1 + net) - 1, 6) AS total FROM led GROUP BY symbol, year(ts)")
+def monthly_pivot(spark, sf):
+    return show(report.month_grid(daily_book(spark, sf)))
+
+
+@query("annual_years", DAILY_LEDGER + TRADES + """, ye AS (SELECT *, year(ts) AS y FROM led), ey AS (SELECT symbol, y, last(equity ORDER BY ts) AS fin FROM ye GROUP BY ALL), pr AS (SELECT *, coalesce(lag(fin) OVER (PARTITION BY symbol ORDER BY y), 1.0) AS start FROM ey),
+ dd AS (SELECT w.symbol, w.y, w.equity / nullif(greatest(p.start, max(w.equity) OVER (PARTITION BY w.symbol, w.y ORDER BY w.ts)), 0) - 1 AS d FROM ye w JOIN pr p ON p.symbol = w.symbol AND p.y = w.y), mm AS (SELECT symbol, y, least(min(d), 0) AS d FROM dd GROUP BY ALL),
+ de AS (SELECT symbol, year(exit) AS y, count(*) AS n, avg((ret > 0)::INT) AS wr FROM tr WHERE NOT open GROUP BY ALL)
+ SELECT symbol, y::INT AS year, round(CASE WHEN start = 0 THEN NULL ELSE fin / start - 1 END, 6) AS "return", round((fin - start) * 10000, 4) AS net_profit, round(mm.d, 6) AS max_drawdown, coalesce(n, 0)::BIGINT AS trades, round(wr, 6) AS win_rate FROM pr JOIN mm USING (symbol, y) LEFT JOIN de USING (symbol, y)""")
+def annual_years(spark, sf):
+    b = daily_book(spark, sf)
+    return show(report.annual(b, L.trades(b, RATE)).withColumn("net_profit", F.round("net_profit", 4)))
+
+
 @query("side_stats", ledger_sql() + TRADES + """, x AS (SELECT symbol, ret, bars, CASE WHEN direction > 0 THEN 'Long' ELSE 'Short' END AS side FROM tr WHERE NOT open)
  SELECT symbol, coalesce(side, 'All') AS side, count(*)::BIGINT AS trades, round(avg((ret > 0)::INT), 6) AS win_rate, round(sum(ret), 6) AS total, round(max(ret), 6) AS best, round(min(ret), 6) AS worst, round(avg(ret) FILTER (ret > 0), 6) AS avg_win, round(avg(ret) FILTER (ret < 0), 6) AS avg_loss, round(median(bars), 6) AS median_bars, round(coalesce(stddev_samp(ret), 0), 6) AS deviation FROM x GROUP BY GROUPING SETS ((symbol), (symbol, side))""")
 def side_stats(spark, sf):
@@ -104,18 +130,46 @@ def streaks(spark, sf):
     return report.streaks(L.trades(book(spark, sf), RATE))
 
 
-@query("excursions", ledger_sql() + TRADES + """, q AS (SELECT t.symbol, t.entry, t.direction, t.bars, b.close AS px FROM tr t JOIN bars b ON b.symbol = t.symbol AND b.ts = t.entry - INTERVAL '4 hours')
- SELECT q.symbol, q.entry::VARCHAR AS entry, round(CASE WHEN any_value(direction) > 0 THEN min(b.low) / any_value(px) - 1 ELSE 1 - max(b.high) / any_value(px) END, 6) AS mae, round(CASE WHEN any_value(direction) > 0 THEN max(b.high) / any_value(px) - 1 ELSE 1 - min(b.low) / any_value(px) END, 6) AS mfe
- FROM q JOIN bars b ON b.symbol = q.symbol AND b.ts >= q.entry AND b.ts < q.entry + INTERVAL '4 hours' * q.bars GROUP BY q.symbol, q.entry""")
+MONEY = ", ac AS (SELECT symbol, ts AS entry, coalesce(lag(equity) OVER (PARTITION BY symbol ORDER BY ts), 1.0) * 10000 AS account FROM led), tm AS (SELECT tr.*, ret * account AS money FROM tr JOIN ac USING (symbol, entry))"
+
+
+@query("trade_summary", ledger_sql() + TRADES + MONEY + """, x AS (SELECT *, unnest(['All', CASE WHEN direction > 0 THEN 'Long' ELSE 'Short' END]) AS side FROM tm WHERE NOT open),
+ sg AS (SELECT symbol, side, sign(ret) AS k, row_number() OVER (PARTITION BY symbol, side ORDER BY entry) - row_number() OVER (PARTITION BY symbol, side, sign(ret) ORDER BY entry) AS g FROM x), rn AS (SELECT symbol, side, k, count(*) AS n FROM sg GROUP BY symbol, side, k, g),
+ st AS (SELECT symbol, side, coalesce(max(n) FILTER (k = 1), 0)::BIGINT AS max_consec_wins, coalesce(max(n) FILTER (k = -1), 0)::BIGINT AS max_consec_losses FROM rn GROUP BY ALL),
+ ag AS (SELECT symbol, side, sum(money) AS net_profit, coalesce(sum(money) FILTER (ret > 0), 0) AS gross_profit, coalesce(sum(money) FILTER (ret < 0), 0) AS gross_loss, count(*)::BIGINT AS trades, avg((ret > 0)::INT) AS win_rate, (count(*) FILTER (ret > 0))::BIGINT AS winners, (count(*) FILTER (ret < 0))::BIGINT AS losers, (count(*) FILTER (ret = 0))::BIGINT AS even,
+  avg(ret) AS avg_trade, avg(money) AS avg_trade_usd, avg(ret) FILTER (ret > 0) AS avg_win, avg(ret) FILTER (ret < 0) AS avg_loss, max(ret) FILTER (ret > 0) AS largest_win, min(ret) FILTER (ret < 0) AS largest_loss, max(money) FILTER (ret > 0) AS top, min(money) FILTER (ret < 0) AS bottom, avg(bars) AS avg_bars, avg(bars) FILTER (ret > 0) AS avg_bars_win, avg(bars) FILTER (ret < 0) AS avg_bars_loss FROM x GROUP BY ALL)
+ SELECT symbol, side, trades, winners, losers, even, max_consec_wins, max_consec_losses, """ + ", ".join(f"round({c}, 4) AS {c}" for c in ("net_profit", "gross_profit", "gross_loss", "win_rate", "avg_trade", "avg_trade_usd", "avg_win", "avg_loss", "largest_win", "largest_loss", "avg_bars", "avg_bars_win", "avg_bars_loss"))
+       + ", round(CASE WHEN gross_loss < 0 THEN gross_profit / -gross_loss WHEN gross_profit > 0 THEN 'inf'::DOUBLE END, 4) AS profit_factor, round(avg_win / -avg_loss, 4) AS win_loss_ratio, round(top / nullif(gross_profit, 0), 4) AS largest_win_share, round(bottom / nullif(gross_loss, 0), 4) AS largest_loss_share FROM ag JOIN st USING (symbol, side)")
+def trade_summary(spark, sf):
+    b = book(spark, sf)
+    return show(report.trade_summary(report.trade_money(L.trades(b, RATE), b)), digits=4)
+
+
+EXCURSED = """, axr AS (SELECT symbol, ts, close, atr, high, low, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i FROM ax), rf AS (SELECT *, CASE WHEN i = 1 THEN close ELSE lag(close) OVER w END AS px, CASE WHEN i = 1 THEN atr ELSE lag(atr) OVER w END AS rg FROM axr WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+ qx AS (SELECT t.symbol, t.entry, t.direction, t.bars, t.ret, r.px, r.rg, r.i FROM tr t JOIN rf r ON r.symbol = t.symbol AND r.ts = t.entry WHERE NOT t.open),
+ hl AS (SELECT qx.symbol, qx.entry, any_value(direction) AS direction, any_value(qx.bars) AS bars, any_value(ret) AS ret, any_value(qx.px) AS px, any_value(qx.rg) AS rg, max(a.high) / any_value(qx.px) - 1 AS up, 1 - min(a.low) / any_value(qx.px) AS down FROM qx JOIN axr a ON a.symbol = qx.symbol AND a.i >= qx.i AND a.i < qx.i + qx.bars GROUP BY qx.symbol, qx.entry),
+ ex AS (SELECT *, greatest(0, CASE WHEN direction > 0 THEN down ELSE up END) AS mae, greatest(0, CASE WHEN direction > 0 THEN up ELSE down END) AS mfe FROM hl)"""
+#: True ranges beside the ledger, without clashing names.
+RANGES = ADX.replace(" t AS ", " rt AS ").replace("FROM t)", "FROM rt)").replace(" l AS ", " rl AS ").replace("FROM l)", "FROM rl)").replace(" a AS ", " ax AS ").replace("FROM a)", "FROM ax)")
+
+
+@query("excursions", ledger_sql() + TRADES + RANGES + EXCURSED + " SELECT symbol, entry::VARCHAR AS entry, direction::DOUBLE AS direction, bars, round(ret, 6) AS \"return\", round(mae, 6) AS mae, round(mfe, 6) AS mfe, round(mae / (rg / px), 6) AS mae_atr, round(mfe / (rg / px), 6) AS mfe_atr FROM ex")
 def excursions(spark, sf):
     return show(report.excursions(L.trades(book(spark, sf), RATE), B.event_bars(spark, sf)))
 
 
-@query("regimes", ledger_sql() + """, rk AS (SELECT *, (high - low) / close AS v FROM bars), ed AS (SELECT symbol, quantile_cont(v, 1 / 3.0) AS a, quantile_cont(v, 2 / 3.0) AS b FROM rk GROUP BY symbol),
- lb AS (SELECT rk.symbol, rk.ts, CASE WHEN v <= a THEN 'low' WHEN v <= b THEN 'mid' ELSE 'high' END AS regime FROM rk JOIN ed USING (symbol))
- SELECT regime, round(count(*)::DOUBLE / (SELECT count(*) FROM led), 8) AS share_of_time, round(avg(net), 8) AS mean_net FROM led JOIN lb USING (symbol, ts) GROUP BY regime""")
+@query("winners_and_losers", ledger_sql() + TRADES + RANGES + EXCURSED + """ SELECT CASE WHEN ret > 0 THEN 'winners' ELSE 'losers' END AS outcome, count(*)::BIGINT AS trades, quantile_cont(bars, 0.5)::DOUBLE AS p50, quantile_cont(bars, 0.75)::DOUBLE AS p75, quantile_cont(bars, 0.9)::DOUBLE AS p90, max(bars) AS longest, round(quantile_cont(mae, 0.5), 6) AS median_mae, round(quantile_cont(mae, 0.75), 6) AS p75_mae, round(quantile_cont(mfe, 0.5), 6) AS median_mfe, round(quantile_cont(mfe, 0.75), 6) AS p75_mfe,
+  round(quantile_cont(mae / (rg / px), 0.5), 6) AS median_mae_atr, round(quantile_cont(mfe / (rg / px), 0.5), 6) AS median_mfe_atr FROM ex GROUP BY 1""")
+def winners_and_losers(spark, sf):
+    return show(report.winners_and_losers(report.excursions(L.trades(book(spark, sf), RATE), B.event_bars(spark, sf))))
+
+
+@query("regimes", ledger_sql() + RANGES + """, wd AS (SELECT symbol, ts, adx, atr / close AS v FROM ad), rk AS (SELECT *, row_number() OVER (PARTITION BY symbol, v IS NULL ORDER BY v, ts) - 1 AS p, count(*) OVER (PARTITION BY symbol, v IS NULL) - 1 AS m FROM wd),
+ lb AS (SELECT symbol, ts, 'trend' AS kind, CASE WHEN adx IS NULL THEN 'warm-up' WHEN adx >= 25 THEN 'trending (ADX>=25)' WHEN adx <= 20 THEN 'ranging (ADX<=20)' ELSE 'neither' END AS regime FROM rk UNION ALL SELECT symbol, ts, 'volatility', CASE WHEN v IS NULL THEN 'warm-up' WHEN 3 * p <= m THEN 'low vol' WHEN 3 * p <= 2 * m THEN 'mid vol' ELSE 'high vol' END FROM rk),
+ es AS (SELECT symbol, kind, regime, count(*) AS n, avg(net) AS mean, coalesce(avg(net) / nullif(stddev_samp(net), 0), 0) * sqrt(365.25 * 6) AS sharpe FROM led JOIN lb USING (symbol, ts) GROUP BY ALL)
+ SELECT kind, regime, round(sum(n)::DOUBLE / (SELECT count(*) FROM led), 8) AS share_of_time, round(median(sharpe), 8) AS median_sharpe, round(avg(mean), 8) AS mean_net FROM es GROUP BY kind, regime""")
 def regimes(spark, sf):
-    return show(report.regime_returns(book(spark, sf), report.volatility_terciles(B.event_bars(spark, sf))), digits=8)
+    return show(report.regime_returns(book(spark, sf), report.regime_labels(B.event_bars(spark, sf))), digits=8)
 
 
 @query("equity_histogram", ledger_sql() + ", lim AS (SELECT min(net) AS a, max(net) AS b FROM led) SELECT least(39, floor((net - a) / (b - a) * 40))::BIGINT AS bin, count(*)::BIGINT AS n FROM led, lim GROUP BY 1")
@@ -163,10 +217,25 @@ def trade_money(spark, sf):
     return show(report.trade_money(L.trades(b, RATE), b).select("symbol", "entry", "money", "running"), digits=4)
 
 
-@query("account_summary", ledger_sql() + " SELECT symbol, min(ts)::VARCHAR AS first, max(ts)::VARCHAR AS last, round(last(equity ORDER BY ts) * 10000, 4) AS final, round(min(equity) * 10000, 4) AS least, round(max(net), 6) AS best, round(min(net), 6) AS worst, round(avg((net > 0)::INT), 6) AS winning FROM led GROUP BY symbol")
+@query("account_summary", ledger_sql() + TRADES + SUMMARY + DD + f""", mo AS (SELECT symbol, last(equity ORDER BY ts) * 10000 AS ending_equity, sum(trading_cost * b) * 10000 AS costs_paid, sum(funding_cost * b) * 10000 AS funding_paid FROM (SELECT *, coalesce(lag(equity) {W}, 1.0) AS b FROM led) GROUP BY symbol)
+ SELECT symbol, 10000.0::DOUBLE AS capital, peak::VARCHAR AS peak, trough::VARCHAR AS trough, recovery::VARCHAR AS recovery, NULL::VARCHAR AS stopped_at, """ + ", ".join(f"round({e}::DOUBLE, 4) AS {n}" for n, e in {"net_profit": "ending_equity - 10000", "max_drawdown": "depth", "max_drawdown_usd": "fall * 10000", "return_on_account": "(ending_equity - 10000) / (fall * 10000)", "calmar": "cagr / -depth"}.items()) + ", "
+       + ", ".join(f"round({c}::DOUBLE, 4) AS {c}" for c in ("ending_equity", "total_return", "cagr", "ann_vol", "sharpe", "sortino", "longest_days", "underwater", "exposure", "trades_per_year", "costs_paid", "funding_paid", "cost_drag_per_year", "funding_drag_per_year")) + " FROM su JOIN mo USING (symbol) JOIN dw USING (symbol)")
 def account_summary(spark, sf):
-    out = report.account_summary(book(spark, sf))
-    return show(out.withColumns({c: F.round(c, 4) for c in ("final", "least")}))
+    b = book(spark, sf)
+    return show(report.account_summary(b, L.trades(b, RATE)), digits=4)
+
+
+@query("report_notes", ledger_sql() + TRADES + MONEY + ", cl AS (SELECT symbol, count(*) FILTER (NOT open) AS n FROM tr GROUP BY symbol) SELECT symbol, format('Monte Carlo skipped: {} closed trades (need 20).', n) AS note FROM cl WHERE n < 20 UNION ALL SELECT symbol, format('Open trade at the end of the data: {:.2f}, not in the trade statistics.', money) FROM tm WHERE open")
+def report_notes(spark, sf):
+    b = book(spark, sf)
+    return report.build_report(b, L.trades(b, RATE))["notes"]
+
+
+@query("report_monte_carlo")
+def report_monte_carlo(spark, sf):
+    """A generator's draws, per symbol; a test holds them against a plain loop."""
+    b = book(spark, sf)
+    return show(X.monte_carlo_by_symbol(L.trades(b, RATE).filter("not open"), b, runs=300))
 
 
 # --- brackets -----------------------------------------------------------------------------------
