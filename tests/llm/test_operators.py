@@ -315,7 +315,7 @@ def test_token_counts(docs):
 def test_whole_tokens_are_proved():
     v = bpe.ByteVocabulary(BYTE)
     tk = Tokenizer.from_file(BYTE)
-    for s in list(token_counts.whole_tokens(v))[::997]:
+    for s in list(token_counts.whole_tokens(v, token_counts.proof(BYTE)))[::997]:
         try:
             text = s.decode()
         except UnicodeDecodeError:
@@ -332,6 +332,53 @@ def test_language(spark):
     assert all((zlib.crc32(str(d).encode()) % 4 == 2) == h for d, h in zip(got.doc_id, got.held_out))
 
 
+def test_language_of_every_row_by_the_fitted_machines(spark):
+    """Brute force: the machines applied one by one to the trigrams of each text; rare and repeated languages are learned too."""
+    df = common.table(spark, SF, "documents").select("doc_id", "text", "lang")
+    extra = [(10_000 + i, "zz yy xx ww " * 30 + str(i % 3), "qq") for i in range(400)] + [(20_000, "ооо ппп рррр " * 20, "uk")] * 5
+    df = df.unionByName(spark.createDataFrame(extra, "doc_id long, text string, lang string")).repartition(3)
+    held = lambda d: d is None or zlib.crc32(str(d).encode()) % 4 == 2
+    model = language.learn(df.filter("crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2"), 200)
+    assert {c for codes, *_ in model["inside"].values() for c in codes} >= {"en", "qq"}
+    rows = {r.doc_id: r for r in language.identify(df, 200).collect()}
+    for d, text, _ in {(r.doc_id, r.text, None) for r in df.collect()}:
+        x = np.append(language.features(text or ""), np.float32(1))
+        if not any(c.isalpha() for c in text or ""):
+            assert rows[d].lang_pred == "und"
+            continue
+        family = model["families"][int(np.argmax([w @ x for w in model["first"]]))]
+        codes, pairs, machines = model["inside"][family]
+        votes, soft = np.zeros(len(codes)), np.zeros(len(codes))
+        for (i, j), w in zip(pairs, machines):
+            p = float(language.sure(w @ x))
+            votes[i if p >= 0.5 else j] += 1
+            soft[i] += p
+            soft[j] += 1 - p
+        want = codes[int(np.argmax(votes + soft / (len(codes) + 1)))] if pairs else codes[0]
+        assert rows[d].lang_pred == want and rows[d].held_out == held(d)
+
+
+def test_quality_verdict_by_brute_force(spark):
+    """kept is false exactly if the base rules or the bands reject: ratios from the library, one text at a time."""
+    import zstandard
+
+    zip_ = zstandard.ZstdCompressor(level=3)
+
+    def inside(data):
+        ratio = len(data) / len(zip_.compress(data))
+        low, high = next((a, b) for n, a, b in quality.BANDS if len(data) < n)
+        return low <= ratio <= high
+
+    for r in quality.measures(common.table(spark, "/root/testdata/sf0.01", "documents")).join(common.table(spark, "/root/testdata/sf0.01", "documents"), "doc_id").select("doc_id", "text", "base_failed", "kept").collect():
+        data = (r.text or "").encode()
+        cuts = list(range(0, len(data), quality.CHUNK))
+        if len(cuts) > 1 and len(data) - cuts[-1] < quality.CHUNK // 2:
+            cuts.pop()
+        parts = [data[a:b] for a, b in zip(cuts, [*cuts[1:], len(data)])]
+        bad = sum(not inside(p) for p in parts) if len(parts) > 1 else 0
+        assert r.kept == (not r.base_failed and inside(data) and bad <= 0.25 * len(parts))
+
+
 def test_language_of_awkward_texts(docs):
     got = {r.doc_id: r for r in language.identify(docs).collect()}
     assert all(got[d].lang_pred == "und" and got[d].score == 0 for d, t in texts().items() if not any(c.isalpha() for c in t))

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import functools
+import gc
 import os
+import sys
 import tempfile
 import uuid
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,28 +43,46 @@ def shipped(application: str) -> None:
 def ship(target: str, **settings):
     """A function for mapInArrow that imports `module:function` on the executor.
 
-    It is pickled by value and carries only strings and small settings, so module-level
-    caches (vocabularies, word caches) live as long as the Python worker does. What a task has
-    freed goes back to the system when it ends, as idle workers share an executor's memory.
+    It is pickled by value and carries only strings and small settings. Module-level caches
+    (vocabularies, word caches) live in the Python worker until it turns to another operator.
     """
     module, name = target.split(":")
 
     def run(batches):
-        import ctypes
         import importlib
 
-        import pyarrow
-
+        plumbing = importlib.import_module("tidemill.llm.common")
+        plumbing.turn_to(module)
         yield from getattr(importlib.import_module(module), name)(batches, **settings)
-        pyarrow.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):
-            pass  # another C library keeps what it has
+        plumbing.give_back()
 
     return run
 
 
+_operator = None
+
+
+def turn_to(module: str) -> None:
+    """In a Python worker: drop what the operator before has kept."""
+    global _operator
+    if _operator not in (None, module):
+        for name, m in list(sys.modules.items()):
+            if name.startswith("tidemill.llm."):
+                getattr(m, "_held", {}).clear()
+        gc.collect()
+        give_back()
+    _operator = module
+
+
+def give_back() -> None:
+    """Return freed memory to the system: idle workers count against their executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library keeps what it has
+
+
 def arrow_map(df: DataFrame, target: str, schema: str, **settings) -> DataFrame:
     spark = df.sparkSession
     shipped(spark.sparkContext.applicationId)

@@ -12,13 +12,13 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import arrow_map, table
 
-#: Labelled rows used for fitting, in all, and the most languages learned (the most frequent).
-SAMPLE, LANGUAGES = 3000, 200
+#: Labelled rows used for fitting, in all, spread evenly over the languages; each has one at least.
+SAMPLE = 3000
 BUCKETS = 4096
 # fixed values: languages by family; any other language is a family of its own
 FAMILIES = {
@@ -48,16 +48,16 @@ def features(text: str) -> np.ndarray:
 
 def fit_machine(x: np.ndarray, y: np.ndarray, c: float = 20.0, steps: int = 120) -> np.ndarray:
     """Weights and bias (last) of a linear machine with squared hinge loss; y is -1 or 1."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
+    x, y = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float32), y.astype(np.float32)
     weight = np.where(y > 0, len(y) / max(1, 2 * (y > 0).sum()), len(y) / max(1, 2 * (y < 0).sum())) * c / len(y)
-    top = 1 + 2 * weight.sum() * 2  # bounds the curvature: rows have norm sqrt(2)
-    w = v = np.zeros(x.shape[1])
+    weight, top = weight.astype(np.float32), np.float32(1 + 2 * weight.sum() * 2)  # top bounds the curvature: rows have norm sqrt(2)
+    w = v = np.zeros(x.shape[1], np.float32)
     for k in range(steps):
         slack = np.maximum(0, 1 - y * (x @ v))
         new = v - (v - 2 * (weight * slack * y) @ x) / top
-        v = new + k / (k + 3) * (new - w)
+        v = new + np.float32(k / (k + 3)) * (new - w)
         w = new
-    return w.astype(np.float32)
+    return w
 
 
 def fit(x: np.ndarray, labels: list[str]) -> dict:
@@ -137,19 +137,20 @@ def predict_batches(batches, model: dict):
 
 
 def learn(documents: DataFrame, sample: int = SAMPLE) -> dict:
-    """Fit on at most about `sample` rows of (text, lang), spread evenly over the languages.
+    """Fit on at most `sample` rows of (text, lang), or one row of each language if there are more of them.
 
-    Rows are chosen by a hash of the text, so the choice doesn't depend on their order.
+    The rows of a language are those of its smallest text hashes, so the choice depends neither on their order nor
+    on how often a text is repeated, and every labelled language is learned.
     """
-    labelled = documents.filter("lang is not null and text is not null").select("text", "lang")
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
-    if not counts:
-        return {"families": [], "first": np.zeros((0, BUCKETS + 1), np.float32), "inside": {}}
-    per = max(1, sample // len(counts))
-    rows = documents.sparkSession.createDataFrame([(k, min(1.0, per / n) * 2.0**32) for k, n in sorted(counts.items())], "lang string, below double")
-    chosen = labelled.join(F.broadcast(rows), "lang").filter(F.pmod(F.xxhash64("text"), F.lit(2**32)) < F.col("below"))
-    # a text copied many times over is one row here, which keeps the bound on the sample
-    got = arrow_map(chosen.select("lang", "text").dropDuplicates(["lang", "text"]), "tidemill.llm.language:feature_batches", "lang string, x binary").collect()
+    labelled = documents.filter("lang is not null and text is not null").select("text", "lang").withColumn("hash", F.xxhash64("text"))
+    counts = labelled.groupBy("lang").agg(F.approx_count_distinct("hash").alias("n"))  # one row per language
+    per = max(1, sample // max(1, counts.count()))
+    # those below the limit are some times as many as are taken, or all of a language's: few enough to be ranked
+    limit = F.least(F.lit(1.0), 4 * F.lit(per + 10) / F.greatest("n", F.lit(1))) * 2.0**32
+    near = labelled.join(F.broadcast(counts), "lang").filter(F.pmod("hash", F.lit(2**32)) <= limit).dropDuplicates(["lang", "hash"])
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("hash", F.lit(2**32)), "hash"))
+    chosen = near.withColumn("rank", rank).filter(F.col("rank") <= per).select("lang", "text")
+    got = arrow_map(chosen, "tidemill.llm.language:feature_batches", "lang string, x binary").collect()
     got.sort(key=lambda r: (r["lang"], bytes(r["x"])))
     if not got:
         return {"families": [], "first": np.zeros((0, BUCKETS + 1), np.float32), "inside": {}}

@@ -1,11 +1,13 @@
 """Token counts by the whole-token shortcut (op7).
 
-Offline, `whole_tokens` proves which vocabulary strings encode alone as one token, by running
-the merges on each. A pre-token among them counts one, without merging; only the rest is merged.
+Before a job starts, `proof` runs the merges on every vocabulary string once and keeps a bit for
+each that ends as one token; tasks get the bits. A pre-token among those strings counts one, without
+merging; only the rest is merged.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 
 import numpy as np
@@ -23,21 +25,33 @@ UNSURE = re.compile(r"\s\s|^\s|\s$")
 _held: dict = {}
 
 
-def whole_tokens(vocabulary: ByteVocabulary) -> set[bytes]:
-    """Byte strings of the vocabulary whose merges end in one symbol."""
+def strings(vocabulary: ByteVocabulary) -> list[bytes]:
+    """The vocabulary's byte strings, in its order."""
     back = {c: b for b, c in vocabulary.chars.items()}
-    strings = [bytes(back[c] for c in s) for s in vocabulary.vocab if all(c in back for c in s)]
-    return {s for s, n in zip(strings, vocabulary.encode(strings)[1]) if n == 1}
+    return [bytes(back[c] for c in s) for s in vocabulary.vocab if all(c in back for c in s)]
+
+
+@functools.lru_cache(maxsize=4)
+def proof(path: str) -> bytes:
+    """A bit for each byte string of the vocabulary: do its merges end in one symbol?"""
+    vocabulary = ByteVocabulary(path)
+    return np.packbits(vocabulary.encode(strings(vocabulary))[1] == 1).tobytes()
+
+
+def whole_tokens(vocabulary: ByteVocabulary, bits: bytes) -> set[bytes]:
+    """The strings that are proved to encode alone as one token."""
+    every = strings(vocabulary)
+    return {s for s, ok in zip(every, np.unpackbits(np.frombuffer(bits, np.uint8), count=len(every)).tolist()) if ok}
 
 
 class Counter:
-    def __init__(self, path: str):
+    def __init__(self, path: str, bits: bytes | None = None):
         import regex
         from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
 
         self.vocabulary = ByteVocabulary(path)
-        self.whole = whole_tokens(self.vocabulary)
+        self.whole = whole_tokens(self.vocabulary, bits) if bits is not None else set()
         self.library = Tokenizer.from_file(path)
         self.special = re.compile("|".join(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()) or r"(?!)")
         self.pattern = regex.compile(PATTERN)
@@ -75,10 +89,10 @@ class Counter:
         return [self.first[p[0]] + sum(map(get, p[1:])) for p in cut]
 
 
-def counter(path: str) -> Counter:
-    if path not in _held:
-        _held[path] = Counter(path)
-    return _held[path]
+def counter(path: str, bits: bytes | None = None) -> Counter:
+    if (path, bits) not in _held:
+        _held[path, bits] = Counter(path, bits)
+    return _held[path, bits]
 
 
 def slices(texts: list[str], size: int = 4_000_000):
@@ -93,8 +107,8 @@ def slices(texts: list[str], size: int = 4_000_000):
         yield start, len(texts)
 
 
-def count_batches(batches, path: str, limit: int):
-    c = counter(path)
+def count_batches(batches, path: str, bits: bytes, limit: int):
+    c = counter(path, bits)
     for batch in batches:
         texts = [t or "" for t in batch.column("text").to_pylist()]
         n = np.fromiter((x for a, b in slices(texts) for x in c.texts(texts[a:b])), np.int64, len(texts))
@@ -109,7 +123,7 @@ def count_tokens(documents: DataFrame, vocabulary: str, limit: int = 1024) -> Da
     null doc_id stays null. Other columns are ignored. No shuffle; memory is bounded by a batch
     and the word cache.
     """
-    return arrow_map(documents.select("doc_id", "text"), "tidemill.llm.token_counts:count_batches", SCHEMA, path=vocabulary, limit=limit)
+    return arrow_map(documents.select("doc_id", "text"), "tidemill.llm.token_counts:count_batches", SCHEMA, path=vocabulary, bits=proof(vocabulary), limit=limit)
 
 
 def query(spark, sf_dir):
