@@ -7,6 +7,7 @@ hundred rows come to the driver, nothing else.
 
 from __future__ import annotations
 
+import dataclasses
 import hashlib
 import math
 from statistics import NormalDist
@@ -16,16 +17,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.functions import folds as K
 from tidemill.functions import rules as R
 from tidemill.operators import bracket, report
 from tidemill.operators import ledger as L
+from tidemill.plans import specs as S
 
 KEYS = ("config_id", "symbol")
 
 
-def with_targets(bars: DataFrame, specs: dict[int, dict]) -> DataFrame:
-    """One row per configuration and bar, from one pass over shared indicators."""
-    plan = R.Plan()
+def with_targets(bars: DataFrame, specs: dict[int, dict], keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """One row per configuration and bar, from one pass over shared indicators. keys: what a series of bars is."""
+    plan = R.Plan(keys)
     columns = {f"t{k}": R.compile_node(plan, R.from_spec(s)) for k, s in specs.items()}
     wide = plan.apply(bars, columns)
     stacked = F.explode(F.array(*(F.struct(F.lit(k).alias("config_id"), F.col(f"t{k}").cast("double").alias("target")) for k in specs)))
@@ -41,15 +44,16 @@ def board(book: DataFrame, rate: float = 0.0008) -> DataFrame:
     return report.aggregate(L.summarize(book, L.trades(book, rate, KEYS), KEYS), ("config_id",))
 
 
-def plateau(rows: DataFrame, params: list[str], metric: str = "median_sharpe") -> DataFrame:
-    """Mean metric of the cells within one grid step in every parameter, the cell itself included."""
+def plateau(rows: DataFrame, params: list[str], metric: str = "median_sharpe", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Mean metric of the cells within one grid step in every parameter, the cell itself included, and the order of
+    choice, for each board (keys). A board has as many rows as a grid has cells, which is what the join is bounded by."""
     cells = rows
     for p in params:
-        cells = cells.withColumn(f"_{p}", F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy(p)))
-    near = cells.select(F.col(metric).alias("_m"), *(F.col(f"_{p}").alias(f"_n{p}") for p in params))
-    close = [F.abs(F.col(f"_{p}") - F.col(f"_n{p}")) <= 1 for p in params]
-    out = cells.join(F.broadcast(near), _all(close)).groupBy(*rows.columns).agg(F.avg("_m").alias("plateau"))
-    return out.withColumn("choice", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("plateau"), F.desc(metric), "config_id")))
+        cells = cells.withColumn(f"_{p}", F.dense_rank().over(Window.partitionBy(*(keys or (F.lit(0),))).orderBy(p)))
+    near = cells.select(F.col(metric).alias("_m"), *(F.col(k).alias(f"_k{k}") for k in keys), *(F.col(f"_{p}").alias(f"_n{p}") for p in params))
+    close = [F.col(k) == F.col(f"_k{k}") for k in keys] + [F.abs(F.col(f"_{p}") - F.col(f"_n{p}")) <= 1 for p in params]
+    out = cells.join(near, _all(close)).groupBy(*rows.columns).agg(F.avg("_m").alias("plateau"))
+    return out.withColumn("choice", F.row_number().over(Window.partitionBy(*(keys or (F.lit(0),))).orderBy(F.desc("plateau"), F.desc(metric), "config_id")))
 
 
 def _all(conditions):
@@ -59,17 +63,48 @@ def _all(conditions):
     return out
 
 
-def entry_test(signals: DataFrame, exits: list[int], settings: bracket.Settings) -> DataFrame:
-    """Trades of every entry under each time exit and, as exit 0, the bracket itself: one row per (exit, symbol)."""
-    out = None
-    for n in [*exits, 0]:
-        rows = signals if n == 0 else signals.withColumns({"stop_dist": F.lit(1e12), "target_dist": F.lit(1e12)})
-        s = bracket.Settings(settings.fee, settings.slippage, settings.leverage, n or settings.max_bars, 0, 0, 1.0, settings.funding)
-        cell = bracket.bracket_trades(rows, s).filter("not open").groupBy("symbol").agg(
-            F.count("*").alias("trades"), F.avg((F.col("return") > 0).cast("double")).alias("win_rate"), F.avg("return").alias("avg_trade"), F.sum("return").alias("fixed_return"))
-        cell = cell.withColumn("exit_bars", F.lit(n)).withColumn("profitable", F.col("fixed_return") > 0)
-        out = cell if out is None else out.unionByName(cell)
-    return out
+#: Size of a position for scoring trades by themselves: too small to wipe out an account.
+SMALL_SIZE = 1e-3
+SCORINGS = {"fixed": "every trade of one size, returns summed", "compounded": "the whole equity in each trade"}
+
+
+def entry_signals(bars: DataFrame, spec: dict) -> DataFrame:
+    """bars with the long and short entries of any rule: a bracket's signals, or where a position turns from flat or
+    the other side into a direction."""
+    if R.RULES[R.from_spec(spec)["type"]].bracket:
+        return R.with_signals(bars, spec).select(*bars.columns, "long", "short")
+    rows = R.with_target(bars, spec)
+    side = F.signum(F.coalesce("target", F.lit(0.0)))
+    before = F.coalesce(F.lag(side).over(Window.partitionBy("symbol").orderBy("ts")), F.lit(0.0))
+    return rows.withColumn("before", before).select(*bars.columns, ((side > 0) & (F.col("before") <= 0)).alias("long"), ((side < 0) & (F.col("before") >= 0)).alias("short"))
+
+
+def entry_test(signals: DataFrame, exits: list[int], settings: bracket.Settings, stop_atr: float = 2.0, target_atr: float = 4.0, atr_length: int = 14, scoring: str = "compounded") -> DataFrame:
+    """Entries under exits that know nothing of the rule: so many bars, and, as exit 0, a bracket in true ranges. One row
+    per (exit, symbol), all in one job. net_return compounds the whole equity; fixed_return sums trades of one size."""
+    if scoring not in SCORINGS:
+        raise ValueError(f"scoring must be one of {sorted(SCORINGS)}, not {scoring!r}")
+    schema = "exit_bars long, symbol string, trades long, win_rate double, avg_trade double, net_return double, fixed_return double, profitable boolean"
+
+    def one(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("ts", kind="stable", ignore_index=True)
+        n, unit = int(b.exit_bars[0]), K.atr(b, atr_length)
+        b["stop_dist"], b["target_dist"] = (np.inf, np.inf) if n else (stop_atr * unit, target_atr * unit)
+        rules = {"max_bars": n, "cooldown_win": 0, "cooldown_loss": 0, "kill_drawdown": 1.0}
+        whole, _ = bracket.run(b, dataclasses.replace(settings, leverage=1.0, **rules))
+        _, small = bracket.run(b, dataclasses.replace(settings, leverage=SMALL_SIZE, **rules))
+        each = np.array([t["return"] for t in small.done]) / SMALL_SIZE
+        net, fixed = whole[-1, -1] - 1, each.sum()
+        row = (n, b.symbol[0], len(each), (each > 0).mean() if len(each) else 0.0, each.mean() if len(each) else 0.0, net, fixed, bool(len(each) and (fixed if scoring == "fixed" else net) > 0))
+        return pd.DataFrame([row], columns=[c.split()[0] for c in schema.split(", ")])
+
+    rows = signals.select("symbol", "ts", "open", "high", "low", "close", "funding_rate", "long", "short")
+    return rows.withColumn("exit_bars", F.explode(F.array(*map(F.lit, [*exits, 0])))).groupBy("symbol", "exit_bars").applyInPandas(one, schema)
+
+
+def by_exit(cells: DataFrame) -> DataFrame:
+    """Per exit: share of symbols that earn, trades, medians of the win rate and of the average trade."""
+    return cells.groupBy("exit_bars").agg(F.avg(F.col("profitable").cast("double")).alias("profitable"), F.sum("trades").alias("trades"), F.median("win_rate").alias("win_rate"), F.median("avg_trade").alias("avg_trade"))
 
 
 def hashed(*parts):
@@ -281,31 +316,61 @@ def in_windows(rows: DataFrame, windows: list[tuple], part: str) -> DataFrame:
     return rows.join(F.broadcast(table), (F.col("ts") >= F.col("a")) & (F.col("ts") < F.col("b"))).drop("a", "b")
 
 
-def walk_forward(bars: DataFrame, specs: dict[int, dict], windows: list[tuple], rate: float = 0.0008) -> DataFrame:
-    """Per window: the configuration of the best median in-sample Sharpe, and its out-of-sample result.
+def windows_table(spark, windows: list[tuple]) -> DataFrame:
+    return spark.createDataFrame([(k, *w) for k, w in enumerate(windows)], "window int, is_start timestamp_ntz, oos_start timestamp_ntz, oos_end timestamp_ntz")
+
+
+def walk_forward(bars: DataFrame, base: dict, grid: dict[str, list], windows: list[tuple], rate: float = 0.0008, least_share: float = 0.5) -> DataFrame:
+    """Per window: the cell that the plateau of in-sample Sharpe ratios chooses, and what it then earns out of sample.
 
-    Both phases are one job over (window, config_id, symbol).
+    In sample a symbol's rule sees the window's bars only, and one whose bars span less than least_share of the
+    window sits out; out of sample signals come from all history and accounts start flat. Both phases are one
+    job each over (window, config_id, symbol).
     """
+    spark, frame = bars.sparkSession, windows_table(bars.sparkSession, windows)
+    cells = dict(enumerate(S.grid_specs(base, grid)))
+    specs, names = {k: spec for k, (_, spec) in cells.items()}, {p: p.replace(".", "_") for p in grid}
+    params = spark.createDataFrame([(k, *(float(cell[p]) for p in grid)) for k, (cell, _) in cells.items()], ", ".join(["config_id int", *(f"`{n}` double" for n in names.values())]))
+    inside = in_windows(bars, windows, "in").join(F.broadcast(frame.select("window", (F.col("oos_start").cast("timestamp").cast("long") - F.col("is_start").cast("timestamp").cast("long")).alias("whole"))), "window")
+    seconds = F.col("ts").cast("timestamp").cast("long")
+    every = Window.partitionBy("window", "symbol")
+    inside = inside.withColumn("span", F.max(seconds).over(every) - F.min(seconds).over(every)).filter(F.col("span") >= least_share * F.col("whole")).select("window", *bars.columns)
     keys = ("window", "config_id", "symbol")
-    rows = with_targets(bars, specs)
+    book = L.ledger(with_targets(inside, specs, ("window", "symbol")), rate, keys=keys)
+    scored = report.aggregate(L.summarize(book, L.trades(book, rate, keys), keys), ("window", "config_id")).join(F.broadcast(params), "config_id")
+    best = plateau(scored, list(names.values()), keys=("window",)).filter("choice = 1").select("window", "config_id", *names.values(), F.col("symbols").alias("is_symbols"), F.col("median_sharpe").alias("is_median_sharpe"), F.col("median_cagr").alias("is_median_cagr"))
+    out = L.ledger(in_windows(with_targets(bars, specs), windows, "out").join(best.select("window", "config_id"), ["window", "config_id"]), rate, keys=keys)
+    measures = L.summarize(out, L.trades(out, rate, keys), keys).groupBy("window").agg(F.count("*").alias("oos_symbols"), F.median("sharpe").alias("oos_median_sharpe"), F.median("total_return").alias("oos_median_return"))
+    days = F.datediff("oos_end", "oos_start")
+    annual = F.when(F.col("oos_median_return") <= -1, -1.0).otherwise(F.pow(1 + F.col("oos_median_return"), 365.25 / days) - 1)
+    return best.join(measures, "window").join(F.broadcast(frame), "window").withColumn("oos_annualised", annual)
 
-    def scores(part):
-        book = L.ledger(in_windows(rows, windows, part), rate, keys=keys)
-        each = book.groupBy(*keys).agg(F.coalesce(F.try_divide(F.avg("net"), F.nullif(F.stddev_samp("net"), F.lit(0.0))), F.lit(0.0)).alias("sharpe"), (F.max_by("equity", "ts") - 1).alias("ret"))
-        return each.groupBy("window", "config_id").agg(F.median("sharpe").alias("sharpe"), F.median("ret").alias("ret"))
 
-    best = scores("in").withColumn("k", F.row_number().over(Window.partitionBy("window").orderBy(F.desc("sharpe"), "config_id"))).filter("k = 1").select("window", "config_id", F.col("sharpe").alias("is_sharpe"))
-    return best.join(scores("out"), ["window", "config_id"]).select("window", "config_id", "is_sharpe", F.col("sharpe").alias("oos_sharpe"), F.col("ret").alias("oos_return"))
+def efficiency(walked: DataFrame) -> DataFrame:
+    """Annualised return out of sample over that in sample (0 where that isn't positive), and the share of windows that earned."""
+    return walked.agg(F.when(F.avg("is_median_cagr") > 0, F.avg("oos_annualised") / F.avg("is_median_cagr")).otherwise(0.0).alias("efficiency"), F.avg((F.col("oos_median_return") > 0).cast("double")).alias("profitable_windows"), F.count("*").alias("windows"))
 
 
 def stitch(book: DataFrame, rate: float = 0.0008) -> DataFrame:
-    """Windows' ledgers joined into one: a position carried across a border costs its exit on the next
-    window's first bar, and equity is compounded anew."""
+    """Windows' ledgers joined into one: a position carried across a border is closed there, which costs its exit on the
+    next window's first bar, and equity is compounded anew."""
     w = Window.partitionBy("symbol").orderBy("ts")
-    rows = book.withColumn("first", F.col("window") != F.lag("window").over(w)).withColumn("held", F.lag("position").over(w))
-    cost = F.when(F.coalesce(F.col("first"), F.lit(False)), rate * F.abs("held")).otherwise(0.0)
-    rows = rows.withColumn("net", F.col("net") - cost).withColumn("trading_cost", F.col("trading_cost") + cost)
-    return rows.withColumn("equity", L.equity_curve("net", ("symbol",))).select("symbol", "window", "ts", "net", "equity")
+    rows = book.withColumn("first", F.col("window") != F.lag("window").over(w)).withColumn("held", F.abs(F.lag("position").over(w)))
+    carried = F.when(F.coalesce(F.col("first"), F.lit(False)), F.col("held")).otherwise(0.0)
+    rows = rows.withColumn("carried", carried).withColumns({"turnover": F.col("turnover") + F.col("carried"), "trading_cost": F.col("trading_cost") + rate * F.col("carried"), "net": F.col("net") - rate * F.col("carried")})
+    return rows.withColumn("equity", L.equity_curve("net", ("symbol",))).select("symbol", "window", "ts", *L.LEDGER)
+
+
+def stitched_bracket_trades(trades: DataFrame, rate: float = 0.0008, slippage: float = 0.0003) -> DataFrame:
+    """Brackets' trades by window: one still open when its window ends, unless that is the last, is closed there as
+    `window end` and pays its exit."""
+    last = F.max("window").over(Window.partitionBy("symbol"))
+    ends = F.col("open") & (F.col("window") < last)
+    cost = rate * F.col("qty") * F.col("exit_price")
+    equity = F.col("pnl") / F.col("return")
+    rows = trades.withColumn("ends", ends).withColumn("paid", F.when(F.col("ends"), F.col("pnl") - cost).otherwise(F.col("pnl"))).withColumn("stake", equity)
+    return rows.select("symbol", "window", "entry", "exit", "direction", "bars", F.coalesce(F.try_divide("paid", "stake"), F.col("return")).alias("return"), (F.col("open") & ~F.col("ends")).alias("open"), "qty", "entry_price",
+                       F.when(F.col("ends"), F.col("exit_price") * (1 - F.col("direction") * slippage)).otherwise(F.col("exit_price")).alias("exit_price"), F.when(F.col("ends"), "window end").otherwise(F.col("exit_reason")).alias("exit_reason"), F.col("paid").alias("pnl"))
 
 
 def fingerprint(book: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:

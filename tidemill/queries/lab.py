@@ -139,15 +139,39 @@ def day_windows():
     return [(start + dt.timedelta(5 * k), start + dt.timedelta(5 * k + 10), start + dt.timedelta(5 * k + 15)) for k in range(4)]
 
 
-@query("walk_forward")
+_HOURS = bars_sql("1 hour").replace("bars AS (SELECT f.symbol", "bars0 AS (SELECT f.symbol")
+_WIN = "win AS (SELECT k, TIMESTAMP '2024-01-01' + INTERVAL '5 days' * k AS a, TIMESTAMP '2024-01-11' + INTERVAL '5 days' * k AS b, TIMESTAMP '2024-01-16' + INTERVAL '5 days' * k AS c FROM (SELECT unnest(range(0, 4)) AS k))"
+#: Symbols become config|window~symbol. In sample the averages are the window's own, out of sample those of all history.
+IN_SAMPLE = GRID_LEDGER.replace(bars_sql(), _HOURS + f", {_WIN}, bars AS (SELECT b.* REPLACE (w.k || '~' || b.symbol AS symbol) FROM bars0 b JOIN win w ON b.ts >= w.a AND b.ts < w.b QUALIFY epoch(max(b.ts) OVER (PARTITION BY w.k, b.symbol)) - epoch(min(b.ts) OVER (PARTITION BY w.k, b.symbol)) >= 5 * 86400)")
+OUT_SAMPLE = GRID_LEDGER.replace(bars_sql(), _HOURS + f", {_WIN}, bars AS (SELECT * FROM bars0)").replace("), tg AS (", "), sigw AS (SELECT s.* REPLACE (split_part(s.symbol, '|', 1) || '|' || w.k || '~' || split_part(s.symbol, '|', 2) AS symbol) FROM sig s JOIN win w ON s.ts >= w.b AND s.ts < w.c), tg AS (").replace(" AS want FROM sig)", " AS want FROM sigw)")
+_EACH = " SELECT split_part(symbol, '|', 1)::INT AS config_id, split_part(split_part(symbol, '|', 2), '~', 1)::INT AS k, coalesce(avg(net) / nullif(stddev_samp(net), 0) * sqrt(365.25 * 24), 0) AS sharpe, last(equity ORDER BY ts) - 1 AS total, CASE WHEN last(equity ORDER BY ts) > 0 THEN last(equity ORDER BY ts) ^ (365.25 * 24.0 / count(*)) - 1 ELSE -1 END AS cagr FROM led GROUP BY symbol"
+WALKED = f"""WITH {PARAMS}, ins AS ({IN_SAMPLE}{_EACH}), outs AS ({OUT_SAMPLE}{_EACH}), bo AS (SELECT k, config_id, count(*) AS n, median(sharpe) AS sharpe, median(cagr) AS cagr FROM ins GROUP BY ALL),
+ ce AS (SELECT bo.*, fast, slow, dense_rank() OVER (PARTITION BY k ORDER BY fast) AS x, dense_rank() OVER (PARTITION BY k ORDER BY slow) AS y FROM bo JOIN par USING (config_id)),
+ pl AS (SELECT a.k, a.config_id, a.fast, a.slow, a.n, a.sharpe, a.cagr, avg(b.sharpe) AS plateau FROM ce a JOIN ce b ON a.k = b.k AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 GROUP BY ALL),
+ be AS (SELECT * FROM pl QUALIFY row_number() OVER (PARTITION BY k ORDER BY plateau DESC, sharpe DESC, config_id) = 1), ou AS (SELECT k, config_id, count(*) AS n, median(sharpe) AS sharpe, median(total) AS total FROM outs GROUP BY ALL),
+ wf AS (SELECT be.k AS "window", be.fast, be.slow, be.n AS is_symbols, be.sharpe AS is_median_sharpe, be.cagr AS is_median_cagr, ou.n AS oos_symbols, ou.sharpe AS oos_median_sharpe, ou.total AS oos_median_return, CASE WHEN ou.total <= -1 THEN -1 ELSE (1 + ou.total) ^ (365.25 / 5) - 1 END AS oos_annualised FROM be JOIN ou USING (k, config_id))"""
+
+
+def walked(spark, sf):
+    return X.walk_forward(B.event_bars(spark, sf, "1 hour"), {"type": "ma_crossover"}, GRID, day_windows(), RATE)
+
+
+@query("walk_forward", WALKED + ' SELECT "window", fast::DOUBLE AS fast, slow::DOUBLE AS slow, is_symbols::BIGINT AS is_symbols, oos_symbols::BIGINT AS oos_symbols, ' + ", ".join(f"round({c}, 6) AS {c}" for c in ("is_median_sharpe", "oos_median_sharpe", "oos_median_return")) + " FROM wf")
 def walk_forward(spark, sf):
-    return show(X.walk_forward(B.event_bars(spark, sf, "1 hour"), grid_specs(), day_windows(), RATE))
+    return show(walked(spark, sf), "window", "fast", "slow", "is_symbols", "oos_symbols", "is_median_sharpe", "oos_median_sharpe", "oos_median_return")
 
 
-@query("stitch")
+@query("walk_forward_efficiency", WALKED + " SELECT round(CASE WHEN avg(is_median_cagr) > 0 THEN avg(oos_annualised) / avg(is_median_cagr) ELSE 0 END, 4) AS efficiency, round(avg((oos_median_return > 0)::INT), 4) AS profitable_windows, count(*)::BIGINT AS windows FROM wf")
+def walk_forward_efficiency(spark, sf):
+    return show(X.efficiency(walked(spark, sf)), digits=4)
+
+
+@query("stitch", ledger_sql().replace("tg AS (SELECT *,", "sigw AS (SELECT s.* REPLACE (w.k || '~' || s.symbol AS symbol) FROM sig s JOIN win w ON s.ts >= w.b AND s.ts < w.c), tg AS (SELECT *,").replace("FROM sig)", "FROM sigw)").replace(", sig AS", f", {_WIN}, sig AS")
+       + f""", un AS (SELECT split_part(symbol, '~', 2) AS symbol, split_part(symbol, '~', 1)::INT AS k, ts, position, turnover, trading_cost, net FROM led), ca AS (SELECT *, CASE WHEN k <> lag(k) {W} THEN abs(lag(position) {W}) ELSE 0 END AS c FROM un), st AS (SELECT symbol, k, ts, turnover + coalesce(c, 0) AS turnover, trading_cost + coalesce(c, 0) * {RATE} AS trading_cost, net - coalesce(c, 0) * {RATE} AS net FROM ca)
+ SELECT symbol, k AS "window", ts::VARCHAR AS ts, round(turnover, 6) AS turnover, round(trading_cost, 6) AS trading_cost, round(net, 6) AS net, round(product(1 + net) {W}, 6) AS equity FROM st""")
 def stitch(spark, sf):
     rows = X.in_windows(X.with_targets(B.event_bars(spark, sf), {1: SPEC}), day_windows(), "out")
-    return show(X.stitch(L.ledger(rows, RATE, keys=("window", "symbol")), RATE))
+    return show(X.stitch(L.ledger(rows, RATE, keys=("window", "symbol")), RATE), "symbol", "window", "ts", "turnover", "trading_cost", "net", "equity")
 
 
 def fingerprints(spark, sf, n):
@@ -209,7 +233,12 @@ def gates(spark, sf):
 
 @query("entry_test")
 def entry_test(spark, sf):
-    return show(X.entry_test(bracket_bars(spark, sf), [5, 10, 20], bracket.Settings()))
+    return show(X.entry_test(X.entry_signals(B.event_bars(spark, sf), SPEC), [5, 10, 20], bracket.Settings()))
+
+
+@query("entry_by_exit")
+def entry_by_exit(spark, sf):
+    return show(X.by_exit(X.entry_test(bracket_bars(spark, sf), [5, 10], bracket.Settings(), scoring="fixed")))
 
 
 @query("choose_stake")
