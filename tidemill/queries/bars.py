@@ -99,10 +99,19 @@ def calendar_stats(spark, sf):
     return show(calendars.describe(B.event_bars(spark, sf)).select("symbol", "calendar", "periods_per_year", "bars_per_day"))
 
 
-@query("quality_checks", DAILY + """, w AS (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY ts) AS before, count(*) OVER (PARTITION BY symbol, ts) AS same FROM bars)
-SELECT symbol, count(*)::BIGINT AS bars, sum((same > 1)::INT)::BIGINT AS duplicates, sum((high < greatest(open, close) OR low > least(open, close))::INT)::BIGINT AS inconsistent, sum((abs(close / before - 1) > 0.25)::INT)::BIGINT AS jumps, round(avg((high = low)::INT), 6) AS flat_share FROM w GROUP BY symbol""")
+CHECKED = DAILY + """, w AS (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY ts) AS before, count(*) OVER (PARTITION BY symbol, ts) AS same FROM bars),
+ cal AS (SELECT symbol, CASE WHEN bool_or(isodow(ts) = 6) THEN '24/7' WHEN bool_or(isodow(ts) = 7) THEN 'fx' ELSE 'us_equity' END AS calendar FROM bars GROUP BY symbol),
+ ck AS (SELECT symbol, calendar, count(*)::BIGINT AS bars, sum((same > 1)::INT)::BIGINT AS duplicates, 0::BIGINT AS unordered, sum((high < greatest(open, close) OR low > least(open, close) OR low <= 0)::INT)::BIGINT AS inconsistent, coalesce(sum((abs(close / before - 1) > CASE calendar WHEN '24/7' THEN 0.25 WHEN 'fx' THEN 0.05 ELSE 0.15 END)::INT), 0)::BIGINT AS jumps, avg((volume <= 0 AND open = high AND high = low AND low = close)::INT) AS flat_share FROM w JOIN cal USING (symbol) GROUP BY symbol, calendar)"""
+
+
+@query("quality_checks", CHECKED + " SELECT symbol, calendar, bars, duplicates, unordered, inconsistent, jumps, round(flat_share, 6) AS flat_share FROM ck")
 def quality_checks(spark, sf):
-    return show(quality.check_bars(B.order_bars(spark, sf), jump=0.25))
+    return show(quality.check_bars(B.order_bars(spark, sf)))
+
+
+@query("quality_issues", CHECKED + " SELECT symbol, 'jump' AS issue, jumps::DOUBLE AS amount FROM ck WHERE jumps > 0 UNION ALL SELECT symbol, 'duplicates', duplicates FROM ck WHERE duplicates > 0 UNION ALL SELECT symbol, 'ohlc', inconsistent FROM ck WHERE inconsistent > 0 UNION ALL SELECT symbol, 'filled', round(flat_share, 6) FROM ck WHERE flat_share > 0.02 AND calendar <> '24/7' UNION ALL SELECT 'none', 'empty', 0.0")
+def quality_issues(spark, sf):
+    return show(quality.issues(B.order_bars(spark, sf), ["1-URGENT", "none"]))
 
 
 @query("quality_missing", DAILY + """, g AS (SELECT symbol, unnest(generate_series(min(ts), max(ts), INTERVAL '1 day')) AS ts FROM bars GROUP BY symbol)

@@ -8,12 +8,17 @@ by one step per bar instead of being recomputed from history, and give the batch
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tidemill.functions import rules as R
+from tidemill.operators import bracket
+from tidemill.sources import store
+
 STATE = "n long, fast double, slow double, last timestamp_ntz"
 OUT = "symbol string, ts timestamp_ntz, target double, late boolean"
 
@@ -60,4 +65,69 @@ def decide(bars: DataFrame, fast: int = 5, slow: int = 20, stake: float = 1.0) -
     return bars.select("symbol", "ts", "close").groupBy("symbol").transformWithStateInPandas(CrossoverDecider(fast, slow, stake), OUT, "append", "none")
 
 
+@dataclass
+class Bracket:
+    """What a bracket rule wants after each closed bar of one symbol. Signals and equity come in, fills are reported back."""
+
+    settings: bracket.Settings
+    bar: int = -1
+    entered_at: int | None = None
+    last_exit: int | None = None
+    wait: int = 0
+    peak: float = 0.0
+    killed: bool = False
+
+    def decide(self, long: bool, short: bool, stop: float, target: float, equity: float | None = None) -> tuple | None:
+        """After one more bar: ("enter", side, stop, target), ("close", "time" or "kill") or nothing."""
+        self.bar += 1
+        s, held = self.settings, self.entered_at is not None
+        if equity is not None:
+            self.peak = max(self.peak, equity)
+            if not self.killed and equity <= (1 - s.kill_drawdown) * self.peak:
+                self.killed = True
+                return ("close", "kill") if held else None
+        if self.killed:
+            return None
+        if held:
+            return ("close", "time") if s.max_bars and self.bar - self.entered_at + 1 >= s.max_bars else None
+        cooling = self.last_exit is not None and self.bar - self.last_exit < self.wait
+        if cooling or not (stop > 0 and target > 0) or not (long or short):
+            return None
+        return "enter", 1 if long else -1, stop, target
+
+    def entered(self) -> None:
+        """The entry has filled at the open of the bar after the signal."""
+        self.entered_at = self.bar + 1
+
+    def exited(self, profit: float, at_close: bool = False) -> None:
+        """The trade has ended: within the bar that is forming, or at the last close."""
+        self.entered_at, self.last_exit = None, self.bar if at_close else self.bar + 1
+        self.wait = self.settings.cooldown_win if profit > 0 else self.settings.cooldown_loss
+
+
+def decide_rule(bars: DataFrame, spec: dict, root: str, stake: float = 1.0, history: int = 5000):
+    """Decisions of any rule over a stream of closed bars: each micro-batch is added to the bars stored under root, and
+    the rule's plan runs over the last `history` bars of its symbols. Returns the stream's writer; decisions lie under
+    root/decisions: a target, or a bracket's signals, of every new bar. A bar at or before a stored one is left out, so a
+    batch that is run again changes nothing."""
+    is_bracket = R.RULES[R.from_spec(spec)["type"]].bracket
+
+    def one(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        columns = [c for c in batch.columns]
+        path = f"{root}/bars"
+        old = [f"{path}/batch={k}" for k in range(number) if store.exists(spark, f"{path}/batch={k}")]
+        stored = spark.read.parquet(*old).select(*columns) if old else None
+        new = batch.dropDuplicates(["symbol", "ts"]) if stored is None else store.append_after(stored, batch.dropDuplicates(["symbol", "ts"]))
+        new.select(*columns).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        new = spark.read.parquet(f"{path}/batch={number}")
+        rows = new.select(*columns) if stored is None else stored.join(F.broadcast(new.select("symbol").distinct()), "symbol", "left_semi").select(*columns).unionByName(new.select(*columns))
+        last = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("ts")))
+        rows = rows.withColumn("_k", last).filter(F.col("_k") <= history).drop("_k")
+        said = R.with_signals(rows, spec).select("symbol", "ts", "long", "short", "stop_dist", "target_dist") if is_bracket else R.with_target(rows, spec).select("symbol", "ts", (F.coalesce("target", F.lit(0.0)) * stake).alias("target"))
+        said.join(new.select("symbol", "ts"), ["symbol", "ts"], "left_semi").write.mode("overwrite").parquet(f"{root}/decisions/batch={number}")
+
+    return bars.writeStream.foreachBatch(one).option("checkpointLocation", f"{root}/state").outputMode("append")
+
+
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
