@@ -126,6 +126,86 @@ def run(b: pd.DataFrame, settings: Settings) -> tuple[np.ndarray, Account]:
     return np.array(book, float).reshape(len(b), len(LEDGER)), a
 
 
+def run_lanes(b: pd.DataFrame, long: np.ndarray, short: np.ndarray, stop: np.ndarray, target: np.ndarray, settings: Settings | list[Settings]) -> tuple[np.ndarray, np.ndarray]:
+    """Net returns (bars x lanes) and closed trades of many accounts over the same bars, all stepped at once.
+
+    The same rules as Account.step; a lane has its own signals (bars x lanes) and, if settings is a list, its own settings.
+    """
+    n, lanes = long.shape
+    each = settings if isinstance(settings, list) else [settings] * lanes
+    fee, slip, lever, most, win, loss, kill, pays = (np.array([getattr(s, f) for s in each]) for f in ("fee", "slippage", "leverage", "max_bars", "cooldown_win", "cooldown_loss", "kill_drawdown", "funding"))
+    rate = (b.funding_rate.fillna(0.0) if "funding_rate" in b else pd.Series(0.0, index=b.index)).to_numpy()
+    prices = [b[c].to_numpy(float) for c in ("open", "high", "low", "close")]
+    zero = np.zeros(lanes)
+    equity, peak, side, qty, mark, pending = np.ones(lanes), np.ones(lanes), zero.copy(), zero.copy(), zero.copy(), zero.copy()
+    far, near, entry, fees, funding, lower, upper = (zero.copy() for _ in range(7))
+    killed, kill_next, last, wait, done = np.zeros(lanes, bool), np.zeros(lanes, bool), np.full(lanes, -10**9), np.zeros(lanes, int), np.zeros(lanes, int)
+    begun, net, limited, charged = np.zeros(lanes, int), np.zeros((n, lanes)), bool((most > 0).any()), bool(rate.any())
+
+    def leave(at: np.ndarray, price: np.ndarray, slips: np.ndarray) -> None:
+        price = price * (1 - side[at] * slip[at] * slips)
+        cost = qty[at] * price * fee[at]
+        change[at] += side[at] * qty[at] * (price - mark[at]) - cost
+        profit = side[at] * qty[at] * (price - entry[at]) - fees[at] - cost - funding[at]
+        side[at], qty[at], last[at], wait[at] = 0.0, 0.0, i, np.where(profit > 0, win[at], loss[at])
+        done[at] += 1
+
+    for i, (o, h, low, c) in enumerate(zip(*prices)):
+        change, before = np.zeros(lanes), equity.copy()
+        at = np.flatnonzero(kill_next & (side != 0))
+        enters = (pending != 0) & ~killed
+        if len(at):
+            leave(at, np.full(len(at), o), np.ones(len(at)))
+            enters[at] = False
+        kill_next[:] = False
+        at = np.flatnonzero(enters)
+        if len(at):
+            d = pending[at]
+            price = o * (1 + d * slip[at])
+            side[at], qty[at], mark[at], entry[at], begun[at] = d, lever[at] * equity[at] / price, price, price, i
+            fees[at], funding[at], lower[at], upper[at] = lever[at] * equity[at] * fee[at], 0.0, price - d * far[at], price + d * near[at]
+            change[at] -= fees[at]
+        pending[:] = 0
+        at = np.flatnonzero(side)
+        if len(at):
+            d, x, y = side[at], lower[at], upper[at]
+            worst, best = np.where(d > 0, low, h), np.where(d > 0, h, low)
+            case = np.select([d * (o - x) <= 0, d * (o - y) >= 0, d * (worst - x) <= 0, d * (best - y) >= 0], [1, 2, 3, 4], 0)
+            out = np.flatnonzero(case)
+            if len(out):
+                k = case[out]
+                leave(at[out], np.where(k <= 2, o, np.where(k == 3, x[out], y[out])), k % 2)
+                at = at[case == 0]
+        if len(at):
+            change[at] += side[at] * qty[at] * (c - mark[at])
+            mark[at] = c
+            if charged:
+                owed = side[at] * qty[at] * c * rate[i] * pays[at]
+                funding[at] += owed
+                change[at] -= owed
+            if limited:
+                over = at[(most[at] > 0) & (i - begun[at] + 1 >= most[at])]
+                if len(over):
+                    leave(over, np.full(len(over), c), np.ones(len(over)))
+        equity = equity + change
+        lost = equity <= 0
+        if lost.any():
+            equity[lost], killed[lost] = 0.0, True
+            done[lost & (side != 0)] += 1
+            side[lost], qty[lost] = 0.0, 0.0
+        peak = np.maximum(peak, equity)
+        stops = ~killed & (equity <= (1 - kill) * peak)
+        if stops.any():
+            killed |= stops
+            kill_next = stops & (side != 0)
+        free = (side == 0) & ~killed & (i - last >= wait) & (stop[i] > 0) & (target[i] > 0)
+        if free.any():
+            pending = np.where(free, np.where(long[i], 1.0, np.where(short[i], -1.0, 0.0)), 0.0)
+            far, near = np.where(pending != 0, stop[i], far), np.where(pending != 0, target[i], near)
+        net[i] = np.where(before > 0, equity / np.where(before > 0, before, 1.0) - 1, 0.0)
+    return net, done
+
+
 def trade_rows(b: pd.DataFrame, a: Account) -> pd.DataFrame:
     done = list(a.done)
     if a.side:

@@ -171,24 +171,54 @@ def monkeys(rows: DataFrame, runs: int, rate: float = 0.0008, leverage: float =
     return in_batches(rows.select("symbol", "ts", "close", "target", "funding_rate"), runs, size).groupBy("symbol", "batch").applyInPandas(one, RUNS)
 
 
-def bracket_monkeys(signals: DataFrame, settings: bracket.Settings, runs: int, seed: int = 0, size: int = 20) -> DataFrame:
+def bracket_monkeys(signals: DataFrame, settings: bracket.Settings, runs: int, seed: int = 0, size: int = 100) -> DataFrame:
     """The same of a bracket: entries at random bars, as often and as often on each side as its own, with its own
-    stops, targets, cooldowns, time exit and kill switch; run 0 has its own entries."""
+    stops, targets, cooldowns, time exit and kill switch; run 0 has its own entries. A batch's runs are stepped at once."""
     def one(b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("ts", kind="stable", ignore_index=True)
-        symbol, batch, per_year, out = b.symbol[0], int(b.batch[0]), bars_per_year(b.ts), []
-        p_long, p_short = b.long.fillna(False).mean(), b.short.fillna(False).mean()
-        for k in range(size * (batch - 1) + 1, min(size * batch, runs) + 1) if batch else [0]:
-            if k:
-                u = np.random.Generator(np.random.Philox(key=hashed_number(seed, symbol, k))).random(len(b))
-                b["long"], b["short"] = u < p_long, (u >= p_long) & (u < p_long + p_short)
-            book, _ = bracket.run(b, settings)
-            out.append((k, symbol, sharpes(book[None, :, bracket.LEDGER.index("net")], per_year)[0]))
-        return pd.DataFrame(out, columns=["run", "symbol", "sharpe"])
+        symbol, batch = b.symbol[0], int(b.batch[0])
+        own = [b[c].fillna(False).to_numpy(bool) for c in ("long", "short")]
+        p_long, p_short = (x.mean() for x in own)
+        numbers = np.arange(size * (batch - 1) + 1, min(size * batch, runs) + 1) if batch else np.zeros(1, int)
+        long, short = (np.repeat(x[:, None], len(numbers), axis=1) for x in own)
+        for k, number in enumerate(numbers.tolist()):
+            if number:
+                u = np.random.Generator(np.random.Philox(key=hashed_number(seed, symbol, number))).random(len(b))
+                long[:, k], short[:, k] = u < p_long, (u >= p_long) & (u < p_long + p_short)
+        stop, target = (np.repeat(b[c].fillna(0.0).to_numpy()[:, None], len(numbers), axis=1) for c in ("stop_dist", "target_dist"))
+        net, _ = bracket.run_lanes(b, long, short, stop, target, settings)
+        return pd.DataFrame({"run": numbers, "symbol": symbol, "sharpe": sharpes(net.T, bars_per_year(b.ts))})
 
     return in_batches(signals, runs, size).groupBy("symbol", "batch").applyInPandas(one, RUNS)
 
 
+def settings_of(spec: dict, base: bracket.Settings = bracket.Settings()) -> bracket.Settings:
+    """The exits of a bracket's spec."""
+    p = R.from_spec(spec)
+    return dataclasses.replace(base, max_bars=p.get("max_bars", 0), **{k: p[k] for k in ("cooldown_win", "cooldown_loss", "kill_drawdown")})
+
+
+def bracket_cells(bars: DataFrame, specs: dict[int, dict], base: bracket.Settings = bracket.Settings()) -> DataFrame:
+    """config_id, symbol, sharpe, total_return, max_drawdown, trades of every cell of a bracket's grid: one plan for all
+    signals, and one grouped map in which a symbol's cells are stepped at once."""
+    plan, columns = R.Plan(), {}
+    for k, spec in specs.items():
+        columns |= {f"{n}_{k}": c for n, c in R.compile_node(plan, R.from_spec(spec)).items()}
+    each, order = [settings_of(spec, base) for spec in specs.values()], list(specs)
+    schema = "config_id int, symbol string, sharpe double, total_return double, max_drawdown double, trades long"
+
+    def one(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("ts", kind="stable", ignore_index=True)
+        long, short = (np.stack([b[f"{n}_{k}"].fillna(False).to_numpy(bool) for k in order], axis=1) for n in ("long", "short"))
+        stop, target = (np.stack([b[f"{n}_{k}"].fillna(0.0).to_numpy(float) for k in order], axis=1) for n in ("stop_dist", "target_dist"))
+        net, done = bracket.run_lanes(b, long, short, stop, target, each)
+        curve = np.cumprod(1 + net, axis=0)
+        fall = (curve / np.maximum.accumulate(curve, axis=0).clip(min=1e-300) - 1).min(axis=0)
+        return pd.DataFrame({"config_id": order, "symbol": b.symbol[0], "sharpe": sharpes(net.T, bars_per_year(b.ts)), "total_return": curve[-1] - 1, "max_drawdown": fall, "trades": done})
+
+    return plan.apply(bars, columns).groupBy("symbol").applyInPandas(one, schema)
+
+
 def monkey_percentile(shifted: DataFrame) -> DataFrame:
     """Median Sharpe of the rule across symbols (run 0), and the share of runs whose median lies below."""
     medians = shifted.groupBy("run").agg(F.median("sharpe").alias("m"))

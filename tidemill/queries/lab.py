@@ -75,6 +75,13 @@ def monkey_bracket(spark, sf):
     return show(X.monkey_percentile(X.bracket_monkeys(bracket_bars(spark, sf), bracket.Settings(max_bars=12), 10, size=5)))
 
 
+@query("bracket_grid")
+def bracket_grid(spark, sf):
+    """A bracket's grid, each cell with exits of its own; a test holds the cells against single accounts."""
+    specs = {k: s for k, (_, s) in enumerate(S.grid_specs({"type": "i006_squeeze_breakout", "squeeze_bars": 30}, {"stop_atr": [1, 2, 3], "target_atr": [2, 4, 6], "max_bars": [12, 24, 48]}))}
+    return show(X.bracket_cells(B.event_bars(spark, sf), specs))
+
+
 def pool(spark, sf):
     """Closed trades of all symbols, numbered from 0."""
     t = L.trades(book(spark, sf), RATE).filter("not open")
