@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import arrow_map, connected_components, table, written
+from tidemill.llm.common import arrow_map, connected_components, maybe_small, table, written
 from tidemill.llm.simhash import groups, merge_labels
 
 COSINE = 0.93
@@ -33,8 +33,6 @@ TRIALS, RECALL = 600, 0.997
 BLOCK, TILE = 4096, 512
 #: Names of filters; beyond so many, filters share names, which only adds candidates.
 NAMES = 2**31 - 1
-#: Rows of a table up to which it may be broadcast.
-SMALL = 100_000
 
 
 def plan(rows: int) -> tuple[int, int]:
@@ -137,20 +135,22 @@ def filter_batches(batches, blocks: int, words: int, levels: dict, whole: bool):
                 yield pa.RecordBatch.from_arrays([part, pa.array(np.full(len(rows), dim), pa.int64()), pa.array(every)], ["label", "dim", "filter"])
                 continue
             owner = np.repeat(np.arange(len(at)), n)
+            place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
             for a in range(0, len(rows), 4096):
                 part = batch.take(pa.array(rows[a:a + 4096]))
-                lists = pa.array([names[i] for i in owner[a:a + 4096]], pa.list_(pa.int32()))
+                # the filters below this one tell whether a pair has met before
+                lists = pa.array([names[i][:k] for i, k in zip(owner[a:a + 4096], place[a:a + 4096])], pa.list_(pa.int32()))
                 ids = every[a:a + 4096]
                 yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(np.full(len(part), dim), pa.int64()), pa.array(ids), part.column("first"), part.column("copies"), part.column("embedding"), lists], ["label", "dim", "filter", "first", "copies", "embedding", "filters"])
 
 
-def new_pairs(hit: np.ndarray, here: int, left: list, right: list) -> np.ndarray:
-    """Of the hits (i, j) of a tile, those that share no filter below this one."""
+def new_pairs(hit: np.ndarray, left: list, right: list) -> np.ndarray:
+    """Of the hits (i, j) of a tile, those that share no filter below this one; left and right have those filters."""
     i, j = np.nonzero(hit)
     if not len(i):
         return hit
     rows, cols = np.unique(i), np.unique(j)
-    sets = [np.asarray(f)[np.asarray(f) < here] for f in [*(left[k] for k in rows), *(right[k] for k in cols)]]
+    sets = [*(left[k] for k in rows), *(right[k] for k in cols)]
     every, place = np.unique(np.concatenate(sets), return_inverse=True)
     if not len(every):
         return hit
@@ -166,7 +166,7 @@ def new_pairs(hit: np.ndarray, here: int, left: list, right: list) -> np.ndarray
 def verify_batches(batches, cosine: float):
     for g in groups(batches, ["label", "dim", "filter", "part"]):
         own = np.asarray(g.column("own").to_numpy(zero_copy_only=False))
-        dim, here = g.column("dim")[0].as_py(), g.column("filter")[0].as_py()
+        dim = g.column("dim")[0].as_py()
         x = g.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
         x = x / np.linalg.norm(x, axis=1, keepdims=True)
         order = np.argsort(~own, kind="stable")  # own members first, then visitors
@@ -185,7 +185,7 @@ def verify_batches(batches, cosine: float):
                     continue
                 i, j = np.nonzero(hit)
                 label = merge_labels(label, a + i, c + j)
-                hit = new_pairs(hit, here, filters[a:b], filters[c:d])
+                hit = new_pairs(hit, filters[a:b], filters[c:d])
                 add[a:b] += hit @ copies[c:d]
                 add[c:d] += hit.T @ copies[a:b]
         out = np.flatnonzero((add > 0) | (label != np.arange(len(x))))
@@ -220,7 +220,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     passed = arrow_map(classes.select("label", "first", "copies", "embedding"), "tidemill.llm.embedding_links:filter_batches",
                        f"label {kind['label']}, dim long, filter int, first long, copies long, embedding {kind['embedding']}, filters array<int>", blocks=blocks, words=words, levels=levels, whole=True)
     if n_crowded:
-        passed = passed.join(F.broadcast(crowded) if n_crowded <= SMALL else crowded, shard, "left")
+        passed = passed.join(maybe_small(crowded, 100_000), shard, "left")
     else:
         passed = passed.withColumn("parts", F.lit(1))
     met = passed.withColumn("home", F.pmod(F.xxhash64("first"), F.coalesce("parts", F.lit(1))).cast("int"))

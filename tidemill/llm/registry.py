@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from tidemill.llm import embedding_links, language, lines, packing, pieces, quality, simhash, substrings, token_counts, token_ids
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline,
         "op1_suffix_array": substrings.query,
         "op2_packing": packing.query,
         "op3_compression_bands": quality.query,
