@@ -26,7 +26,7 @@ def load() -> None:
 
 # --- SQL pieces shared by the oracles ---------------------------------------------------------
 
-TICKS = "ticks AS (SELECT event_type AS symbol, ts, event_id, value, round(100 * exp(0.0004 * sum(value - 50) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)), 6) AS price FROM events)"
+TICKS = "ticks AS (SELECT event_type AS symbol, ts, event_id, value, round(100 * exp(0.0004 * sum(value - 50) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)), 4) AS price FROM events)"
 
 
 def bars_sql(step: str = "4 hours") -> str:

@@ -24,14 +24,15 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """symbol, ts, event_id, value, price: a geometric walk driven by the events' values.
 
     The walk is a running sum within each day on top of the days before, so a symbol's ticks are
-    spread over tasks by day. Prices are in steps of a millionth, which makes ties the same in any engine.
+    spread over tasks by day. Prices are in steps of a ten-thousandth: ties are the same in any engine, and an
+    average of 20 of them is a whole number of millionths.
     """
     e = table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol"), "ts", "event_id", "value", F.to_date("ts").alias("day"), (F.col("value") - 50).alias("step"))
     days = e.groupBy("symbol", "day").agg(F.sum("step").alias("of_day"))
     before = days.select("symbol", "day", F.coalesce(F.sum("of_day").over(Window.partitionBy("symbol").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("before"))
     inside = F.sum("step").over(Window.partitionBy("symbol", "day").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0))
     walk = F.col("before") + F.col("inside")
-    return e.withColumn("inside", inside).join(before, ["symbol", "day"]).select("symbol", "ts", "event_id", "value", F.round(100 * F.exp(PRICE_STEP * walk), 6).alias("price"))
+    return e.withColumn("inside", inside).join(before, ["symbol", "day"]).select("symbol", "ts", "event_id", "value", F.round(100 * F.exp(PRICE_STEP * walk), 4).alias("price"))
 
 
 def floor_ts(ts: Column, step: str) -> Column:
