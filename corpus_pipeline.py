@@ -39,8 +39,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near copies.
 
     Near copies have a Jaccard similarity of 0.8 or more of their 5-word shingles, the rule for pipeline
-    stages. Two simhashes then differ by some 10 bits of 64, a radius at which no tree prunes and
-    pairs would still be lost, so every pair is found by an exact join (near_texts). Rows that repeat an id are
+    stages. Simhashes of these shingles meet in op9's BK-trees, and texts whose fingerprints link are verified.
+    At 0.8 two simhashes differ by some 10 bits of 64, a radius at which no tree prunes and pairs would
+    still be lost, so an exact join (near_texts) finds the pairs that the trees leave. Rows that repeat an id are
     different documents, of which the first stays; rows with a null id all stay. An empty table stays empty.
     """
     copy = spare_name("copy", docs.columns)

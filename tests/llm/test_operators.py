@@ -538,3 +538,37 @@ def test_components_that_have_not_settled_raise(spark):
     path = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
     with pytest.raises(RuntimeError):
         common.connected_components(path, max_rounds=1)
+
+
+def test_near_dedup_joins_copies_in_bk_trees_and_verifies_them(spark, monkeypatch):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(12)
+    names = ["w%d" % i for i in range(5000)]
+    words = [list(rng.choice(names, 3000)) for _ in range(3)]
+    rows = {}
+    for i in range(40):  # one word of 3000 differs: the simhashes differ by few bits
+        rows[i] = " ".join([*words[i % 2][:50 + i], "own%d" % i, *words[i % 2][51 + i:]])
+    for i in range(40, 60):  # equal simhashes by a run of one word, different texts all the same
+        rows[i] = "spam " * 4000 + " ".join(rng.choice(names, 40))
+    rows |= {100: " ".join(words[2]), 101: " ".join(words[2][:2600])}  # too far apart for the trees
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(4)
+    searched, asked = [], []
+    link, ask = simhash.links, near_texts.asked_lists
+    monkeypatch.setattr(simhash, "links", lambda first, *a: searched.append(first.count()) or link(first, *a))
+    monkeypatch.setattr(near_texts, "asked_lists", lambda docs, met, *a: asked.extend(r.doc_id for r in met.select("doc_id").distinct().collect()) or ask(docs, met, *a))
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, SF).collect()) == [0, 1, *range(40, 60), 100]
+    assert len(searched) == 1 and searched[0] <= len(rows)
+    assert {100, 101} <= set(asked)
+    docs = common.numbered(df)
+    marks = common.written(common.arrow_map(docs, "tidemill.llm.near_texts:set_batches", "doc_id long, copy long, h1 long, h2 long, fp long", shingle=5).select("doc_id", "copy", "fp"), "marks")
+    fp = {r.doc_id: r.fp for r in marks.collect()}
+    assert fp == {d: int(np.uint64(simhash.fingerprint(t, 5)).view(np.int64)) for d, t in rows.items()}
+    rank = lines.rarity(docs, 5)
+    for leaders in (1, 32):
+        got = near_texts.tree_links(docs, marks, rank, leaders=leaders).collect()
+        assert all(r.b1 == r.a1 % 2 and r.a1 < 40 for r in got) and len(got) == len({r.a1 for r in got}) > 20
+    # texts that the trees have joined aren't verified against each other again, but against others they are
+    joined = common.written(spark.createDataFrame([(2, 0, 1, 0), (3, 0, 1, 0)], "a1 long, a2 long, b1 long, b2 long"), "joined")
+    met = common.written(spark.createDataFrame([(True, d, 0, 0, t, t) for t, ds in ((7, (1, 2, 3)), (8, (2, 3, 4)), (9, (5, 6))) for d in ds], lines.MET), "met")
+    assert sorted((r.token, r.doc_id) for r in near_texts.unsettled(met, joined).collect()) == [(8, 2), (8, 3), (8, 4), (9, 5), (9, 6)]
