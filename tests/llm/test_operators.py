@@ -572,3 +572,27 @@ def test_near_dedup_joins_copies_in_bk_trees_and_verifies_them(spark, monkeypatc
     joined = common.written(spark.createDataFrame([(2, 0, 1, 0), (3, 0, 1, 0)], "a1 long, a2 long, b1 long, b2 long"), "joined")
     met = common.written(spark.createDataFrame([(True, d, 0, 0, t, t) for t, ds in ((7, (1, 2, 3)), (8, (2, 3, 4)), (9, (5, 6))) for d in ds], lines.MET), "met")
     assert sorted((r.token, r.doc_id) for r in near_texts.unsettled(met, joined).collect()) == [(8, 2), (8, 3), (8, 4), (9, 5), (9, 6)]
+
+
+def test_token_blocks_of_any_alphabet_are_coded_in_step():
+    """Blocks of two to four digits an id, coded and read together, and a range that runs low many times over."""
+    rng = np.random.default_rng(13)
+    kinds = [rng.integers(0, k, 3000) * 7 for k in (1, 20, 900, 1100, 4000)] + [np.arange(5000) * 60_000, np.repeat(np.arange(2**32 - 3000, 2**32), 2)]
+    blocks = [([i], [ids.astype("u4")], False) for i, ids in enumerate(kinds)]
+    assert {range_coder.shape_of(len(np.unique(ids))) for ids in kinds} == {(32, 2), (16, 3), (16, 4)}
+    data = range_coder.pack_blocks(blocks)
+    for some in (data, data[3:], data[:1]):  # a block is read with any others, or alone
+        for back, (docs, ids, _) in zip(range_coder.unpack_blocks(some), blocks[len(data) - len(some):] if len(some) > 1 else blocks):
+            assert back[0] == docs and (back[1][0] == ids[0]).all()
+    # a text whose words come again: fewer bits than its entropy without context, and less than an eighth of its ids as they are
+    text = np.tile(rng.integers(0, 50_000, 300), 14)[:4096].astype("u4")
+    assert len(range_coder.pack_blocks([([0], [text], False)])[0]) < 4096 / 2
+
+
+def test_blocks_are_decoded_as_many_at_a_time_as_go_in_step():
+    import pyarrow as pa
+
+    n = 2 * token_ids.LANES + 5
+    batch = pa.RecordBatch.from_pydict({"at": list(range(n))})
+    got = [b.column("at").to_pylist() for b in token_ids.full_batches(batch.slice(a, 700) for a in range(0, n, 700))]
+    assert [len(g) for g in got] == [token_ids.LANES, token_ids.LANES, 5] and sum(got, []) == list(range(n))

@@ -1,15 +1,16 @@
-"""Adaptive context-mixing range coder over 16-bit ids, many blocks in step.
+"""Adaptive context-mixing range coder over token ids, many blocks in step.
 
 Every block starts from empty statistics, so blocks are independent; numpy works on many of them
-at once, one id of each per step. An id is coded as four nibbles. For each nibble three orders
-predict: order 0 has counts of the nibble after those before it in the id, orders 1 and 2 have counts
-after the last id and the last two ids as well, in hashed slots. The three distributions are mixed:
+at once, one id of each per step. A block lists its distinct ids, and an id is coded as its place in that
+list, in digits: two of 32 for up to 1,024 distinct ids, three of 16 for up to 4,096. For each digit
+three orders predict: order 0 has counts of the digit after those before it in the id, orders 1 and 2 have
+counts after the last id and the last two ids as well, in hashed slots. The three distributions are mixed:
 an order's weight is the square of the probability that it gave of late to what came, learned for each
-place of the nibble and each degree of confidence. The mix drives the range coder. All arithmetic is
+place of the digit and each degree of confidence. The mix drives the range coder. All arithmetic is
 on integers, so any machine decodes what another wrote.
 
-A block's bytes: magic, number of documents, symbols and payload bytes, crc32 of the rest; then
-documents' ids, flags and lengths, and the payload.
+A block's bytes: magic, number of documents, ids and payload bytes, crc32 of the rest; then the number of
+distinct ids, the bytes of their list, documents' ids, flags and lengths, the list, and the payload.
 """
 
 from __future__ import annotations
@@ -19,200 +20,247 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"TMB2"
-HEAD = struct.Struct("<4sIQQI")
-TOP, BOTTOM, BYTE, HIGH = np.uint64(1 << 56), np.uint64(1 << 48), np.uint64(8), np.uint64(56)
-#: Rows of 16 counts for each order, and blocks coded in step: together about 200 KB each.
-ROWS = (1 + 16 + 256 + 4096, 4096, 4096)
-LANES = 512
+MAGIC = b"TMB3"
+HEAD, LIST = struct.Struct("<4sIQQI"), struct.Struct("<II")
+TOP, BOTTOM, HIGH = np.uint64(1 << 56), np.uint64(1 << 48), np.uint64(56)
+#: Rows of a count for each digit: of order 0 at most, and of orders 1 and 2 each; and blocks coded in step. A block
+#: takes 140 KB with two digits of 32.
+FIRST, ROWS = 1 + 16 + 256 + 4096, 2048
+LANES = 2048
+#: (base, digits) for lists of up to base ** digits ids; longer ones take more digits of 16.
+SHAPES = ((32, 2), (16, 3))
 STEP, FULL = 24, 255 - 24
 #: Degrees of confidence by the sum of counts, and how fast weights follow (as a power of two).
 DEGREES, PACE = 8, 5
-DEGREE = np.minimum(np.frexp(np.arange(16 * 256) / STEP + 0.5)[1], DEGREES - 1).clip(0).astype(np.int32)
+DEGREE = np.minimum(np.frexp(np.arange(32 * 256) / STEP + 0.5)[1], DEGREES - 1).clip(0).astype(np.int64)
+#: Digits coded between two settlings of the range: each takes at most 14 of its 48 bits.
+UNSETTLED = 3
 NULL, GOES_ON = 1, 2
 
 
 class Models:
-    """Statistics of all lanes. `step` codes one id per lane by calling `code` for each nibble."""
-
-    def __init__(self, lanes: int):
-        self.counts = [np.zeros((lanes * r, 16), np.uint8) for r in ROWS]
-        self.sums = [np.zeros(lanes * r, np.int32) for r in ROWS]
-        self.weight = np.full(lanes * 4 * 3 * DEGREES, 1 << 14, np.int32)
+    """Statistics of all lanes; the three orders lie in one table. `step` codes one id per lane by calling
+    `code` for each digit."""
+
+    def __init__(self, lanes: int, shape: tuple[int, int]):
+        self.base, digits = shape
+        self.steps = [self.base ** k for k in range(digits)][::-1]
+        self.nodes = np.cumsum([0, *self.steps[:0:-1]]).tolist()
+        self.first = min(FIRST, self.nodes[-1] + self.steps[0])
+        rows = self.first + 2 * ROWS
+        self.counts, self.sums = np.zeros((lanes * rows, self.base), np.uint8), np.zeros(lanes * rows, np.uint16)
+        self.weight = np.full(digits * 3 * lanes * DEGREES, 1 << 14, np.int32)
+        self.home = np.arange(lanes) * rows + np.array([[0], [self.first], [self.first + ROWS]])
+        self.place = np.arange(digits * 3 * lanes).reshape(digits, 3, lanes) * DEGREES
         self.one, self.two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.lane = np.arange(lanes)
 
     def step(self, n: int, ids: np.ndarray | None, code, settle) -> np.ndarray:
-        """ids: what to encode, or None to decode. code(lanes, freq, upto, wanted) returns the nibbles."""
-        lane, one, two = self.lane[:n], self.one[:n], self.two[:n]
-        mark = (one * 2654435761 + 40503, one * 2246822519 + two * 3266489917 + 374761393)
-        so_far = np.zeros(n, np.int64)
-        for nibble, base in enumerate((0, 1, 17, 273)):
-            node = so_far + base
-            rows = (lane * ROWS[0] + node, *(lane * r + ((m + node * 668265263) >> 9) % r for m, r in zip(mark, ROWS[1:])))
-            counts, sums = [c.take(r, axis=0) for c, r in zip(self.counts, rows)], [s.take(r) for s, r in zip(self.sums, rows)]
-            places = [((lane * 4 + nibble) * 3 + k) * DEGREES + DEGREE.take(s) for k, s in enumerate(sums)]
-            weights = [self.weight.take(p) for p in places]
-            freq = np.zeros((n, 16), np.int32)
-            for c, s, w in zip(counts, sums, weights):
-                freq += c * ((((w * w) >> 16) << 6) // np.maximum(s, 1))[:, None]
-            freq = (freq >> 6) + 1
-            symbol = code(lane, freq, np.cumsum(freq, axis=1, dtype=np.int32), None if ids is None else (ids >> (12 - 4 * nibble)) & 15)
-            if nibble & 1:
-                settle(lane)
-            for c, s, r, total, p, w, table in zip(self.counts, self.sums, rows, sums, places, weights, counts):
-                had = table.ravel().take(lane * 16 + symbol).astype(np.int32)
-                self.weight[p] = w + (((had << 14) // np.maximum(total, 1) - w) >> PACE) + 1
-                c.reshape(-1)[r * 16 + symbol] += np.uint8(STEP)
-                s[r] = total + STEP
-                full = r[had + STEP > FULL]
-                if len(full):
-                    half = c[full] >> 1
-                    c[full] = half
-                    s[full] = half.sum(axis=1, dtype=np.int32)
-            so_far = so_far * 16 + symbol
+        """ids: what to encode, or None to decode. code(freq, upto, wanted) returns the digits."""
+        one, two, home = self.one[:n], self.two[:n], self.home[:, :n]
+        mark = np.stack([one * 2654435761 + 40503, one * 2246822519 + two * 3266489917 + 374761393])
+        so_far, rows, flat = np.zeros(n, np.int64), np.empty((3, n), np.int64), self.counts.ravel()
+        for digit, (before, unit) in enumerate(zip(self.nodes, self.steps)):
+            node = so_far + before
+            rows[0] = node if before < self.first else node % self.first
+            rows[1:] = ((mark + node * 668265263) >> 9) & (ROWS - 1)
+            rows += home
+            row = rows.ravel()
+            counts, sums = self.counts.take(row, axis=0), self.sums.take(row).astype(np.int32)
+            place = self.place[digit, :, :n].ravel() + DEGREE.take(sums)
+            weight, some = self.weight.take(place), np.maximum(sums, 1)
+            share = (counts * ((((weight * weight) >> 16) << 6) // some)[:, None]).reshape(3, n, self.base)
+            freq = ((share[0] + share[1] + share[2]) >> 6) + 1
+            symbol = code(freq, np.cumsum(freq, axis=1, dtype=np.int32), None if ids is None else ids // unit % self.base)
+            if digit % UNSETTLED == UNSETTLED - 1 or unit == 1:
+                settle()
+            at = ((row * self.base).reshape(3, n) + symbol).ravel()
+            had = flat.take(at).astype(np.int32)
+            self.weight[place] = weight + (((had << 14) // some - weight) >> PACE) + 1
+            had += STEP
+            flat[at] = had
+            self.sums[row] = sums + STEP
+            full = row[had > FULL]
+            if len(full):
+                half = self.counts[full] >> 1
+                self.counts[full] = half
+                self.sums[full] = half.sum(axis=1, dtype=np.uint16)
+            so_far = so_far * self.base + symbol
         self.two[:n], self.one[:n] = one.copy(), so_far
         return so_far
 
 
-def normalise(low: np.ndarray, span: np.ndarray, lanes: np.ndarray, shift) -> None:
-    """Send out settled bytes. The span is at least 2**48 then, enough for two nibbles."""
-    at = lanes
-    while len(at):
-        a, r = low[at], span[at]
-        settled = ((a ^ (a + r)) < TOP) & (a + r >= a)
-        small = ~settled & (r < BOTTOM)
-        span[at[small]] = (~a[small] + np.uint64(1)) & (BOTTOM - np.uint64(1))
-        at = at[settled | small]
-        if len(at):
-            shift(at)
-
+class Range:
+    """The ranges of all lanes."""
 
-def narrow(low, span, lanes, freq, upto, symbol, unit) -> None:
-    place = np.arange(len(lanes)) * freq.shape[1] + symbol
-    f = freq.ravel().take(place)
-    low[lanes] += (upto.ravel().take(place) - f).astype(np.uint64) * unit
-    span[lanes] = f.astype(np.uint64) * unit
-
-
-def encode_lanes(streams: list[np.ndarray]) -> list[bytes]:
-    """Code each stream of 16-bit ids by itself."""
+    def __init__(self, lanes: int):
+        self.low, self.span = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
+
+    def narrow(self, freq, upto, symbol, unit) -> None:
+        n = len(symbol)
+        place = np.arange(n) * freq.shape[1] + symbol
+        f = freq.ravel().take(place)
+        self.low[:n] += (upto.ravel().take(place) - f).astype(np.uint64) * unit
+        self.span[:n] = f.astype(np.uint64) * unit
+
+    def normalise(self, n: int, shift) -> None:
+        """Send out settled bytes: shift(at, bytes) for lanes. The span is at least 2**48 then."""
+        at = np.arange(n)
+        while len(at):
+            a, r = self.low[at], self.span[at]
+            end = a + r
+            apart = np.where(end >= a, a ^ end, np.uint64(0xFFFFFFFFFFFFFFFF))
+            settled = np.maximum(64 - np.frexp(apart.astype(np.float64))[1], 0) >> 3  # rounding up to a power of two only settles less
+            small = (settled == 0) & (r < BOTTOM)
+            self.span[at[small]] = (~a[small] + np.uint64(1)) & (BOTTOM - np.uint64(1))
+            settled[small] = 1
+            go = np.flatnonzero(settled)
+            at, settled = at[go], settled[go]
+            if len(at):
+                shift(at, settled)
+                bits = (8 * settled).astype(np.uint64)
+                self.low[at] <<= bits
+                self.span[at] <<= bits
+                at = at[self.span[at] < BOTTOM]
+
+
+def encode_lanes(streams: list[np.ndarray], shape: tuple[int, int]) -> list[bytes]:
+    """Code each stream of places by itself, each place in digits of a shape."""
     order = sorted(range(len(streams)), key=lambda i: -len(streams[i]))
     length = np.array([len(streams[i]) for i in order])
-    data = np.zeros((len(order), int(length.max(initial=0))), np.int64)
+    data = np.zeros((int(length.max(initial=0)), len(order)), np.int64)
     for row, i in enumerate(order):
-        data[row, :length[row]] = streams[i]
+        data[:length[row], row] = streams[i]
     lanes = len(order)
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    out, size = np.zeros((lanes, 3 * data.shape[1] + 16), np.uint8), np.zeros(lanes, np.int64)
+    coder, n = Range(lanes), lanes
+    out, size = np.zeros((lanes, 2 * len(data) + 64), np.uint8), np.zeros(lanes, np.int64)
 
-    def put(at: np.ndarray) -> None:
+    def put(at: np.ndarray, settled: np.ndarray) -> None:
         nonlocal out
-        if size[at].max() + 2 >= out.shape[1]:
+        if size[at].max() + 16 >= out.shape[1]:
             out = np.hstack([out, np.zeros_like(out)])
-        out[at, size[at]] = (low[at] >> HIGH).astype(np.uint8)
-        size[at] += 1
-        low[at] <<= BYTE
-        span[at] <<= BYTE
+        for k in range(int(settled.max())):  # bytes past the settled ones are written over later
+            out[at, size[at] + k] = (coder.low[at] >> (HIGH - np.uint64(8 * k))).astype(np.uint8)
+        size[at] += settled
 
-    def code(at, freq, upto, wanted):
-        narrow(low, span, at, freq, upto, wanted, span[at] // upto[:, -1].astype(np.uint64))
+    def code(freq, upto, wanted):
+        coder.narrow(freq, upto, wanted, coder.span[:n] // upto[:, -1].astype(np.uint64))
         return wanted
 
-    models = Models(lanes)
-    for t in range(data.shape[1]):
+    models = Models(lanes, shape)
+    for t in range(len(data)):
         n = int(np.searchsorted(-length, -t, side="left"))
-        models.step(n, data[:n, t], code, lambda at: normalise(low, span, at, put))
-    for _ in range(8):
-        if lanes:
-            put(np.arange(lanes))
+        models.step(n, data[t, :n], code, lambda: coder.normalise(n, put))
+    if lanes:
+        put(np.arange(lanes), np.full(lanes, 8))
     result: list = [b""] * lanes
     for row, i in enumerate(order):
         result[i] = out[row, :size[row]].tobytes()
     return result
 
 
-def decode_lanes(payloads: list[bytes], lengths: list[int]) -> list[np.ndarray]:
+def decode_lanes(payloads: list[bytes], lengths: list[int], shape: tuple[int, int]) -> list[np.ndarray]:
     order = sorted(range(len(payloads)), key=lambda i: -lengths[i])
     length = np.array([lengths[i] for i in order])
     lanes, steps = len(order), int(length.max(initial=0))
-    width = max((len(p) for p in payloads), default=0) + 8
+    width = max((len(p) for p in payloads), default=0) + 16
     data = np.zeros((lanes, width), np.uint8)
     for row, i in enumerate(order):
         data[row, :len(payloads[i])] = np.frombuffer(payloads[i], np.uint8)
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    coder, n = Range(lanes), lanes
     value = data[:, :8].copy().view(">u8").ravel().astype(np.uint64)
     place = np.full(lanes, 8)
-    out = np.zeros((lanes, steps), np.int64)
+    out = np.zeros((steps, lanes), np.int64)
 
-    def pull(at: np.ndarray) -> None:
-        value[at] = (value[at] << BYTE) | data[at, np.minimum(place[at], width - 1)]
-        place[at] += 1
-        low[at] <<= BYTE
-        span[at] <<= BYTE
+    def pull(at: np.ndarray, settled: np.ndarray) -> None:
+        for k in range(int(settled.max())):
+            some = at[settled > k]
+            value[some] = (value[some] << np.uint64(8)) | data[some, np.minimum(place[some] + k, width - 1)]
+        place[at] += settled
 
-    def code(at, freq, upto, wanted):
+    def code(freq, upto, wanted):
         total = upto[:, -1].astype(np.uint64)
-        unit = span[at] // total
-        where = np.minimum((value[at] - low[at]) // unit, total - np.uint64(1)).astype(np.int32)
+        unit = coder.span[:n] // total
+        where = np.minimum((value[:n] - coder.low[:n]) // unit, total - np.uint64(1)).astype(np.int32)
         symbol = (upto <= where[:, None]).sum(axis=1)
-        narrow(low, span, at, freq, upto, symbol, unit)
+        coder.narrow(freq, upto, symbol, unit)
         return symbol
 
-    models = Models(lanes)
+    models = Models(lanes, shape)
     for t in range(steps):
         n = int(np.searchsorted(-length, -t, side="left"))
-        out[:n, t] = models.step(n, None, code, lambda at: normalise(low, span, at, pull))
+        out[t, :n] = models.step(n, None, code, lambda: coder.normalise(n, pull))
     result: list = [None] * lanes
     for row, i in enumerate(order):
-        result[i] = out[row, :length[row]]
+        result[i] = out[:length[row], row].copy()
     return result
 
 
-def by_lanes(function, *lists):
-    for a in range(0, len(lists[0]), LANES):
-        yield from function(*(x[a:a + LANES] for x in lists))
+def by_lanes(function, shapes: list[tuple[int, int]], *lists) -> list:
+    """Apply to lanes of one shape; results in the order given."""
+    out: list = [None] * len(shapes)
+    for shape in sorted(set(shapes)):
+        at = [i for i, x in enumerate(shapes) if x == shape]
+        for a in range(0, len(at), LANES):
+            some = at[a:a + LANES]
+            for i, got in zip(some, function(*([x[i] for i in some] for x in lists), shape)):
+                out[i] = got
+    return out
+
+
+def shape_of(distinct: int) -> tuple[int, int]:
+    """Digits that a place among so many distinct ids takes."""
+    return next((s for s in SHAPES if distinct <= s[0] ** s[1]), (16, -(-(distinct - 1).bit_length() // 4)))
+
+
+def pack_list(names: np.ndarray) -> bytes:
+    """Ascending ids, as differences in byte planes."""
+    return zlib.compress(np.diff(names, prepend=names.dtype.type(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 9)
 
 
-def to_symbols(ids: np.ndarray, wide: bool) -> np.ndarray:
-    return ids.astype("<u4").view("<u2").reshape(-1, 2)[:, ::-1].ravel() if wide else ids
+def unpack_list(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, n).T.copy().view("<u4").ravel(), dtype=np.uint32)
 
 
 def pack_blocks(blocks: list[tuple[list, list[np.ndarray], bool]]) -> list[bytes]:
     """Each block: (doc ids, or None; ids of each document in it, as little-endian 32-bit; does its first
     document go on from the block before?) -> its bytes."""
-    streams, wides = [], []
+    names, streams = [], []
     for _, texts, _ in blocks:
         ids = np.concatenate(texts) if texts else np.empty(0, np.uint32)
-        wides.append(bool(len(ids) and ids.max() >= 1 << 16))
-        streams.append(to_symbols(ids, wides[-1]))
+        name, place = np.unique(ids, return_inverse=True)
+        names.append(name.astype("<u4"))
+        streams.append(place)
     out = []
-    for (docs, texts, goes_on), wide, stream, payload in zip(blocks, wides, streams, by_lanes(encode_lanes, streams)):
+    for (docs, texts, goes_on), name, stream, payload in zip(blocks, names, streams, by_lanes(encode_lanes, [shape_of(len(x)) for x in names], streams)):
         flags = bytearray(NULL * (d is None) for d in docs)
         if docs and goes_on:
             flags[0] |= GOES_ON
         index = np.array([0 if d is None else d for d in docs], "<i8").tobytes() + bytes(flags) + np.array([len(t) for t in texts], "<u8").tobytes()
-        body = bytes([wide]) + index + payload
+        listed = pack_list(name)
+        body = LIST.pack(len(name), len(listed)) + index + listed + payload
         out.append(HEAD.pack(MAGIC, len(docs), len(stream), len(payload), zlib.crc32(body)) + body)
     return out
 
 
 def unpack_blocks(blocks: list[bytes]) -> list[tuple[list, list[np.ndarray], bool]]:
     """Inverse of pack_blocks; a block that doesn't match its checksum is an error."""
-    heads, payloads, lengths = [], [], []
+    heads, names, payloads, lengths = [], [], [], []
     for data in blocks:
         magic, docs, symbols, size, crc = HEAD.unpack_from(data)
         body = data[HEAD.size:]
         if magic != MAGIC or zlib.crc32(body) != crc:
             raise ValueError("a block of token ids is damaged")
-        at = 1 + 8 * docs
+        distinct, listed = LIST.unpack_from(body)
+        at = LIST.size + 8 * docs
         flags = body[at:at + docs]
-        ids = [None if z & NULL else int(d) for d, z in zip(np.frombuffer(body, "<i8", docs, 1), flags)]
-        heads.append((body[0], ids, np.frombuffer(body, "<u8", docs, at + docs), bool(docs and flags[0] & GOES_ON)))
+        ids = [None if z & NULL else int(d) for d, z in zip(np.frombuffer(body, "<i8", docs, LIST.size), flags)]
+        heads.append((ids, np.frombuffer(body, "<u8", docs, at + docs), bool(docs and flags[0] & GOES_ON)))
+        end = at + 9 * docs
+        names.append(unpack_list(body[end:end + listed], distinct))
         payloads.append(body[len(body) - size:])
         lengths.append(symbols)
     out = []
-    for (wide, docs, sizes, goes_on), symbols in zip(heads, by_lanes(decode_lanes, payloads, lengths)):
-        ids = symbols.astype("<u2").reshape(-1, 2)[:, ::-1].copy().view("<u4").ravel() if wide else symbols.astype("<u4")
+    for (docs, sizes, goes_on), name, places in zip(heads, names, by_lanes(decode_lanes, [shape_of(len(x)) for x in names], payloads, lengths)):
+        ids = name[places].astype("<u4")
         out.append((docs, np.split(ids, np.cumsum(sizes)[:-1].astype(int)) if docs else [], goes_on))
     return out

@@ -112,9 +112,23 @@ def block_batches(batches, path: str, end_id: int):
         yield from flush()
 
 
+def full_batches(batches):
+    """The same rows, as many at a time as are decoded in step."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        while n >= LANES:
+            t = pa.Table.from_batches(held)
+            yield t.slice(0, LANES).combine_chunks().to_batches()[0]
+            held, n = t.slice(LANES).to_batches(), n - LANES
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def read_batches(batches):
     """Pieces of documents, as they lie in blocks, with their ids."""
-    for batch in batches:
+    for batch in full_batches(batches):
         start = (batch.column("before").to_numpy() + batch.column("base").to_numpy()).tolist()
         parts, begun, data = batch.column("part").to_pylist(), batch.column("documents").to_pylist(), batch.column("data")
         for a in range(0, batch.num_rows, LANES):
