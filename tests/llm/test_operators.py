@@ -596,3 +596,23 @@ def test_blocks_are_decoded_as_many_at_a_time_as_go_in_step():
     batch = pa.RecordBatch.from_pydict({"at": list(range(n))})
     got = [b.column("at").to_pylist() for b in token_ids.full_batches(batch.slice(a, 700) for a in range(0, n, 700))]
     assert [len(g) for g in got] == [token_ids.LANES, token_ids.LANES, 5] and sum(got, []) == list(range(n))
+
+
+def test_words_with_the_same_pre_tokens_share_their_merges():
+    """Marks and cases around a word don't have it merged again (op2: CPU seconds)."""
+    e, seen = packing.WordEncoder(WORD), []
+    e.vocabulary.encode = lambda words, f=e.vocabulary.encode: seen.extend(words) or f(words)
+    words = ["ondrel", "ondrel,", "Ondrel", "ONDREL!", "ondrel's", "Éndrel", "éndrel.", "éndrel###", "<|endoftext|>", "ﬁn", "J̌a"]
+    made = [*e.texts([" ".join(words)]), *e.texts(["ondrel; " + words[-1]])]
+    assert seen.count(b"ondrel") == 1 and seen.count("éndrel".encode()) == 1 and len(seen) == len(set(seen))
+    tk = Tokenizer.from_file(WORD)
+    assert [np.frombuffer(m, "<u4").tolist() for m in made] == [tk.encode(t, add_special_tokens=False).ids for t in (" ".join(words), "ondrel; " + words[-1])]
+
+
+def test_pairs_are_found_by_hash():
+    rng = np.random.default_rng(3)
+    pairs = {(int(a), int(b)): (r, 5000 + r % 300) for r, (a, b) in enumerate(rng.permutation(200 * 200)[:9000, None] // [200, 1] % 200)}
+    m = bpe.Merges(pairs, 6000)
+    left, right = (x.ravel() for x in np.mgrid[-3:203, -3:203])
+    want = [(r << bpe.MADE | made) if (r, made) != (None, None) else bpe.NONE for r, made in (pairs.get(p, (None, None)) for p in zip(left.tolist(), right.tolist()))]
+    assert m.find(left, right).tolist() == want

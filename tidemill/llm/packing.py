@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.bpe import ByteVocabulary, WordCache
+from tidemill.llm.bpe import ByteVocabulary, TokenCache, WordCache
 from tidemill.llm.common import arrow_map, table, written
 
 CAPACITY = 2048
@@ -45,35 +45,42 @@ class WordEncoder:
         self.plain = regex.compile(r"[!-~¡-ɏ]+")
         # fixed value: the pre-token pattern of this vocabulary
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        self.tokens = TokenCache(self.vocabulary)
         self.cache = WordCache(self.fill)
 
     def fill(self, words: list[bytes]) -> list[bytes]:
+        every = b" ".join(words)
+        special = [s for s in self.special if s in every]
         out: list = [b""] * len(words)
-        tokens, per = [], []
-        for i, raw in enumerate(words):
-            # plain ASCII words, with or without a mark after them, need no pattern
-            if raw.isalpha():
-                tokens.append(raw.lower())
-                per.append((i, 1))
-                continue
-            if raw[:-1].isalpha() and raw[-1] in b".,;:!?":
-                tokens += (raw[:-1].lower(), raw[-1:])
-                per.append((i, 2))
-                continue
-            word = raw.decode("utf-8", "replace")
-            if not self.plain.fullmatch(word) or any(s in raw for s in self.special):
-                out[i] = np.array(self.library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-                continue
-            word = "".join([c.lower() for c in word]) if "Σ" in word else word.lower()
-            found = [word] if word.isalpha() else self.pattern.findall(word)
-            tokens += [t.encode() for t in found]
-            per.append((i, len(found)))
-        ids, n = self.vocabulary.encode(tokens)
-        ids, ends = ids.astype("<u4").tobytes(), np.concatenate([[0], np.cumsum(n)]).tolist()
-        at = 0
-        for i, k in per:
-            out[i] = ids[4 * ends[at]:4 * ends[at + k]]
-            at += k
+        tokens, counts, at = [], [], []
+        for i, (raw, small) in enumerate(zip(words, every.lower().split(b" "))):
+            # plain words, with or without a mark after them, need no pattern
+            if small.isalpha():
+                tokens.append(small)
+                k = 1
+            elif small[:-1].isalpha() and small[-1] in b".,;:!?":
+                tokens += (small[:-1], small[-1:])
+                k = 2
+            else:
+                word = raw.decode("utf-8", "replace")
+                if not self.plain.fullmatch(word) or special and any(s in raw for s in special):
+                    out[i] = np.array(self.library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+                    continue
+                word = "".join([c.lower() for c in word]) if "Σ" in word else word.lower()
+                if word.isalpha():
+                    tokens.append(word.encode())
+                    k = 1
+                elif word[-1] in ".,;:!?" and word[:-1].isalpha():
+                    tokens += (word[:-1].encode(), word[-1].encode())
+                    k = 2
+                else:
+                    found = self.pattern.findall(word)
+                    tokens += [t.encode() for t in found]
+                    k = len(found)
+            counts.append(k)
+            at.append(i)
+        for i, ids in zip(at, self.tokens.joined(tokens, counts)):
+            out[i] = ids
         return out
 
     def texts(self, texts: list[str]):
