@@ -616,3 +616,31 @@ def test_pairs_are_found_by_hash():
     left, right = (x.ravel() for x in np.mgrid[-3:203, -3:203])
     want = [(r << bpe.MADE | made) if (r, made) != (None, None) else bpe.NONE for r, made in (pairs.get(p, (None, None)) for p in zip(left.tolist(), right.tolist()))]
     assert m.find(left, right).tolist() == want
+
+
+def test_pre_tokens_are_merged_once_for_token_ids():
+    """As for packing, with white space and marks in every place (op4: CPU seconds)."""
+    e, seen = token_ids.IdEncoder(BYTE), []
+    v = e.counter.vocabulary
+    texts = ["ondrel ondrel, ondrel. ondrel's", "", " ondrel", "ondrel ", "a  ondrel", "a\nondrel\tondrel b", "\n", "<|endoftext|> ondrel!", ", . ondrel;;", "a　ondrel 　b", "x y"]
+    v.encode = lambda words, f=v.encode: seen.extend(words) or f(words)
+    try:
+        made = [x for t in texts for x in e.texts([t])]
+    finally:
+        del v.encode
+    assert seen.count(b" ondrel") == 1 and len(seen) == len(set(seen))
+    tk = Tokenizer.from_file(BYTE)
+    assert [np.frombuffer(m, "<u4").tolist() for m in made] == [tk.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_rows_of_summed_counts_are_halved_in_time():
+    """Rows hold sums in 16 bits: long blocks of few ids neither overflow nor stay with what came first."""
+    rng = np.random.default_rng(17)
+    streams = [np.zeros(30_000, np.int64), np.repeat([0, 31], 8000), rng.integers(0, 32, 20_000)]
+    data = range_coder.encode_lanes(streams, (32, 2))
+    assert all((a == b).all() for a, b in zip(streams, range_coder.decode_lanes(data, [len(s) for s in streams], (32, 2))))
+    m = range_coder.Models(1, (32, 2))
+    coder = range_coder.Range(1)
+    for _ in range(500):
+        m.step(1, np.zeros(1, np.int64), coder, lambda: coder.span.fill(2**63))
+    assert 0 < m.upto[:, -1].max() <= range_coder.FULL + range_coder.STEP and (np.diff(m.upto.astype(int), axis=1) >= 0).all()

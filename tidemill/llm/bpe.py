@@ -181,9 +181,9 @@ class WordCache(dict):
             self.old = dict(self)
             self.clear()
             new = set(words)
-        old = self.old
-        self.update((w, old[w]) for w in new if w in old)
-        new = [w for w in new if w not in self]
+        again = self.old.keys() & new
+        self.update(zip(again, map(self.old.__getitem__, again)))
+        new = list(new - again)
         for at in range(0, len(new), 50_000):
             part = new[at:at + 50_000]
             self.update(zip(part, self.fill(part)))
@@ -197,12 +197,12 @@ class TokenCache(WordCache):
         super().__init__(self.merged, limit)
         self.vocabulary = vocabulary
 
-    def merged(self, tokens: list[bytes]) -> list[bytes]:
-        ids, n = self.vocabulary.encode(tokens)
+    def merged(self, tokens: list[bytes | str]) -> list[bytes]:
+        ids, n = self.vocabulary.encode([t if isinstance(t, bytes) else t.encode() for t in tokens])
         ids, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(n)).tolist()
         return [ids[a:b] for a, b in zip([0, *ends], ends)]
 
-    def joined(self, tokens: list[bytes], counts: list[int]) -> list[bytes]:
+    def joined(self, tokens: list[bytes | str], counts: list[int]) -> list[bytes]:
         """The ids of so many tokens each, one word after another."""
         self.learn(tokens)
         get = iter(map(self.__getitem__, tokens))

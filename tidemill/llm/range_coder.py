@@ -6,7 +6,8 @@ list, in digits: two of 32 for up to 1,024 distinct ids, three of 16 for up to 4
 three orders predict: order 0 has counts of the digit after those before it in the id, orders 1 and 2 have
 counts after the last id and the last two ids as well, in hashed slots. The three distributions are mixed:
 an order's weight is the square of the probability that it gave of late to what came, learned for each
-place of the digit and each degree of confidence. The mix drives the range coder. All arithmetic is
+place of the digit and each degree of confidence. Counts are kept as sums up to each digit, so only the two ends of
+a digit are mixed; decoding looks for it by halves. The mix drives the range coder. All arithmetic is
 on integers, so any machine decodes what another wrote.
 
 A block's bytes: magic, number of documents, ids and payload bytes, crc32 of the rest; then the number of
@@ -20,27 +21,28 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"TMB3"
+MAGIC = b"TMB4"
 HEAD, LIST = struct.Struct("<4sIQQI"), struct.Struct("<II")
 TOP, BOTTOM, HIGH = np.uint64(1 << 56), np.uint64(1 << 48), np.uint64(56)
-#: Rows of a count for each digit: of order 0 at most, and of orders 1 and 2 each; and blocks coded in step. A block
+#: Rows of counts for each digit: of order 0 at most, and of orders 1 and 2 each; and blocks coded in step. A block
 #: takes 140 KB with two digits of 32.
-FIRST, ROWS = 1 + 16 + 256 + 4096, 2048
-LANES = 2048
+FIRST, ROWS = 1 + 16 + 256 + 4096, 1024
+LANES = 1024
 #: (base, digits) for lists of up to base ** digits ids; longer ones take more digits of 16.
 SHAPES = ((32, 2), (16, 3))
-STEP, FULL = 24, 255 - 24
+#: What a digit adds to its count, and the sum beyond which a row is halved.
+STEP, FULL = 24, 700
 #: Degrees of confidence by the sum of counts, and how fast weights follow (as a power of two).
 DEGREES, PACE = 8, 5
-DEGREE = np.minimum(np.frexp(np.arange(32 * 256) / STEP + 0.5)[1], DEGREES - 1).clip(0).astype(np.int64)
+DEGREE = np.minimum(np.frexp(np.arange(FULL + STEP + 1) / STEP + 0.5)[1], DEGREES - 1).clip(0).astype(np.int64)
 #: Digits coded between two settlings of the range: each takes at most 14 of its 48 bits.
 UNSETTLED = 3
 NULL, GOES_ON = 1, 2
 
 
 class Models:
-    """Statistics of all lanes; the three orders lie in one table. `step` codes one id per lane by calling
-    `code` for each digit."""
+    """Statistics of all lanes; the three orders lie in one table, whose rows hold the counts summed up to each
+    digit. `step` codes one id per lane: `narrow` gets each digit's range, `seek` looks digits up."""
 
     def __init__(self, lanes: int, shape: tuple[int, int]):
         self.base, digits = shape
@@ -48,43 +50,58 @@ class Models:
         self.nodes = np.cumsum([0, *self.steps[:0:-1]]).tolist()
         self.first = min(FIRST, self.nodes[-1] + self.steps[0])
         rows = self.first + 2 * ROWS
-        self.counts, self.sums = np.zeros((lanes * rows, self.base), np.uint8), np.zeros(lanes * rows, np.uint16)
+        self.upto = np.zeros((lanes * rows, self.base), np.uint16)
+        self.row = self.upto.view(f"V{2 * self.base}").ravel()
         self.weight = np.full(digits * 3 * lanes * DEGREES, 1 << 14, np.int32)
         self.home = np.arange(lanes) * rows + np.array([[0], [self.first], [self.first + ROWS]])
         self.place = np.arange(digits * 3 * lanes).reshape(digits, 3, lanes) * DEGREES
         self.one, self.two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.added = np.triu(np.full((self.base, self.base), STEP, np.uint16))
 
-    def step(self, n: int, ids: np.ndarray | None, code, settle) -> np.ndarray:
-        """ids: what to encode, or None to decode. code(freq, upto, wanted) returns the digits."""
-        one, two, home = self.one[:n], self.two[:n], self.home[:, :n]
+    def step(self, n: int, ids: np.ndarray | None, coder: Range, settle, value: np.ndarray | None = None) -> np.ndarray:
+        """ids: what to encode, or None to decode from the lanes' value."""
+        one, two, home, base = self.one[:n], self.two[:n], self.home[:, :n], self.base
         mark = np.stack([one * 2654435761 + 40503, one * 2246822519 + two * 3266489917 + 374761393])
-        so_far, rows, flat = np.zeros(n, np.int64), np.empty((3, n), np.int64), self.counts.ravel()
+        so_far, rows, at = np.zeros(n, np.int64), np.empty((3, n), np.int64), np.arange(0, 3 * n * base, base).reshape(3, n)
         for digit, (before, unit) in enumerate(zip(self.nodes, self.steps)):
             node = so_far + before
             rows[0] = node if before < self.first else node % self.first
             rows[1:] = ((mark + node * 668265263) >> 9) & (ROWS - 1)
             rows += home
             row = rows.ravel()
-            counts, sums = self.counts.take(row, axis=0), self.sums.take(row).astype(np.int32)
+            seen = self.upto.take(row, axis=0)
+            flat, sums = seen.ravel(), seen[:, -1].astype(np.int32)
             place = self.place[digit, :, :n].ravel() + DEGREE.take(sums)
             weight, some = self.weight.take(place), np.maximum(sums, 1)
-            share = (counts * ((((weight * weight) >> 16) << 6) // some)[:, None]).reshape(3, n, self.base)
-            freq = ((share[0] + share[1] + share[2]) >> 6) + 1
-            symbol = code(freq, np.cumsum(freq, axis=1, dtype=np.int32), None if ids is None else ids // unit % self.base)
+            share = ((((weight * weight) >> 16) << 6) // some).reshape(3, n)
+
+            def mixed(counts):
+                part = counts * share
+                return (part[0] + part[1] + part[2]) >> 6
+
+            span = coder.span[:n] // (mixed(sums.reshape(3, n)) + base).astype(np.uint64)
+            if ids is not None:
+                symbol = ids // unit % base
+            else:
+                where, symbol, half = ((value[:n] - coder.low[:n]) // span).astype(np.int64), np.zeros(n, np.int64), base >> 1
+                while half:
+                    middle = symbol + (half - 1)
+                    symbol += half * (mixed(flat.take(at + middle)) + middle < where)
+                    half >>= 1
+            high = flat.take(at + symbol).astype(np.int32)
+            low = flat.take(at + np.maximum(symbol - 1, 0)) * (symbol > 0).astype(np.int32)
+            start = mixed(low) + symbol
+            coder.narrow(n, start, mixed(high) + symbol + 1 - start, span)
             if digit % UNSETTLED == UNSETTLED - 1 or unit == 1:
                 settle()
-            at = ((row * self.base).reshape(3, n) + symbol).ravel()
-            had = flat.take(at).astype(np.int32)
-            self.weight[place] = weight + (((had << 14) // some - weight) >> PACE) + 1
-            had += STEP
-            flat[at] = had
-            self.sums[row] = sums + STEP
-            full = row[had > FULL]
+            self.weight[place] = weight + (((((high - low).ravel()) << 14) // some - weight) >> PACE) + 1
+            counted = seen.reshape(3, n, base)
+            counted += self.added.take(symbol, axis=0)
+            full = np.flatnonzero(sums > FULL - STEP)
             if len(full):
-                half = self.counts[full] >> 1
-                self.counts[full] = half
-                self.sums[full] = half.sum(axis=1, dtype=np.uint16)
-            so_far = so_far * self.base + symbol
+                seen[full] >>= 1
+            self.row[row] = seen.view(self.row.dtype).ravel()
+            so_far = so_far * base + symbol
         self.two[:n], self.one[:n] = one.copy(), so_far
         return so_far
 
@@ -95,12 +112,9 @@ class Range:
     def __init__(self, lanes: int):
         self.low, self.span = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
 
-    def narrow(self, freq, upto, symbol, unit) -> None:
-        n = len(symbol)
-        place = np.arange(n) * freq.shape[1] + symbol
-        f = freq.ravel().take(place)
-        self.low[:n] += (upto.ravel().take(place) - f).astype(np.uint64) * unit
-        self.span[:n] = f.astype(np.uint64) * unit
+    def narrow(self, n: int, start, freq, unit) -> None:
+        self.low[:n] += start.astype(np.uint64) * unit
+        self.span[:n] = freq.astype(np.uint64) * unit
 
     def normalise(self, n: int, shift) -> None:
         """Send out settled bytes: shift(at, bytes) for lanes. The span is at least 2**48 then."""
@@ -142,14 +156,10 @@ def encode_lanes(streams: list[np.ndarray], shape: tuple[int, int]) -> list[byte
             out[at, size[at] + k] = (coder.low[at] >> (HIGH - np.uint64(8 * k))).astype(np.uint8)
         size[at] += settled
 
-    def code(freq, upto, wanted):
-        coder.narrow(freq, upto, wanted, coder.span[:n] // upto[:, -1].astype(np.uint64))
-        return wanted
-
     models = Models(lanes, shape)
     for t in range(len(data)):
         n = int(np.searchsorted(-length, -t, side="left"))
-        models.step(n, data[t, :n], code, lambda: coder.normalise(n, put))
+        models.step(n, data[t, :n], coder, lambda: coder.normalise(n, put))
     if lanes:
         put(np.arange(lanes), np.full(lanes, 8))
     result: list = [b""] * lanes
@@ -177,18 +187,10 @@ def decode_lanes(payloads: list[bytes], lengths: list[int], shape: tuple[int, in
             value[some] = (value[some] << np.uint64(8)) | data[some, np.minimum(place[some] + k, width - 1)]
         place[at] += settled
 
-    def code(freq, upto, wanted):
-        total = upto[:, -1].astype(np.uint64)
-        unit = coder.span[:n] // total
-        where = np.minimum((value[:n] - coder.low[:n]) // unit, total - np.uint64(1)).astype(np.int32)
-        symbol = (upto <= where[:, None]).sum(axis=1)
-        coder.narrow(freq, upto, symbol, unit)
-        return symbol
-
     models = Models(lanes, shape)
     for t in range(steps):
         n = int(np.searchsorted(-length, -t, side="left"))
-        out[t, :n] = models.step(n, None, code, lambda: coder.normalise(n, pull))
+        out[t, :n] = models.step(n, None, coder, lambda: coder.normalise(n, pull), value)
     result: list = [None] * lanes
     for row, i in enumerate(order):
         result[i] = out[:length[row], row].copy()

@@ -16,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.bpe import WordCache
+from tidemill.llm.bpe import TokenCache, WordCache
 from tidemill.llm.common import arrow_map, table, written
 from tidemill.llm.range_coder import LANES, pack_blocks, unpack_blocks
-from tidemill.llm.token_counts import CUT, UNSURE, counter, slices
+from tidemill.llm.token_counts import CUT, counter, slices
 
 BLOCK = 4096
-#: Distinct words whose ids are kept, in each of two generations.
-WORDS = 100_000
+#: Distinct words, and pre-tokens, whose ids are kept, in each of two generations.
+WORDS = 250_000
 BLOCKS = "part int, block int, before long, documents long, n_ids long, data binary"
 PIECES = "part int, document long, doc_id long, start long, n_ids long"
 _held: dict = {}
@@ -34,27 +34,40 @@ class IdEncoder:
 
     def __init__(self, path: str):
         self.counter = counter(path)
-        self.first, self.later = WordCache(self.fill, WORDS), WordCache(lambda ws: self.fill([" " + w for w in ws]), WORDS)
-
-    def fill(self, pieces: list[str]) -> list[bytes]:
-        c, out, tokens, per = self.counter, [b""] * len(pieces), [], []
-        for i, piece in enumerate(pieces):
-            if c.special.search(piece):
-                out[i] = np.array(c.library.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        self.tokens = TokenCache(self.counter.vocabulary, WORDS)
+        self.first, self.later = WordCache(lambda ws: self.fill(ws, ""), WORDS), WordCache(lambda ws: self.fill(ws, " "), WORDS)
+
+    def fill(self, words: list[str], before: str) -> list[bytes]:
+        c, out, tokens, counts, at = self.counter, [b""] * len(words), [], [], []
+        special = c.special.search("\n".join(words))
+        for i, word in enumerate(words):
+            # plain words, with or without a mark after them, need no pattern
+            if word.isalpha():
+                tokens.append(before + word)
+                k = 1
+            elif word[:-1].isalpha() and word[-1] in ".,;:!?":
+                tokens += (before + word[:-1], word[-1])
+                k = 2
+            elif special and c.special.search(word):
+                out[i] = np.array(c.library.encode(before + word, add_special_tokens=False).ids, "<u4").tobytes()
                 continue
-            found = c.pattern.findall(piece)
-            tokens += found
-            per.append((i, len(found)))
-        ids, n = c.vocabulary.encode([t.encode() for t in tokens])
-        ids, ends = ids.astype("<u4").tobytes(), np.concatenate([[0], np.cumsum(n)]).tolist()
-        at = 0
-        for i, k in per:
-            out[i] = ids[4 * ends[at]:4 * ends[at + k]]
-            at += k
+            else:
+                found = c.pattern.findall(before + word)
+                tokens += found
+                k = len(found)
+            counts.append(k)
+            at.append(i)
+        for i, ids in zip(at, self.tokens.joined(tokens, counts)):
+            out[i] = ids
         return out
 
     def texts(self, texts: list[str]):
-        cut = [CUT.split(t) if UNSURE.search(t) else t.split(" ") for t in texts]
+        cut = []
+        for t in texts:
+            words = t.split()
+            # white space stands alone, and only between words
+            sure = sum(map(len, words)) + len(words) - 1 == len(t)
+            cut.append(t.split(" ") if sure else CUT.split(t))
         self.first.learn({p[0] for p in cut})
         later: set = set()
         for p in cut:
@@ -92,7 +105,7 @@ def block_batches(batches, path: str, end_id: int):
     for batch in batches:
         texts = [t or "" for t in batch.column("text").to_pylist()]
         names = batch.column("doc_id").to_pylist()
-        for a, b in slices(texts, 1_000_000):
+        for a, b in slices(texts):
             for doc, got in zip(names[a:b], e.texts(texts[a:b])):
                 rest = np.frombuffer(got + end, "<u4")
                 begun += 1
