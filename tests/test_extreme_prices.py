@@ -7,7 +7,7 @@ import pytest
 from tidemill import queries as own
 
 own.load()
-NAMES = ["momentum", "combine", "block_bootstrap", "path_bands", "fingerprint", "fingerprint_nearest"]
+NAMES = ["momentum", "combine", "block_bootstrap", "path_bands", "fingerprint", "fingerprint_nearest", "monkey_shift"]
 
 
 @pytest.fixture(scope="module")
