@@ -7,7 +7,7 @@ import pytest
 from tidemill import queries as own
 
 own.load()
-NAMES = ["momentum", "combine", "block_bootstrap", "path_bands", "fingerprint", "fingerprint_nearest", "monkey_shift", "capture", "ledger", "ewm_vol", "carver_breakout", "funding_carry"]
+NAMES = ["momentum", "combine", "block_bootstrap", "path_bands", "fingerprint", "fingerprint_nearest", "monkey_shift", "capture", "ledger", "ewm_vol", "carver_breakout", "funding_carry", "account_summary"]
 
 
 @pytest.fixture(scope="module")
