@@ -69,7 +69,7 @@ class Account:
         self.gain = self.cost = self.paid = self.turned = 0.0
         if self.kill_next and self.side:
             self.leave(i, o, True, "kill")
-        elif self.pending and not self.killed:
+        elif self.pending and not self.killed and o > 0:  # at a price of 0 no quantity can be had: the order lapses
             side, stop_dist, target_dist = self.pending
             price = self.fill(o, True, side)
             self.side, self.qty, self.mark = side, s.leverage * self.equity / price, price
@@ -153,7 +153,7 @@ def run_lanes(b: pd.DataFrame, long: np.ndarray, short: np.ndarray, stop: np.nda
     for i, (o, h, low, c) in enumerate(zip(*prices)):
         change, before = np.zeros(lanes), equity.copy()
         at = np.flatnonzero(kill_next & (side != 0))
-        enters = (pending != 0) & ~killed
+        enters = (pending != 0) & ~killed & (o > 0)
         if len(at):
             leave(at, np.full(len(at), o), np.ones(len(at)))
             enters[at] = False
